@@ -15,6 +15,11 @@ CP1252_EXTRA = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def js_round(value: Column) -> Column:
     """Half-up rounding, including negative halves."""
     return F.floor(value + F.lit(0.5))
