@@ -2,51 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafline.functions.text import let
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
 
-def _corner(points: Column, i: Column | int, shift: int = 0) -> Column:
-    index = F.lit(i + shift) if isinstance(i, int) else i + shift
-    return F.get(points, index % 4)
+def _triples(p: Column) -> list[tuple[Column, Column, Column]]:
+    return [(p[i], p[(i + 1) % 4], p[(i + 2) % 4]) for i in range(4)]
 
 
 def valid_quad(points: Column) -> Column:
     """P20: four finite points of the unit square, convex in order, area over 0.02."""
 
-    def in_unit(p):
-        return F.coalesce(
-            ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & p["x"].between(0, 1) & p["y"].between(0, 1), F.lit(False)
+    def check(p):
+        unit = [~F.isnan(p[i][c]) & p[i][c].between(0, 1) for i in range(4) for c in ("x", "y")]
+        turns = [
+            (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"]) > 0.0001
+            for a, b, c in _triples(p)
+        ]
+        doubled = reduce(
+            lambda s, t: s + t, [a["x"] * b["y"] - b["x"] * a["y"] for a, b, _ in _triples(p)]
         )
+        return F.coalesce(_all(unit + turns) & (F.abs(doubled) / 2 > 0.02), F.lit(False))
 
-    def turns(i):
-        a, b, c = _corner(points, i), _corner(points, i, 1), _corner(points, i, 2)
-        return (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"]) > 0.0001
-
-    corners = F.sequence(F.lit(0), F.lit(3))
-    doubled = F.aggregate(
-        corners, F.lit(0.0),
-        lambda s, i: s + _corner(points, i)["x"] * _corner(points, i, 1)["y"]
-        - _corner(points, i, 1)["x"] * _corner(points, i)["y"],
-    )
-    return (F.size(points) == 4) & F.forall(points, in_unit) & F.forall(corners, turns) & (F.abs(doubled) / 2 > 0.02)
+    return F.when(F.size(points) == 4, let(points, check)).otherwise(F.lit(False))
 
 
 def plausible_quad(points: Column, width: Column, height: Column) -> Column:
     """Inside the border, long enough sides, convex, no acute or flat corner."""
 
-    def fits(i):
-        a, b, c = _corner(points, i), _corner(points, i, 1), _corner(points, i, 2)
-        ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], c["x"] - b["x"], c["y"] - b["y"]
-        side = F.hypot(ux, uy)
-        inside = (a["x"] >= 3) & (a["y"] >= 3) & (a["x"] <= width - 4) & (a["y"] <= height - 4)
-        cosine = F.abs((ux * vx + uy * vy) / (side * F.hypot(vx, vy)))
-        return (
-            inside & (side >= F.least(width, height) * 0.16) & (ux * vy - uy * vx > 0)
-            & ~F.coalesce(cosine > 0.82, F.lit(False))
-        )
+    def check(p):
+        tests = []
+        for a, b, c in _triples(p):
+            ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], c["x"] - b["x"], c["y"] - b["y"]
+            side = F.hypot(ux, uy)
+            cosine = F.abs((ux * vx + uy * vy) / (side * F.hypot(vx, vy)))
+            tests += [
+                a["x"] >= 3, a["y"] >= 3, a["x"] <= width - 4, a["y"] <= height - 4,
+                side >= F.least(width, height) * 0.16, ux * vy - uy * vx > 0,
+                ~F.coalesce(cosine > 0.82, F.lit(False)),
+            ]
+        return _all(tests)
 
-    return (F.size(points) == 4) & F.forall(F.sequence(F.lit(0), F.lit(3)), fits)
+    return F.when(F.size(points) == 4, let(points, check)).otherwise(F.lit(False))
 
 
 def order_quad(points: Column) -> Column:
