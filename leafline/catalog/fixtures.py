@@ -6,7 +6,7 @@ aggregate that combines before the shuffle, so a hot key stays cheap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.catalog.registry import table
@@ -96,7 +96,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _placed_words(spark: SparkSession, sf: str, per_line: int) -> DataFrame:
+def _placed_words(spark: SparkSession, sf: str, per_line: int | Column) -> DataFrame:
     def place(w, n):
         line = F.floor(n / per_line).cast("int")
         before = F.slice(F.col("ws"), line * per_line + 1, n % per_line)
@@ -134,11 +134,11 @@ def skewed_glyphs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-COLUMN_GLYPHS_SQL = _WORDS_SQL.format(per_line=3) + """,
+COLUMN_GLYPHS_SQL = _WORDS_SQL.format(per_line="(CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 6 END)") + """,
 column_words AS (
   SELECT doc_id, cast(ln // 60 AS int) AS page_no, n AS glyph_no, word AS str,
-         cast(72 + 260 * ((ln // 30) % 2) + 3 * lead_chars AS double) AS x,
-         cast(700 - 14 * (ln % 30) AS double) AS y, cast(3 * length(word) AS double) AS width, cast(6 AS double) AS size
+         cast(72 + 260 * ((ln // 30) % 2) + 2 * lead_chars AS double) AS x,
+         cast(700 - 14 * (ln % 30) AS double) AS y, cast(2 * length(word) AS double) AS width, cast(6 AS double) AS size
   FROM prose),
 glyphs AS (
   SELECT * FROM column_words UNION ALL
@@ -147,16 +147,17 @@ glyphs AS (
 
 
 def column_glyphs(spark: SparkSession, sf: str) -> DataFrame:
-    """Two columns of 30 short lines under a wide title."""
-    p = _placed_words(spark, sf, 3)
+    """Two columns of 30 lines under a wide title; every third document has short lines."""
+    per_line = F.when(F.col("doc_id") % 3 == 0, 3).otherwise(6)
+    p = _placed_words(spark, sf, per_line)
     body = p.select(
         "doc_id", F.floor(F.col("ln") / 60).cast("int").alias("page_no"), F.col("n").alias("glyph_no"),
         F.col("word").alias("str"),
-        (72 + 260 * (F.floor(F.col("ln") / 30) % 2) + 3 * F.col("lead")).cast("double").alias("x"),
+        (72 + 260 * (F.floor(F.col("ln") / 30) % 2) + 2 * F.col("lead")).cast("double").alias("x"),
         (700 - 14 * (F.col("ln") % 30)).cast("double").alias("y"),
-        (3 * F.length("word")).cast("double").alias("width"), F.lit(6.0).alias("size"),
+        (2 * F.length("word")).cast("double").alias("width"), F.lit(6.0).alias("size"),
     )
-    pages = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("ws") - 1) / 180)).cast("int"))
+    pages = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("ws") - 1) / (60 * per_line))).cast("int"))
     title = words(spark, sf).where(F.size("ws") > 0).select(
         "doc_id", F.explode(pages).alias("page_no"), F.lit(-1).alias("glyph_no"),
         F.lit("Title of this page").alias("str"), F.lit(72.0).alias("x"), F.lit(760.0).alias("y"),

@@ -26,5 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Tables whose rows are long texts, so that a small file still means much work per row.
+_TEXTS = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; text tables read in fewer splits than there are cores are spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXTS and cores > 1 and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
