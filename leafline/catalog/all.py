@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from leafline.catalog import blocks, documents, functions, layout, streams, words  # noqa: F401
+from leafline.catalog import blocks, documents, functions, layout, plans, streams, words  # noqa: F401
