@@ -16,7 +16,7 @@ ITEM_SCHEMA = (
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """A corpus folder as (path, name, mime, size, modified, content, kind)."""
+    """A corpus folder as (path, name, mime, size, modified, content, kind); Spark lists no empty files."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)
     f = f.select(
