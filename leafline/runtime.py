@@ -17,6 +17,8 @@ def local_session(cores: int | str = 8, app: str = "leafline", **conf: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
