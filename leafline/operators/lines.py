@@ -229,66 +229,74 @@ def lines(glyphs: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     line, token = [*keys, "line_no"], [*keys, "line_no", "token_no"]
     g = _pieces(token_groups(glyphs, keys), line, "_l")
     g = _pieces(g, token, "_t")
-    last = F.struct("x", (-F.col("y")).alias("ny"), "glyph_no", (F.col("x") + F.col("_gw")).alias("x_end"))
+    end = (F.col("x") + F.col("_gw")).alias("x_end")
+    last = F.struct("x", (-F.col("y")).alias("ny"), "glyph_no", end)
     weight = F.greatest(F.lit(1), F.length(strip_white(F.col("str"))))
-    per_token = g.groupBy(*token).agg(
-        _join_pieces("_pos_t", "_piece_t").alias("_text"),
-        F.collect_list(F.struct(F.col("_pos_l").alias("p"), F.col("_piece_l").alias("t"))).alias("_line"),
-        F.collect_list(F.struct("size", weight.alias("w"))).alias("_sizes"),
-        F.min("x").alias("_x"),
-        F.max(last).alias("_last"),
-        F.sum("y").alias("_y"),
-        F.count(F.lit(1)).alias("_n"),
-        F.max("size").alias("_size"),
-        F.max("bold").alias("_bold"),
-        F.max("italic").alias("_italic"),
-        F.max("_rtl_l").alias("_rtl"),
+    member = F.struct(
+        "token_no", F.col("_pos_t").alias("pos"), F.col("_piece_t").alias("piece"), "x", (-F.col("y")).alias("ny"),
+        "glyph_no", end, "size", weight.alias("w"),
     )
-    per_line = per_token.groupBy(*line).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.flatten(F.collect_list("_line"))), lambda s: s["t"]), ""
-        ).alias("text"),
-        _weighted_median(F.flatten(F.collect_list("_sizes"))).alias("font_size"),
-        F.min("_x").alias("x"),
-        F.max("_last")["x_end"].alias("x_end"),
-        (F.sum("_y") / F.sum("_n")).alias("y"),
-        F.greatest(F.max("_size"), F.lit(11.0)).alias("height"),
-        F.max("_bold").alias("bold"),
-        F.max("_italic").alias("italic"),
-        F.max("_rtl").alias("rtl"),
-        F.sort_array(
-            F.collect_list(
-                F.struct("token_no", F.col("_text").alias("text"), F.col("_x").alias("x"), F.col("_last.x_end").alias("x_end"))
-            )
-        ).alias("tokens"),
+    per_line = g.groupBy(*line).agg(
+        _join_pieces("_pos_l", "_piece_l").alias("text"),
+        F.sort_array(F.collect_list(member)).alias("_members"),
+        F.max("token_no").alias("_last_token"),
+        F.min("x").alias("x"),
+        F.max(last)["x_end"].alias("x_end"),
+        F.avg("y").alias("y"),
+        F.max("size").alias("_largest"),
+        F.min("size").alias("_smallest"),
+        F.max("bold").alias("bold"),
+        F.max("italic").alias("italic"),
+        F.max("_rtl_l").alias("rtl"),
+    )
+    members = F.col("_members")
+    size = F.when(F.col("_largest") == F.col("_smallest"), F.col("_largest")).otherwise(
+        _weighted_median(F.sort_array(F.transform(members, lambda m: F.struct(m["size"], m["w"]))))
+    )
+    many = F.transform(
+        F.sequence(F.lit(0), F.col("_last_token")),
+        lambda k: _token(k, F.filter(members, lambda m: m["token_no"] == k)),
+    )
+    return per_line.select(
+        *line, "text", size.alias("font_size"), "x", "x_end", "y",
+        F.greatest("_largest", F.lit(11.0)).alias("height"), "bold", "italic", "rtl",
+        F.when(F.col("_last_token") == 0, F.array(_token(F.lit(0), members))).otherwise(many).alias("tokens"),
+    )
+
+
+def _token(number: Column, members: Column) -> Column:
+    """struct(token_no, text, x, x_end) of the glyphs of one token, sorted by reading position."""
+    ends = F.transform(members, lambda m: F.struct(m["x"], m["ny"], m["glyph_no"], m["x_end"]))
+    return F.struct(
+        number.alias("token_no"),
+        F.array_join(F.transform(members, lambda m: m["piece"]), "").alias("text"),
+        F.array_min(F.transform(members, lambda m: m["x"])).alias("x"),
+        F.array_max(ends)["x_end"].alias("x_end"),
     )
-    return per_line
+
+
+def line_lengths(glyphs: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Baseline and text length of each line, without assembling the text."""
+    line = [*keys, "line_no"]
+    g = _pieces(visible(with_glyph_defaults(glyphs)), line, "")
+    return g.groupBy(*line).agg(F.avg("y").alias("y"), F.sum(F.length("_piece")).cast("int").alias("length"))
 
 
 def _weighted_median(sizes: Column) -> Column:
-    """Upper median of sizes, each counted once per printed character."""
+    """Upper median of sorted struct(size, w), each size counted once per printed character."""
+    total = F.aggregate(sizes, F.lit(0), lambda a, s: a + s["w"])
+    zero = F.struct(
+        F.lit(0).alias("seen"), F.floor(total / 2).alias("half"), F.lit(None).cast("double").alias("size")
+    )
 
-    def pick(array):
-        total = F.aggregate(array, F.lit(0), lambda a, s: a + s["w"])
-        zero = F.struct(
-            F.lit(0).alias("seen"), F.floor(total / 2).alias("half"), F.lit(None).cast("double").alias("size")
+    def step(acc, s):
+        seen = acc["seen"] + s["w"]
+        hit = acc["size"].isNull() & (seen > acc["half"])
+        return F.struct(
+            seen.alias("seen"), acc["half"].alias("half"), F.when(hit, s["size"]).otherwise(acc["size"]).alias("size")
         )
 
-        def step(acc, s):
-            seen = acc["seen"] + s["w"]
-            hit = acc["size"].isNull() & (seen > acc["half"])
-            return F.struct(
-                seen.alias("seen"), acc["half"].alias("half"),
-                F.when(hit, s["size"]).otherwise(acc["size"]).alias("size"),
-            )
-
-        return F.aggregate(array, zero, step, lambda acc: acc["size"])
-
-    return F.when(
-        F.array_min(F.transform(sizes, lambda s: s["size"]))
-        == F.array_max(F.transform(sizes, lambda s: s["size"])),
-        F.element_at(sizes, 1)["size"],
-    ).otherwise(pick(F.sort_array(sizes)))
+    return F.aggregate(sizes, zero, step, lambda acc: acc["size"])
 
 
 def tokens(lines_: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
