@@ -35,15 +35,16 @@ def _chunks(word: Column, size: Column, width: Column, metrics: Column | None) -
     return F.aggregate(F.split(word, ""), zero, step, lambda s: F.concat(s["out"], F.array(s["cur"])))
 
 
-def flow_lines(paras: DataFrame, width: float, metrics: dict[str, float] | None = None) -> DataFrame:
+def flow_lines(paras: DataFrame, width: float | Column, metrics: dict[str, float] | None = None) -> DataFrame:
     """Greedy wrap of every paragraph: (doc_id, para_no, line_no, text, width).
 
-    ``paras`` is (doc_id, para_no, text, size). ``metrics`` maps characters to
+    ``paras`` is (doc_id, para_no, text, size); ``width`` may be one of its
+    columns. ``metrics`` maps characters to
     their advance per point of size: a font's own table, so its size is that of
     a character set. Each paragraph is one row, so nothing is shuffled.
     """
     table = None if metrics is None else F.create_map(*[F.lit(v) for kv in metrics.items() for v in kv])
-    limit = F.lit(float(width))
+    limit = width if isinstance(width, Column) else F.lit(float(width))
     raw = F.regexp_extract_all("text", F.lit("( +|\\n|[^ \\n]+)"), F.lit(1))
 
     def token(t):
@@ -58,7 +59,7 @@ def flow_lines(paras: DataFrame, width: float, metrics: dict[str, float] | None
 
     def step(s, t):
         newline = t["t"] == "\n"
-        over = (s["w"] + t["all"] > limit) & s["any"]
+        over = (s["w"] + t["all"] > F.col("_limit")) & s["any"]
         flush = newline | over
         line = F.struct(s["cur"].alias("text"), s["w"].alias("width"))
         dropped = newline | (over & t["blank"])
@@ -78,7 +79,9 @@ def flow_lines(paras: DataFrame, width: float, metrics: dict[str, float] | None
         last = F.array(F.struct(s["cur"].alias("text"), s["w"].alias("width")))
         return F.when(s["any"] | (F.size(s["lines"]) == 0), F.concat(s["lines"], last)).otherwise(s["lines"])
 
-    p = paras.select("doc_id", "para_no", "size", F.flatten(F.transform(raw, token)).alias("_tokens"))
+    p = paras.select(
+        "doc_id", "para_no", F.flatten(F.transform(raw, token)).alias("_tokens"), limit.alias("_limit")
+    )
     return p.select("doc_id", "para_no", F.posexplode_outer(F.aggregate("_tokens", zero, step, finish)).alias("line_no", "_l")).select(
         "doc_id", "para_no", "line_no", F.col("_l.text").alias("text"), F.col("_l.width").alias("width")
     )

@@ -199,3 +199,41 @@ def test_paginate_matches_brute_force(spark):
         want, count = pages_of(blocks, 280.0, 20.0)
         assert sorted(placed[doc]) == want
         assert counts[doc] == count
+
+
+STYLES = f"""<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="20"/></w:rPr></w:rPrDefault></w:docDefaults>
+<w:style w:type="paragraph" w:styleId="L"><w:name w:val="List"/><w:pPr><w:numPr><w:numId w:val="4"/></w:numPr></w:pPr><w:rPr><w:b/></w:rPr></w:style>
+<w:style w:type="table" w:styleId="T1"><w:name w:val="Base"/><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="8" w:color="FF0000"/><w:left w:val="single"/></w:tblBorders></w:tblPr></w:style>
+<w:style w:type="table" w:styleId="T2"><w:basedOn w:val="T1"/><w:tblPr><w:tblBorders><w:left w:val="nil"/></w:tblBorders></w:tblPr></w:style></w:styles>"""
+NUMBERING = f"""<w:numbering {NS}><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum>
+<w:num w:numId="4"><w:abstractNumId w:val="7"/></w:num></w:numbering>"""
+
+
+def item(text, level):
+    return p(text, f'<w:pPr><w:pStyle w:val="L"/><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="4"/></w:numPr></w:pPr>')
+
+
+def test_word_flow_numbers_lists_and_pages(spark):
+    from leafline.operators.word import resolve_table_styles
+    from leafline.plans.word_flow import word_flow
+    from leafline.sources.docx import docx_style_tables
+
+    body = (
+        p("Heading", '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>') + item("one", 0) + item("sub", 1) + item("two", 0) + item("again", 1)
+        + '<w:p><w:r><w:br w:type="page"/></w:r></w:p>' + p("After the break")
+        + "<w:tbl><w:tr><w:tc>" + p("cell a") + "</w:tc><w:tc>" + p("cell b") + "</w:tc></w:tr></w:tbl>"
+    )
+    content = package(body, **{"word__styles.xml": STYLES, "word__numbering.xml": NUMBERING})
+    parts = docx_parts(spark.createDataFrame([(1, content)], "doc_id bigint, content binary"))
+    f = word_flow(parts)
+    texts = [r.text for r in f.lines.orderBy("para_no", "line_no").collect()]
+    assert texts == ["Heading", "1. one", "1. sub", "2. two", "1. again", "After the break", "cell a", "cell b"]
+    placed = f.placed.where("block_no IS NOT NULL").orderBy("block_no").collect()
+    assert [(r.block_no, r.page_no) for r in placed] == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (6, 1), (7, 1)]
+    assert f.placed.where("block_no IS NULL").first().page_count == 2
+    heading = f.paragraphs.where("para_no = 0").first()
+    assert (heading.heading, heading.size, heading.bold) == (1, 18.0, True)
+    s = docx_style_tables(parts)
+    edges = {(r.style_id, r.side): r.edge for r in resolve_table_styles(s["table_styles"], s["edges"]).collect()}
+    assert edges == {("T1", "top"): "1 FF0000", ("T1", "left"): "0.5 000000", ("T2", "top"): "1 FF0000", ("T2", "left"): None}
+    assert s["defaults"].first().default_size == 10.0
