@@ -36,8 +36,12 @@ def strip_white(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Runs of tab, CR, LF and space become one space; ends trimmed."""
-    return trim_all(F.regexp_replace(text, "[\\t\\r\\n ]+", " "))
+    """Runs of tab, CR, LF and space become one space; ends trimmed.
+
+    Single words, which most glyphs are, pass one test and no replacement.
+    """
+    cleaned = trim_all(F.regexp_replace(text, "[\\t\\r\\n ]+", " "))
+    return F.when(text.rlike(f"[{WHITE}]"), cleaned).otherwise(text)
 
 
 def strip_control(text: Column) -> Column:
