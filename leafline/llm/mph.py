@@ -34,7 +34,7 @@ class PerfectHash:
 
     @staticmethod
     def _cell(keys: np.ndarray, salt: int, cells: int) -> np.ndarray:
-        return (mix(keys + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(cells)).astype(np.int64)
+        return (mix(keys + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(cells)).astype(np.int64)
 
     def index(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)

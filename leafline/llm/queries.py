@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import host_rules, language
+from leafline.llm import bpe, host_rules, language, line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +65,28 @@ def op8_language(spark, sf_dir):
     codes = language.fit(docs.filter("NOT held_out"))
     # the fold follows from the id, which the prediction carries
     return language.held_out(language.predict(docs, codes)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@_query("op9_byte_bpe")
+def op9_byte_bpe(spark, sf_dir):
+    coded = bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT rowid AS r, doc_id, u.i, u.line, translate(trim(u.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+    (SELECT unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line) u),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+g AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id < k.last AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM g GROUP BY r, doc_id
+"""
+
+
+@_query("op3_line_dedup", OP3_SQL)
+def op3_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

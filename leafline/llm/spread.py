@@ -13,10 +13,16 @@ from __future__ import annotations
 import math
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.runtime import ship
+
 BLOCK_BYTES = 8 << 20  # text a block holds, about
+NO_ID = -(2**63)
 ARROW_ROWS = 256  # rows per Arrow batch: very long texts may come together
 
 
@@ -25,7 +31,8 @@ def slots(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as rows are whole texts."""
+    """Ready the session for functions over Arrow batches: few rows each, as rows are whole texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -61,7 +68,36 @@ def in_blocks(docs: DataFrame, bounds: list[int]) -> DataFrame:
     """(block, doc_id, text), one partition of the exchange for several blocks; a null doc_id is in block 0."""
     block: Column = F.lit(0)
     if bounds:
-        # halving search: the number of boundaries at or below the id
-        block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id")))
+        # the number of boundaries at or below the id: first among every step-th one, then between two of these
+        step = math.isqrt(len(bounds)) + 1
+        below = F.size(F.filter(_longs(bounds[step - 1 :: step]), lambda b: b <= F.col("doc_id")))
+        near = F.slice(_longs(bounds), F.col("below") * step + 1, step)
+        docs = docs.select("doc_id", "text", below.alias("below"))
+        block = F.coalesce(F.col("below") * step + F.size(F.filter(near, lambda b: b <= F.col("doc_id"))), F.lit(0))
         block = F.when(F.col("doc_id").isNull(), 0).otherwise(block)
     return docs.select(block.cast("int").alias("block"), "doc_id", "text").repartition(slots(docs.sparkSession), "block")
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
+
+
+def ordered(group: pa.Table) -> tuple[np.ndarray, pa.ChunkedArray, pa.ChunkedArray]:
+    """A block's ids (a null one below all others), ids as they are, and texts, in an order that does not hang on how rows arrived."""
+    at = pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+    group = group.take(at)
+    ids = group.column("doc_id")
+    return ids.fill_null(NO_ID).to_numpy(), ids, group.column("text")
+
+
+def deal(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """Positions of the keys (increasing) by shard; shards without a key are left out."""
+    shard = (keys >> np.uint64(40)) % np.uint64(shards)
+    order = np.argsort(shard.astype(np.uint32), kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    return [(s, order[bounds[s] : bounds[s + 1]]) for s in np.flatnonzero(np.diff(bounds)).tolist()]
+
+
+def packed(columns: dict[str, list]) -> pa.Table:
+    """A table of int and binary columns."""
+    return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "block", "kind") else pa.binary()) for k, v in columns.items()})
