@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, host_rules, language, line_dedup
+from leafline.llm import bpe, host_rules, language, line_dedup, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,22 @@ FROM g GROUP BY r, doc_id
 def op3_line_dedup(spark, sf_dir):
     kept = line_dedup.dedup_lines(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT r, doc_id, u.i, md5(array_to_string(w[u.i : u.i + 49], ' ')) AS v FROM d, (SELECT unnest(range(1, len(w) - 48)) AS i) u),
+m AS (SELECT v, min(doc_id) AS first FROM p GROUP BY v),
+b AS (SELECT r, p.i FROM p JOIN m USING (v) WHERE doc_id > first),
+g AS (SELECT DISTINCT r, i + s.s AS i FROM b, range(50) s(s)),
+x AS (SELECT r, list(i) AS gone FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda y, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
+
+
+@_query("op5_substring", OP5_SQL)
+def op5_substring(spark, sf_dir):
+    kept = substring.dedup_substrings(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
