@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, host_rules, language, line_dedup, substring
+from leafline.llm import bpe, host_rules, language, line_dedup, substring, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,26 @@ FROM d LEFT JOIN x USING (r)
 def op5_substring(spark, sf_dir):
     kept = substring.dedup_substrings(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id * 4294967296 + i AS place, i, v FROM (
+  SELECT r, doc_id, unnest(range(0, length(h) // 2 - 99)) AS i, unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: hash(substr(h, 2 * i + 1, 200)))) AS v FROM d)),
+m AS (SELECT v, min(place) AS first FROM p GROUP BY v HAVING count(*) > 1),
+b AS (SELECT r, p.i FROM p JOIN m USING (v) WHERE place > first),
+s AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 100, true) AS new FROM b),
+n AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM s),
+g AS (SELECT r, k, min(i) AS a, max(i) + 100 AS e FROM n GROUP BY r, k),
+x AS (SELECT d.r, g.a, g.e, substr(h, 2 * lag(g.e, 1, 0) OVER (PARTITION BY d.r ORDER BY g.a) + 1, 2 * (g.a - lag(g.e, 1, 0) OVER (PARTITION BY d.r ORDER BY g.a))) AS piece FROM d JOIN g USING (r)),
+y AS (SELECT r, sum(e - a) AS gone, count(*) AS spans, max(e) AS last, string_agg(piece, '' ORDER BY a) AS kept FROM x GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN y USING (r)
+"""
+
+
+@_query("op10_suffix_array", OP10_SQL)
+def op10_suffix_array(spark, sf_dir):
+    kept = suffixes.dedup_bytes(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

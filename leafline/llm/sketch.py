@@ -1,7 +1,7 @@
 """A count-min sketch that grows with the data: blocks send their part, shards merge ranges of cells and answer.
 
 A partition sketch counts a block's distinct keys, saturated at two; it goes
-out as the sorted used cells, about two bytes each.  A shard adds the sketches
+out as the sorted used cells, two or three bytes each.  A shard adds the sketches
 of all blocks for its range of cells, and tells each block for each cell it
 sent whether the merged count reaches two.  Counts are never too low, so no
 repeated key is lost.  The width follows the number of keys.
@@ -17,26 +17,27 @@ import pyarrow as pa
 from leafline.llm import arrays as A
 from leafline.llm.spread import packed
 
-_FULL = 65535
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Increasing non-negative integers as 16-bit steps."""
+def pack_sorted(values: np.ndarray, width: int = 2) -> bytes:
+    """Increasing non-negative integers as steps of ``width`` bytes; an all-ones step goes on in the next one."""
+    full = (1 << 8 * width) - 1
     steps = np.diff(values.astype(np.int64), prepend=0)
-    wide = steps // _FULL
-    out = np.full(len(steps) + int(wide.sum()), _FULL, np.uint16)
-    out[np.cumsum(wide + 1) - 1] = steps - wide * _FULL
-    return out.tobytes()
+    wide = steps // full
+    out = np.full(len(steps) + int(wide.sum()), full, np.uint32)
+    out[np.cumsum(wide + 1) - 1] = steps - wide * full
+    return out.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, np.uint16)
-    return np.cumsum(steps, dtype=np.int64)[steps != _FULL]
+def unpack_sorted(raw: bytes, width: int = 2) -> np.ndarray:
+    steps = np.zeros((len(raw) // width, 4), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    steps = steps.view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.int64)[steps != (1 << 8 * width) - 1]
 
 
 class Sketch:
-    def __init__(self, keys: float, shards: int, depth: int, room: int = 4) -> None:
-        """``keys``: about how many there are; ``room``: cells per key in each of the ``depth`` rows, at least."""
+    def __init__(self, keys: float, shards: int, depth: int, room: int = 4, width: int = 2) -> None:
+        """``keys``: about how many there are; ``room``: cells per key in each of the ``depth`` rows, at least; ``width``: bytes of a step."""
+        self.width = width
         self.bits = max(16, math.ceil(math.log2(max(1.0, keys * room))))
         self.shards = shards
         self.depth = depth
@@ -61,7 +62,7 @@ class Sketch:
                 out["shard"].append(s)
                 out["block"].append(block)
                 out["kind"].append(row)
-                out["cells"].append(pack_sorted(2 * (cell[part] - self.bounds[s]) + (count[part] > 1)))
+                out["cells"].append(pack_sorted(2 * (cell[part] - self.bounds[s]) + (count[part] > 1), self.width))
         return packed(out)
 
     def merge(self, group: pa.Table) -> pa.Table:
@@ -69,22 +70,21 @@ class Sketch:
         out: dict[str, list] = {"block": [], "shard": [], "kind": [], "bits": []}
         shard = group.column("shard")[0].as_py()
         rows = group.column("kind").to_numpy()
-        width = int(self.bounds[shard + 1] - self.bounds[shard])
         for row in np.unique(rows).tolist():
             part = group.filter(pa.array(rows == row))
-            # two saturated bits a cell: used, used twice
-            used, twice = np.zeros(width, bool), np.zeros(width, bool)
-            sent = part.column("cells")
-            for raw in sent:
-                value = unpack_sorted(raw.as_py())
-                cell = value >> 1
-                twice[cell] |= used[cell] | (value & 1).astype(bool)
-                used[cell] = True
-            for block, raw in zip(part.column("block").to_pylist(), sent):
+            sent = part.column("cells").to_pylist()
+            values = [unpack_sorted(raw, self.width) for raw in sent]
+            every = np.sort(np.concatenate(values))
+            cell = every >> 1
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            # the count of a cell: its blocks, or twice for a block that counts it twice (the last value of a cell)
+            last = np.append(first[1:], len(cell)) - 1
+            used, twice = cell[first], (last > first) | (every[last] & 1).astype(bool)
+            for block, value in zip(part.column("block").to_pylist(), values):
                 out["block"].append(block)
                 out["shard"].append(shard)
                 out["kind"].append(row)
-                out["bits"].append(np.packbits(twice[unpack_sorted(raw.as_py()) >> 1]).tobytes())
+                out["bits"].append(np.packbits(twice[np.searchsorted(used, value >> 1)]).tobytes())
         return packed(out)
 
     def repeated(self, keys: np.ndarray, answers: pa.Table) -> np.ndarray:

@@ -54,11 +54,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def profile(docs: DataFrame) -> tuple[list[int], int]:
+def profile(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[list[int], int]:
     """Boundaries of the blocks (increasing doc_ids) and the bytes of all texts, by one aggregation."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(2 * slots(spark), math.ceil(total / BLOCK_BYTES))
+    blocks = max(2 * slots(spark), math.ceil(total / block_bytes))
     steps = [i / blocks for i in range(1, blocks)]
     bounds = docs.agg(F.percentile_approx("doc_id", steps, 100 * blocks)).first()[0] or []
     return sorted(set(bounds)), total
