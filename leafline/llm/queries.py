@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, host_rules, language, line_dedup, substring, suffixes
+from leafline.llm import bpe, host_rules, language, line_dedup, minhash, substring, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,21 @@ FROM d LEFT JOIN y USING (r)
 def op10_suffix_array(spark, sf_dir):
     kept = suffixes.dedup_bytes(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM t),
+n AS (SELECT doc_id, len(s) AS n, s FROM s),
+u AS (SELECT doc_id, n, unnest(s) AS x FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id AS d, doc_id AS k FROM n UNION SELECT e.b, c.k FROM c JOIN e ON e.a = c.d WHERE c.k < e.b)
+SELECT doc_id, n::BIGINT AS n_shingles, k AS component_id, doc_id = k AS kept FROM n JOIN (SELECT d, min(k) AS k FROM c GROUP BY d) ON d = doc_id
+"""
+
+
+@_query("op4_minhash", OP4_SQL)
+def op4_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4)
