@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, host_rules, language, line_dedup, minhash, substring, suffixes
+from leafline.llm import bpe, host_rules, language, line_dedup, minhash, pii, substring, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,51 @@ SELECT doc_id, n::BIGINT AS n_shingles, k AS component_id, doc_id = k AS kept FR
 @_query("op4_minhash", OP4_SQL)
 def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4)
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+_HOST = "coalesce(translate(regexp_extract({a}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(regexp_extract({a}, '^[^/?#]*([^?#]*)', 1), '')"
+_ADDRESS = "CASE WHEN host != '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract({a}, '^[^?#]*(\\?[^#]*)?', 1) END"
+_AFTER = "CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) END"
+
+OP6_SQL = rf"""
+WITH RECURSIVE r(verdict, rule) AS (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')),
+a AS (SELECT page_id, html, {_AFTER.format(u='url')} AS a FROM pages),
+h AS (SELECT page_id, html, a, {_HOST.format(a='a')} AS host, {_PATH.format(a='a')} AS path FROM a),
+p AS (SELECT *, {_ADDRESS.format(a='a')} AS address FROM h),
+k AS (
+  SELECT address, host, path, replace(unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]), '&amp;', '&') AS link
+  FROM p WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+l AS (
+  SELECT address, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link
+    WHEN link = '' OR regexp_matches(link, '^([#?]|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL
+    ELSE 'http://' || host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link END AS url FROM k WHERE link != ''),
+la AS (SELECT address, {_AFTER.format(u='url')} AS a FROM l),
+lh AS (SELECT address, a, {_HOST.format(a='a')} AS host, {_PATH.format(a='a')} AS path FROM la),
+t AS (SELECT address AS u, {_ADDRESS.format(a='a')} AS v FROM lh),
+e AS (SELECT u, v FROM t WHERE u IS NOT NULL AND v IS NOT NULL UNION SELECT v, u FROM t WHERE u IS NOT NULL AND v IS NOT NULL),
+c AS (SELECT u AS n, u AS m FROM e UNION SELECT c.n, e.v FROM c JOIN e ON e.u = c.m),
+q AS (SELECT n, m, split_part(split_part(m, '/', 1), '?', 1) AS host, regexp_extract(m, '^[^/?#]*([^?#]*)', 1) AS path FROM c),
+f AS (SELECT n, m, first(verdict ORDER BY length(rule) DESC) AS verdict FROM q JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY n, m),
+b AS (SELECT n FROM f GROUP BY n HAVING count(*) FILTER (verdict = 'allow') = 0),
+o AS (SELECT DISTINCT host, path FROM p),
+w AS (SELECT o.host, o.path, first(rule ORDER BY length(rule) DESC) AS rule, first(verdict ORDER BY length(rule) DESC) AS verdict FROM o JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY o.host, o.path)
+SELECT page_id, p.host, p.path, w.rule, coalesce(w.verdict, CASE WHEN p.address IN (SELECT n FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN w ON p.host = w.host AND p.path = w.path
+"""
+
+
+@_query("op6_redirects", OP6_SQL)
+def op6_redirects(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.filter_urls(pages, urls.rule_table(spark, URL_RULES))
+
+
+@_query("op7_personal")
+def op7_personal(spark, sf_dir):
+    found = pii.find_personal_data(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
