@@ -1,12 +1,51 @@
-"""From raw documents to encoded training documents."""
+"""From raw documents to encoded training documents, in five stages over the operators of ``leafline.llm``.
+
+Every stage takes the documents that its predecessor kept and returns them with
+the columns they came with; the last one returns ids.  Null and empty texts go
+with the quality rules; a null doc_id is kept as any other; repeated rows of
+one doc_id are one document to the near-duplicate stage, and stay together.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from leafline.llm import bpe, decontaminate, host_rules, line_dedup, minhash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule, from hosts that are not rejected."""
+    return host_rules.keep_quality(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more of them share, which the last of these keeps."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (five-word shingles, similarity 0.8)."""
+    return minhash.without_near_duplicates(docs, shingle=5, percent=80)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark table."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", benchmark), ("encoding", encode)]
+
+#: ids of a byte-level BPE are beyond SQL; tests/llm compares run() with a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm import arrays as A
-from leafline.llm.spread import keep, small_batches
+from leafline.llm.spread import few, keep, small_batches
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20  # most words in repeated windows, of 100 words
@@ -24,10 +24,12 @@ SYMBOL_PERCENT = 10  # most symbols, of 100 word characters
 DUP_LINES_PERCENT = 30  # most repeated lines, of 100 lines with a word
 WINDOW = 5
 HOST_LIMIT = 0.5  # a host is rejected from this shrunk failure rate on
+SALTS = 16
 STRENGTH = (1.0, 1e6)  # bounds of the prior's weight in documents
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-_COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+_COUNTS = ", ".join(f"{name} long" for name in _NAMES)
 
 
 def _repeats(values: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -77,17 +79,19 @@ def text_counts(texts: pa.Array) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = text_counts(batch.column("text"))
-        names = [c.split()[0] for c in _COUNTS.split(", ")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *[pa.array(x) for x in found]], ["doc_id", "host", *names])
+def _counted(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = text_counts(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *[pa.array(x) for x in found]], [*columns, *_NAMES])
+
+    return run
 
 
 def rule_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the counts that the rules need, of every whole text."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(_count_batches, f"doc_id long, host string, {_COUNTS}")
+    return docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(_counted(["doc_id", "host"]), f"doc_id long, host string, {_COUNTS}")
 
 
 def rule_failures(counted: DataFrame) -> DataFrame:
@@ -119,6 +123,30 @@ def host_rates(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def host_quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """Counts, base_failed and kept (neither the document nor its host rejected) for every document."""
     judged = keep(rule_failures(rule_counts(docs, host)))
-    bad = host_rates(judged, limit).filter("rejected").select("host", F.lit(True).alias("bad_host"))
+    bad = keep(host_rates(judged, limit).filter("rejected").select("host", F.lit(True).alias("bad_host")))
     kept = ~F.col("base_failed") & F.col("bad_host").isNull()
-    return judged.join(bad, "host", "left").withColumn("kept", kept).drop("bad_host")
+    return _with_hosts(judged, bad).withColumn("kept", kept).drop("bad_host")
+
+
+def _with_hosts(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows left-joined to the rejected hosts by host: by broadcast while these are few, else with a hot host's rows dealt to SALTS parts."""
+    small = few(bad)
+    if small is not bad:
+        return rows.join(small, "host", "left")
+    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["host", "salt"], "left").drop("salt")
+
+
+def keep_quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """The documents, with all their columns, that neither the base rule nor their host's verdict rejects.
+
+    The texts are counted twice, once for the hosts and once for the filter, and never shuffled.
+    """
+    judged = rule_failures(rule_counts(docs, host))
+    bad = keep(host_rates(judged, limit).filter("rejected").select("host", F.lit(True).alias("bad_host")))
+    # the document's own columns travel as one, so that none clashes with a count
+    packed = docs.select("doc_id", F.col(host).alias("host"), "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("own"))
+    columns = ["doc_id", "host", "text", "own"]
+    counted = packed.mapInArrow(_counted(columns), f"doc_id long, host string, text string, own {packed.schema['own'].dataType.simpleString()}, {_COUNTS}")
+    kept = _with_hosts(rule_failures(counted), bad).filter("NOT base_failed AND bad_host IS NULL")
+    return kept.select(*[(F.col("text") if c == "text" else F.col("own")[c]).alias(c) for c in docs.columns])

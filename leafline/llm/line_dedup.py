@@ -15,14 +15,14 @@ has a key; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from leafline.llm import arrays as A
 from leafline.llm.mph import PerfectHash
-from leafline.llm.spread import deal, in_blocks, ordered, packed, profile, slots, small_batches
+from leafline.llm.spread import deal, in_blocks, in_order, ordered, packed, profile, slots, small_batches
 
 MIN_LENGTH = 20  # code points of a key
 MIN_DOCUMENTS = 3
@@ -77,13 +77,14 @@ def _block_keys(ids: np.ndarray, texts: pa.ChunkedArray) -> tuple[np.ndarray, np
     return key[first], last - first + 1, holder[last] if len(key) else holder
 
 
-def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text of every document."""
+def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, carried: Column | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_text of every document, and ``carried`` of its row as a column of that name."""
     spark = docs.sparkSession
     small_batches(spark)
     bounds, _ = profile(docs)
     shards = slots(spark)
-    blocks = in_blocks(docs, bounds)
+    blocks = in_blocks(docs, bounds, carried)
+    carries = carried is not None
 
     def send(group: pa.Table) -> pa.Table:
         ids, _, texts = ordered(group)
@@ -118,6 +119,7 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFram
         return packed({"block": blocks_.tolist(), "shard": group.column("shard").to_pylist(), "bits": out})
 
     def drop(group: pa.Table, answers: pa.Table) -> pa.Table:
+        group = in_order(group)
         ids, given, texts = ordered(group)
         key, _, largest = _block_keys(ids, texts)
         common, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
@@ -141,8 +143,20 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFram
                     kept.append(b"\n".join([raw[a:b] for a, b in zip(starts[stay].tolist(), ends[stay].tolist())]).decode())
                 else:
                     kept.append(raw[offsets[i] : offsets[i + 1]].decode())
-        return pa.table({"doc_id": given, "n_lines": pa.array(np.concatenate(n_lines)), "n_dropped": pa.array(np.concatenate(n_dropped)), "kept_text": pa.array(kept, pa.string())})
+        out = pa.table({"doc_id": given, "n_lines": pa.array(np.concatenate(n_lines)), "n_dropped": pa.array(np.concatenate(n_dropped)), "kept_text": pa.array(kept, pa.string())})
+        return out.append_column("carried", group.column("carried")) if carries else out
 
+    schema = "doc_id long, n_lines long, n_dropped long, kept_text string"
+    if carries:
+        schema += f", carried {blocks.schema['carried'].dataType.simpleString()}"
     sent = blocks.groupBy("block").applyInArrow(send, "shard int, block int, keys binary, counts binary")
     answers = sent.groupBy("shard").applyInArrow(answer, "block int, shard int, bits binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(drop, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(drop, schema)
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, less the lines that others repeat; n_chars, if there, is that of the new text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = dedup_lines(docs, carried=F.struct(*[F.col(c) for c in others]) if others else None)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*[(new[c] if c in new else F.col(c) if c == "doc_id" else F.col("carried")[c]).alias(c) for c in docs.columns])

@@ -224,3 +224,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     joined = salted.join(table, ["node", "salt"], "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, that stand for their class; all rows of such a doc_id stay."""
+    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["stays"]), "left_semi")

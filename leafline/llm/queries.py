@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, host_rules, language, line_dedup, minhash, pii, substring, suffixes, urls
+from leafline.llm import bpe, decontaminate, host_rules, language, line_dedup, minhash, pii, substring, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,8 @@ def op7_personal(spark, sf_dir):
     found = pii.find_personal_data(_documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"] < 4)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@_query("op1_templates")
+def op1_templates(spark, sf_dir):
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

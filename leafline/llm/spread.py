@@ -64,28 +64,33 @@ def profile(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[list[int],
     return sorted(set(bounds)), total
 
 
-def in_blocks(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """(block, doc_id, text), one partition of the exchange for several blocks; a null doc_id is in block 0."""
+def in_blocks(docs: DataFrame, bounds: list[int], carried: Column | None = None) -> DataFrame:
+    """(block, doc_id, text), and ``carried`` as a column of that name, one partition of the exchange for several blocks; a null doc_id is in block 0."""
     block: Column = F.lit(0)
+    names = [] if carried is None else ["carried"]
+    docs = docs.select("doc_id", "text", *[carried.alias(n) for n in names])
     if bounds:
         # the number of boundaries at or below the id: first among every step-th one, then between two of these
         step = math.isqrt(len(bounds)) + 1
         below = F.size(F.filter(_longs(bounds[step - 1 :: step]), lambda b: b <= F.col("doc_id")))
         near = F.slice(_longs(bounds), F.col("below") * step + 1, step)
-        docs = docs.select("doc_id", "text", below.alias("below"))
+        docs = docs.select("doc_id", "text", *names, below.alias("below"))
         block = F.coalesce(F.col("below") * step + F.size(F.filter(near, lambda b: b <= F.col("doc_id"))), F.lit(0))
         block = F.when(F.col("doc_id").isNull(), 0).otherwise(block)
-    return docs.select(block.cast("int").alias("block"), "doc_id", "text").repartition(slots(docs.sparkSession), "block")
+    return docs.select(block.cast("int").alias("block"), "doc_id", "text", *names).repartition(slots(docs.sparkSession), "block")
 
 
 def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
 
 
+def in_order(group: pa.Table) -> pa.Table:
+    return group.take(pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+
+
 def ordered(group: pa.Table) -> tuple[np.ndarray, pa.ChunkedArray, pa.ChunkedArray]:
     """A block's ids (a null one below all others), ids as they are, and texts, in an order that does not hang on how rows arrived."""
-    at = pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
-    group = group.take(at)
+    group = in_order(group)
     ids = group.column("doc_id")
     return ids.fill_null(NO_ID).to_numpy(), ids, group.column("text")
 
@@ -101,3 +106,8 @@ def deal(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
 def packed(columns: dict[str, list]) -> pa.Table:
     """A table of int and binary columns."""
     return pa.table({k: pa.array(v, pa.int32() if k in ("shard", "block", "kind") else pa.binary()) for k, v in columns.items()})
+
+
+def few(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its counted rows are no more than ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
