@@ -1,17 +1,16 @@
 """Suffix-array dedup of bytes: blockwise suffix sorting with a difference cover.
 
-A string of ``LENGTH`` bytes that occurs twice has, at some shift below
-``PERIOD``, a cover sample in both places, as the sampled positions of a text
-form a difference cover.  So a suffix none of whose cover samples (named by
-fingerprints of the ``PERIOD`` shorter rest of the string) repeats is left out
-of the sort.  Long repeats are taken in units first: a unit is a stretch
-between two content-defined cuts, read ``LENGTH - 1`` bytes further; if the
-same unit stands earlier, all strings that start in it do.  The suffixes that
-remain are sorted one suffix bucket (first byte) at a time, by their first
-bytes and, where these tie, by the ranks of cover samples at the shift that
-both suffixes share; neighbours that agree on ``LENGTH`` bytes are one class.
-Each block of documents sorts its own suffixes and sends the first of each
-class once; shards tell which classes an earlier block holds.
+Suffixes are dealt to buckets by content: the bucket of a suffix is that of the
+least ``ANCHOR``-byte string within its first ``LENGTH`` bytes, so equal
+strings are in one bucket.  The suffixes of one anchor are neighbours in their
+text and travel as one stretch of it.  Anchors that do not repeat anywhere (by
+a sketch that never misses) leave the sort, as their suffixes are unique.
+
+A bucket is sorted on its own, whatever the size of the corpus: by leading
+bytes and, where suffixes tie on ``PERIOD`` bytes or more, by the ranks of
+cover samples at the shift that brings both into the difference cover.
+Neighbours that agree on ``LENGTH`` bytes are one class, whose first member
+stays.
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``LENGTH`` lose nothing; a null id stands before all others; rows of one
@@ -27,65 +26,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leafline.llm import arrays as A
-from leafline.llm.sketch import SENT, Sketch, pack_sorted, unpack_sorted
+from leafline.llm.sketch import ANSWERED, SENT, Sketch, pack_sorted, unpack_sorted
 from leafline.llm.spread import deal, in_blocks, ordered, packed, profile, slots, small_batches
 
 LENGTH = 100
 PERIOD = 57
 COVER = np.array([0, 1, 3, 13, 32, 36, 43, 52])  # every difference modulo PERIOD is that of two members
-REST = LENGTH - PERIOD + 1  # bytes that two equal strings share from a common sample on, at least
-CUT = 16  # bytes whose content decides on a cut
-GAP = 64  # bytes between cuts, on average
-BLOCK = 4 << 20
-_UNIT, _LOCAL = 1, -1  # kinds of rows
-_OTHER = np.random.Generator(np.random.PCG64(977)).integers(1, 2**63, 256, dtype=np.uint64)
+ANCHOR = 44
+BLOCK = 4 << 20  # bytes of text in a block
+BUCKETS = 4  # suffix buckets per shuffle partition
+_LOCAL = -1  # kind of rows that a block sends to itself
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: for two positions modulo PERIOD, a shift that brings both into the cover
 SHIFT = np.array([[next(d for d in range(PERIOD) if _IN_COVER[(a + d) % PERIOD] and _IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 
 
-class Block:
-    """The texts of a block as one byte string, with what both passes need of it."""
+class Texts:
+    """Consecutive texts as one byte string."""
 
-    def __init__(self, texts: pa.ChunkedArray) -> None:
-        whole = texts.combine_chunks()
-        _, self.data, self.offsets = next(A.chunks(whole, 1 << 62))
-        n = len(self.data)
-        self.sums = A.prefix(self.data)
-        self.more = np.zeros(n + 1, np.uint64)
-        np.cumsum(_OTHER[self.data] * A.powers("byte", n)[0], out=self.more[1:])
-        self.rel = np.arange(n, dtype=np.int32) - np.repeat(self.offsets[:-1], np.diff(self.offsets)).astype(np.int32)  # place in the text
-        self.left = np.repeat(self.offsets[1:], np.diff(self.offsets)) - np.arange(n)  # bytes to the text's end
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data, self.offsets = data, offsets
+        self.sums = A.prefix(data)
+        size = np.diff(offsets)
+        self.left = (np.repeat(offsets[1:], size) - np.arange(len(data))).astype(np.int32)  # bytes to the text's end
 
-    def print(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return A.span(self.sums, at, at + length)
+    @classmethod
+    def of(cls, texts: pa.ChunkedArray) -> Texts:
+        _, data, offsets = next(A.chunks(texts.combine_chunks(), 1 << 62))
+        return cls(data, offsets)
 
-    def second(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        return (A.span(self.more, at, at + length) >> np.uint64(32)).astype(np.uint32)
+    def prints(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return A.span(self.sums, at, at + length)
 
-    def samples(self) -> np.ndarray:
-        return np.flatnonzero(_IN_COVER[self.rel % PERIOD] & (self.left >= REST))
+    def places(self) -> np.ndarray:
+        """Every byte's place in its text."""
+        size = np.diff(self.offsets)
+        return (np.arange(len(self.data)) - np.repeat(self.offsets[:-1], size)).astype(np.int32)
 
-    def units(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where units start and how many strings start in each; a text's start and its last string bound units as well."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors, and the first and the number of the suffixes that each one stands for (neighbours of each other)."""
         n = len(self.data)
-        long = np.flatnonzero(np.diff(self.offsets) >= LENGTH)
-        if not len(long):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cut = np.zeros(n + 1, bool)
-        h = self.sums[CUT:] - self.sums[:-CUT]
+        suffix = np.flatnonzero(self.left >= LENGTH)
+        if not len(suffix):
+            return suffix, suffix, suffix
+        bits = np.uint64(int(n).bit_length())
+        h = self.sums[ANCHOR:] - self.sums[:-ANCHOR]
         h *= A.powers("byte", n + 1)[1][: len(h)]
-        cut[: len(h)] = (A.mix(h) & np.uint64(GAP - 1)) == 0
-        cut[:n] &= self.left >= LENGTH
-        cut[self.offsets[:-1][long]] = True
-        ends = self.offsets[1:][long] - LENGTH + 1
-        at = np.flatnonzero(cut[:n])
-        follow = np.append(at[1:], n)
-        # the last unit of a text ends after its last string
-        last = np.searchsorted(at, ends, "left") - 1
-        follow[last] = ends
-        return at, follow - at
+        # the hash above, the place below: the least value is the leftmost of the least strings
+        least = (A.mix(h) >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+        reach = LENGTH - ANCHOR + 1
+        step = 1
+        while 2 * step <= reach:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        least = np.minimum(least[: len(least) - (reach - step)], least[reach - step :])
+        anchor = (least[suffix] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (suffix[1:] != suffix[:-1] + 1)]))
+        return anchor[first], suffix[first], np.diff(np.append(first, len(suffix)))
 
 
 def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -98,16 +96,18 @@ def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_texts(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def sort_texts(data: np.ndarray, at: np.ndarray, words: int, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes by their first ``8 * words`` bytes, and the group (its first place) of each place.
 
-    Only suffixes that still tie look at their next word.
+    Only suffixes that still tie look at their next word; with ``prints``, only those in groups of more than one class.
     """
     order = np.arange(len(at))
     group = np.zeros(len(at), np.int64)
     for t in range(words):
-        size = np.bincount(group, minlength=len(at))
-        place = np.flatnonzero(size[group] > 1)
+        if prints is None:
+            place = np.flatnonzero(np.bincount(group, minlength=len(at))[group] > 1)
+        else:
+            place = _open(prints[order], group)
         if not len(place):
             break
         key = _words(data, at[order[place]] + 8 * t)
@@ -121,50 +121,50 @@ def sort_texts(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray
     return order, group
 
 
-def classes(block: Block, at: np.ndarray) -> np.ndarray:
-    """For each suffix (increasing positions) the first one of the block that agrees with it on LENGTH bytes."""
+def classes(texts: Texts, at: np.ndarray) -> np.ndarray:
+    """For each suffix (increasing positions) the first one that agrees with it on LENGTH bytes."""
     first = np.empty(len(at), np.int64)
-    data = np.append(block.data, np.zeros(2 * LENGTH + 16, np.uint8))
-    of = block.data[at]
-    for byte in np.unique(of).tolist():
-        bucket = np.flatnonzero(of == byte)
-        here = at[bucket]
-        order = _sort_bucket(block, data, here)
-        prints = block.print(here[order], LENGTH)
-        new = np.ones(len(order), bool)
-        new[1:] = prints[1:] != prints[:-1]
-        runs = np.flatnonzero(new)
-        low = np.minimum.reduceat(here[order], runs)
+    data = np.append(texts.data, np.zeros(2 * LENGTH + 16, np.uint8))
+    place = texts.places()
+    lead = texts.data[at]
+    for byte in np.unique(lead).tolist():
+        part = np.flatnonzero(lead == byte)
+        here = at[part]
+        prints = texts.prints(here, LENGTH)
+        order = sort_suffixes(data, here, prints, place)
+        ordered_ = prints[order]
+        runs = np.flatnonzero(np.concatenate([[True], ordered_[1:] != ordered_[:-1]]))
         out = np.empty(len(order), np.int64)
-        out[order] = np.repeat(low, np.diff(np.append(runs, len(order))))
-        first[bucket] = out
+        out[order] = np.repeat(np.minimum.reduceat(here[order], runs), np.diff(np.append(runs, len(order))))
+        first[part] = out
     return first
 
 
-def _sort_bucket(block: Block, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    order, group = sort_texts(data, at, PERIOD // 8 + 1)
-    prints = block.print(at, LENGTH)
+def sort_suffixes(data: np.ndarray, at: np.ndarray, prints: np.ndarray, place_in_text: np.ndarray) -> np.ndarray:
+    """An order in which suffixes that agree on LENGTH bytes (equal prints) are neighbours."""
+    order, group = sort_texts(data, at, PERIOD // 8 + 1, prints)
     place = _open(prints[order], group)
     if not len(place):
         return order
     # ranks of the cover samples that the tied suffixes can meet
     tied = at[order[place]]
-    near = np.unique((tied[:, None] + _steps(block.rel[tied] % PERIOD)).ravel())
+    near = np.unique((tied[:, None] + _steps(place_in_text[tied] % PERIOD)).ravel())
     by, rank_at = sort_texts(data, near, (LENGTH + 7) // 8)
     rank = np.empty(len(near), np.int64)
     rank[by] = rank_at
     while len(place):
-        slots_, members = group[place], order[place]
-        start = np.flatnonzero(np.concatenate([[True], slots_[1:] != slots_[:-1]]))
+        start_of, members = group[place], order[place]
+        start = np.flatnonzero(np.concatenate([[True], start_of[1:] != start_of[:-1]]))
         size = np.diff(np.append(start, len(place)))
-        pivot = np.repeat(members[start + size // 2], size)
-        shift = SHIFT[block.rel[at[members]] % PERIOD, block.rel[at[pivot]] % PERIOD]
-        side = np.sign(rank[np.searchsorted(near, at[members] + shift)] - rank[np.searchsorted(near, at[pivot] + shift)])
-        by = np.lexsort((side, slots_))
+        mine = at[members]
+        pivot = np.repeat(mine[start + size // 2], size)
+        shift = SHIFT[place_in_text[mine] % PERIOD, place_in_text[pivot] % PERIOD]
+        side = np.sign(rank[np.searchsorted(near, mine + shift)] - rank[np.searchsorted(near, pivot + shift)])
+        by = np.lexsort((side, start_of))
         order[place] = members[by]
         side = side[by]
         new = np.ones(len(place), bool)
-        new[1:] = (side[1:] != side[:-1]) | (slots_[1:] != slots_[:-1])
+        new[1:] = (side[1:] != side[:-1]) | (start_of[1:] != start_of[:-1])
         run = np.flatnonzero(new)
         group[place] = np.repeat(place[run], np.diff(np.append(run, len(place))))
         place = _open(prints[order], group)
@@ -183,24 +183,21 @@ def _open(prints: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.repeat(low != high, np.diff(np.append(start, len(group)))))
 
 
-def _first_of(keys: np.ndarray) -> np.ndarray:
-    """Which keys are the first of their value."""
-    out = np.zeros(len(keys), bool)
-    order, runs = A.groups(keys)
-    out[order[runs]] = True
-    return out
+def _runs(at: np.ndarray) -> bytes:
+    """Increasing positions as the places where runs of neighbours begin and end."""
+    if not len(at):
+        return b""
+    gap = np.flatnonzero(np.diff(at) > 1)
+    edges = np.empty(2 * len(gap) + 2, np.int64)
+    edges[0], edges[-1] = at[0], at[-1] + 1
+    edges[1:-1:2] = at[gap] + 1
+    edges[2::2] = at[gap + 1]
+    return pack_sorted(edges)
 
 
-def _held_before(block: np.ndarray, key: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Which (key, second) pairs an earlier block has sent as well."""
-    order = np.lexsort((block, second, key))
-    k, s, b = key[order], second[order], block[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-    runs = np.flatnonzero(new)
-    out = np.empty(len(k), bool)
-    out[order] = b > np.repeat(b[runs], np.diff(np.append(runs, len(k))))
-    return out
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of the ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -209,115 +206,79 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     bounds, total = profile(docs, BLOCK)
     shards = slots(spark)
+    buckets = BUCKETS * shards
     # cells so many that steps between a block's cells fill about 22 of 24 bits
-    sketch = Sketch(total * len(COVER) / PERIOD, shards, depth=1, room=max(64, (1 << 21) // (len(bounds) + 1)), width=3)
+    sketch = Sketch(total * 2 / (LENGTH - ANCHOR), shards, depth=1, room=max(64, (1 << 21) // (len(bounds) + 1)), width=3)
     blocks = in_blocks(docs, bounds)
 
     def send(group: pa.Table) -> pa.Table:
-        _, _, texts = ordered(group)
-        block, number = Block(texts), group.column("block")[0].as_py()
-        names = block.print(block.samples(), REST)
+        _, _, column = ordered(group)
+        texts = Texts.of(column)
+        names = texts.prints(texts.anchors()[0], ANCHOR)
         order, runs = A.groups(names)
-        out = sketch.send(number, names[order[runs]], np.diff(np.append(runs, len(order))) > 1)
-        at, size = block.units()
-        key = block.print(at, size + LENGTH - 1)
-        one = _first_of(key)
-        key, second = key[one], block.second(at[one], size[one] + LENGTH - 1)
-        parts = deal(key, shards)
-        return pa.concat_tables(
-            [
-                out.append_column("second", pa.array([b""] * out.num_rows, pa.binary())),
-                packed({"shard": [s for s, _ in parts], "block": [number] * len(parts), "kind": [_UNIT] * len(parts), "cells": [key[i].tobytes() for _, i in parts], "second": [second[i].tobytes() for _, i in parts]}),
-            ]
-        )
-
-    def answer(group: pa.Table) -> pa.Table:
-        kind = group.column("kind").to_numpy()
-        units = group.filter(pa.array(kind == _UNIT))
-        cells = group.filter(pa.array(kind != _UNIT))
-        out = []
-        if cells.num_rows:
-            out.append(sketch.merge(cells))
-        if units.num_rows:
-            keys = [np.frombuffer(x, np.uint64) for x in units.column("cells").to_pylist()]
-            second = [np.frombuffer(x, np.uint32) for x in units.column("second").to_pylist()]
-            again = _held_before(np.repeat(units.column("block").to_numpy(), [len(x) for x in keys]), np.concatenate(keys), np.concatenate(second))
-            cuts = np.cumsum([0] + [len(x) for x in keys])
-            bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
-            out.append(packed({"block": units.column("block").to_pylist(), "shard": units.column("shard").to_pylist(), "kind": [_UNIT] * len(bits), "bits": bits}))
-        return pa.concat_tables(out)
-
-    def candidates(group: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, texts = ordered(group)
-        block, number = Block(texts), group.column("block")[0].as_py()
-        n = len(block.data)
-        at, size = block.units()
-        key = block.print(at, size + LENGTH - 1)
-        one = _first_of(key)
-        seen = ~one  # units that stand earlier in the block, or in an earlier block
-        told = answers.filter(pa.array(answers.column("kind").to_numpy() == _UNIT))
-        told = dict(zip(told.column("shard").to_pylist(), told.column("bits").to_pylist()))
-        firsts = np.flatnonzero(one)
-        for shard, i in deal(key[one], shards):
-            seen[firsts[i]] = np.unpackbits(np.frombuffer(told[shard], np.uint8))[: len(i)].astype(bool)
-        settled = np.zeros(n + 1, np.int64)
-        settled[at[seen]] += 1
-        settled[at[seen] + size[seen]] -= 1
-        settled = np.cumsum(settled)[:n] > 0
-        sampled = block.samples()
-        sampled = sampled[sketch.repeated(block.print(sampled, REST), answers)] if len(sampled) else sampled
-        reach = np.zeros(n + 1, np.int64)
-        np.add.at(reach, np.maximum(sampled - PERIOD + 1, 0), 1)
-        np.add.at(reach, sampled + 1, -1)
-        start = np.flatnonzero((np.cumsum(reach)[:n] > 0) & ~settled & (block.left >= LENGTH))
-        if len(start):
-            first = classes(block, start)
-            local = start[first < start]
-            start = start[first == start]
-        else:
-            local = start
-        settled[local] = True
-        own = pack_sorted(np.flatnonzero(np.diff(settled.astype(np.int8), prepend=0, append=0)))  # where runs begin and end
-        key, second = block.print(start, LENGTH), block.second(start, LENGTH)
-        parts = deal(key, shards)
+        return sketch.send(group.column("block")[0].as_py(), names[order[runs]], np.diff(np.append(runs, len(order))) > 1)
+
+    def stretches(group: pa.Table, answers: pa.Table) -> pa.Table:
+        _, _, column = ordered(group)
+        texts, number = Texts.of(column), group.column("block")[0].as_py()
+        anchor, first, size = texts.anchors()
+        names = texts.prints(anchor, ANCHOR)
+        again = np.flatnonzero(sketch.repeated(names, answers)) if len(names) else np.zeros(0, np.int64)
+        first, size, names = first[again], size[again], names[again]
+        # stretches that stand earlier in the block: all their suffixes do
+        order, runs = A.groups(texts.prints(first, size + LENGTH - 1))
+        new = np.zeros(len(order), bool)
+        new[order[runs]] = True
+        own = _runs(_ranges(first[~new], size[~new]))
+        first, size, names = first[new], size[new], names[new]
+        parts = deal(names, buckets)
+        text = [texts.data[_ranges(first[i], size[i] + LENGTH - 1)].tobytes() for _, i in parts]
         return packed(
             {
-                "shard": [s for s, _ in parts] + [number % shards],
+                "shard": [s for s, _ in parts] + [number % buckets],
                 "block": [number] * (len(parts) + 1),
                 "kind": [0] * len(parts) + [_LOCAL],
-                "at": [pack_sorted(start[i]) for _, i in parts] + [own],
-                "keys": [key[i].tobytes() for _, i in parts] + [b""],
-                "second": [second[i].tobytes() for _, i in parts] + [b""],
+                "at": [pack_sorted(first[i]) for _, i in parts] + [own],
+                "sizes": [size[i].astype(np.uint8).tobytes() for _, i in parts] + [b""],
+                "bytes": text + [b""],
             }
         )
 
-    def exact(group: pa.Table) -> pa.Table:
-        block, at, kind = group.column("block").to_numpy(), group.column("at").to_pylist(), group.column("kind").to_numpy()
-        asked = np.flatnonzero(kind != _LOCAL)
-        if len(asked):
-            keys = [np.frombuffer(group.column("keys")[i].as_py(), np.uint64) for i in asked.tolist()]
-            second = [np.frombuffer(group.column("second")[i].as_py(), np.uint32) for i in asked.tolist()]
-            again = _held_before(np.repeat(block[asked], [len(x) for x in keys]), np.concatenate(keys), np.concatenate(second))
-            cuts = np.cumsum([0] + [len(x) for x in keys])
-            for j, i in enumerate(asked.tolist()):
-                at[i] = pack_sorted(unpack_sorted(at[i])[again[cuts[j] : cuts[j + 1]]])
-        return packed({"block": block.tolist(), "kind": kind.tolist(), "at": at})
+    def sort_bucket(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("kind", "descending"), ("block", "ascending")])
+        kind, block = group.column("kind").to_numpy(), group.column("block").to_pylist()
+        asked = int((kind != _LOCAL).sum())
+        local = group.slice(asked)
+        out = {"block": local.column("block").to_pylist(), "kind": [_LOCAL] * local.num_rows, "at": local.column("at").to_pylist()}
+        if asked:
+            group = group.slice(0, asked)
+            at = [unpack_sorted(x) for x in group.column("at").to_pylist()]
+            size = np.frombuffer(b"".join(group.column("sizes").to_pylist()), np.uint8).astype(np.int64)
+            data = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum(size + LENGTH - 1)])
+            texts = Texts(data, offsets)
+            suffix = np.flatnonzero(texts.left >= LENGTH)
+            later = classes(texts, suffix) < suffix
+            cuts = np.cumsum([0] + [len(x) for x in at])
+            ends = np.concatenate([[0], np.cumsum(size)])
+            for i in range(asked):
+                part = slice(cuts[i], cuts[i + 1])
+                start = _ranges(at[i], size[part])
+                out["block"].append(block[i])
+                out["kind"].append(0)
+                out["at"].append(_runs(np.unique(start[later[ends[cuts[i]] : ends[cuts[i + 1]]]])))
+        return packed(out)
 
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
-        _, given, texts = ordered(group)
-        _, data, offsets = next(A.chunks(texts.combine_chunks(), 1 << 62))
+        _, given, column = ordered(group)
+        _, data, offsets = next(A.chunks(column.combine_chunks(), 1 << 62))
         n = len(data)
-        flags = np.zeros(n + 1, bool)
-        for kind, raw in zip(answers.column("kind").to_pylist(), answers.column("at").to_pylist()):
+        steps = np.zeros(n + 1, np.int32)
+        for raw in answers.column("at").to_pylist():
             at = unpack_sorted(raw)
-            if kind == _LOCAL:
-                steps = np.zeros(n + 1, np.int8)
-                steps[at[::2]] = 1
-                steps[at[1::2]] = -1
-                flags |= np.cumsum(steps, dtype=np.int8) > 0
-            else:
-                flags[at] = True
-        gone = A.spread_on(flags[:n], LENGTH)
+            steps[at[::2]] += 1
+            steps[at[1::2]] -= 1
+        gone = A.spread_on(np.cumsum(steps)[:n] > 0, LENGTH)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         edge = offsets[:-1][np.diff(offsets) > 0]
@@ -331,8 +292,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
             }
         )
 
-    sent = blocks.groupBy("block").applyInArrow(send, SENT + ", second binary")
-    answers = sent.groupBy("shard").applyInArrow(answer, "block int, shard int, kind int, bits binary")
-    asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(candidates, "shard int, block int, kind int, at binary, keys binary, second binary")
-    found = asked.groupBy("shard").applyInArrow(exact, "block int, kind int, at binary")
+    answers = blocks.groupBy("block").applyInArrow(send, SENT).groupBy("shard").applyInArrow(lambda group: sketch.merge(group), ANSWERED)
+    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(stretches, "shard int, block int, kind int, at binary, sizes binary, bytes binary")
+    found = sent.groupBy("shard").applyInArrow(sort_bucket, "block int, kind int, at binary")
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
