@@ -17,38 +17,32 @@ def page(doc, rows):
     ]
 
 
-NAMES = [("Name", 20, 400, 30, 11), ("Qty", 160, 400, 24, 11), ("Total", 300, 400, 30, 11),
-         ("Apples", 20, 380, 40, 11), ("3", 160, 380, 10, 11), ("12", 300, 380, 16, 11)]
-TIGHT = [("Name", 20, 400, 36, 11), ("Qty", 68, 400, 22, 11), ("Total", 108, 400, 30, 11),
-         ("Apples", 20, 384, 40, 11), ("3", 68, 384, 8, 11), ("12", 108, 384, 16, 11)]
-COLUMNS = [("The left column starts here with a longer sentence.", 20, 500, 180, 11),
-           ("It continues with more left-column prose under that.", 20, 480, 190, 11),
-           ("A third left line keeps the article going.", 20, 460, 170, 11),
-           ("The right column is a separate article stream.", 300, 495, 175, 11),
-           ("More right-column text sits in this band.", 300, 475, 160, 11),
-           ("And a third right line finishes the column.", 300, 455, 168, 11)]
-BLANKS = [g for row, y in enumerate((400, 380, 360)) for g in (
-    ("Item" if row == 0 else f"Row {row}", 24, y, 38, 10), (" ", 62, y, 98, 10),
-    ("Qty" if row == 0 else str(row), 160, y, 20, 10), (" ", 180, y, 100, 10),
-    ("Total" if row == 0 else f"${row * 10}", 280, y, 32, 10))]
-SPACED = [("First paragraph", 72, 500, 90, 11), ("wrapped line", 72, 485, 70, 11), ("Second paragraph", 72, 445, 100, 11)]
-INDENT = [("Indented opening line with enough text to wrap", 90, 500, 245, 11),
-          ("continuation aligned to the paragraph body", 72, 485, 220, 11)]
-LIST = [("1. First item", 72, 410, 78, 11), ("2. Second item", 72, 394, 88, 11)]
-
-
-def styled(text, x, y, size=12, bold=False, italic=False, family="Garamond"):
-    return (text, x, y, len(text) * size * 0.42, size, bold, italic, False, family)
-
-
-GRID = [styled("Item", 50, 700, 16, True, False, "Cambria"), styled("Amount", 275, 700, 16, True, False, "Cambria"),
-        styled("First line", 50, 650, italic=True), styled("Second line", 50, 630), styled("125.00", 275, 650), styled("900.00", 275, 575)]
-GRID_RULES = [(x, 560, x, 720) for x in (40, 260, 450)] + [(40, y, 450, y) for y in (720, 680, 600, 560)]
-NAME_RULES = [(15, 370, 15, 410), (150, 370, 150, 410), (290, 370, 290, 410), (350, 370, 350, 410),
-              (15, 410, 350, 410), (15, 390, 350, 390), (15, 370, 350, 370)]
-
-CASES = {1: (NAMES, 500, 792), 2: (NAMES, 500, 600), 3: (TIGHT, 400, 792), 4: (COLUMNS, 520, 792), 5: (BLANKS, 400, 500),
-         6: (SPACED, 612, 792), 7: (INDENT, 612, 792), 8: (LIST, 612, 792), 9: (GRID, 600, 800)}
+def rows_of(xs, y, *lines, size=10, step=22, width=6.0):
+    """Cells of a plain table: one glyph each, the columns at ``xs``, the rows ``step`` apart."""
+    return [(t, x, y - i * step, max(5.0, len(t) * width), size) for i, line in enumerate(lines) for x, t in zip(xs, line) if t]
+
+
+STOCK = (("Part", "Bin", "Weight"), ("Valve", "B7", "2.4"), ("Gasket", "C1", "0.1"), ("Flange", "A3", "8.9"))
+WIDE = rows_of((45, 230, 415), 640, *STOCK)
+CLOSE = rows_of((45, 105, 150), 640, *STOCK, step=18)
+# blanks drawn between the cells, as some writers do
+FILLED = [g for y in (520, 498, 476) for g in (("Vent" if y < 520 else "Device", 50, y, 40, 10), ("  ", 90, y, 110, 10), (f"{y}", 200, y, 22, 10), (" ", 222, y, 120, 10), (f"{y // 2} kPa", 342, y, 40, 10))]
+ARTICLE = [(f"Story {side} keeps its own margin on row {i}, from word to word.", 60 if side == "one" else 345, 610 - 18 * i - (0 if side == "one" else 4), 215, 10) for side in ("one", "two") for i in range(4)]
+PARTED = [("Heat moves from", 80, 600, 85, 10), ("warm to cold.", 80, 586, 66, 10), ("Work can turn it back.", 80, 540, 118, 10)]
+INSET = [("A first line that is set in and long enough to need another one", 104, 600, 310, 10), ("so that the second begins at the margin of the body of text", 80, 586, 300, 10)]
+STEPS = [("3. Close the tap", 80, 300, 82, 10), ("4. Open the vent", 80, 285, 84, 10), ("5. Wait", 80, 270, 40, 10)]
+
+
+def styled(text, x, y, size=11, bold=False, italic=False, family="Charter"):
+    return (text, x, y, len(text) * size * 0.45, size, bold, italic, False, family)
+
+
+LEDGER = [styled("Room", 80, 630, 13, True), styled("Rent", 330, 630, 13, True), styled("Attic, front", 80, 588, italic=True), styled("and landing", 80, 570), styled("310", 330, 588), styled("95", 330, 520)]
+LEDGER_RULES = [(x, 500, x, 652) for x in (70, 320, 430)] + [(70, y, 430, y) for y in (652, 612, 545, 500)]
+WIDE_RULES = [(x, 560, x, 656) for x in (38, 222, 408, 470)] + [(38, y, 470, y) for y in (656, 632, 610, 588, 560)]
+
+CASES = {1: (WIDE, 560, 842), 2: (WIDE, 560, 842), 3: (CLOSE, 420, 842), 4: (ARTICLE, 620, 842), 5: (FILLED, 450, 700),
+         6: (PARTED, 595, 842), 7: (INSET, 595, 842), 8: (STEPS, 595, 842), 9: (LEDGER, 595, 842)}
 
 
 @pytest.fixture(scope="module")
@@ -57,8 +51,8 @@ def built(spark):
     pages = spark.createDataFrame(
         [(d, 0, float(w), float(h)) for d, (_, w, h) in CASES.items()], "doc_id int, page_no int, width double, height double"
     )
-    ops = [(2, 0, i, "path", [float(v) for v in r]) for i, r in enumerate(NAME_RULES)]
-    ops += [(9, 0, i, "path", [float(v) for v in r]) for i, r in enumerate(GRID_RULES)]
+    ops = [(2, 0, i, "path", [float(v) for v in r]) for i, r in enumerate(WIDE_RULES)]
+    ops += [(9, 0, i, "path", [float(v) for v in r]) for i, r in enumerate(LEDGER_RULES)]
     draws = spark.createDataFrame(ops, "doc_id int, page_no int, op_no int, op string, args array<double>")
     r = reconstruct(glyphs, pages, ruling_segments(draws))
     blocks, cells = {}, {}
@@ -72,60 +66,60 @@ def built(spark):
 def test_aligned_text_is_a_borderless_table(built):
     blocks, cells = built
     assert [(b.kind, b.bordered, b.header_rows) for b in blocks[1]] == [("table", False, 1)]
-    assert cells[1] == {(0, 0): "Name", (0, 1): "Qty", (0, 2): "Total", (1, 0): "Apples", (1, 1): "3", (1, 2): "12"}
+    assert cells[1] == {(r, c): t for r, line in enumerate(STOCK) for c, t in enumerate(line)}
 
 
 def test_drawn_rules_make_a_bordered_table(built):
-    assert [(b.kind, b.bordered) for b in built[0][2]] == [("table", True)]
+    blocks, cells = built
+    assert [(b.kind, b.bordered) for b in blocks[2]] == [("table", True)]
+    assert cells[2][(3, 0)] == "Flange"
 
 
-def test_tight_columns_and_blank_glyphs_keep_cells(built):
+def test_close_columns_and_blank_glyphs_keep_cells(built):
     blocks, cells = built
-    assert [b.kind for b in blocks[3]] == ["table"]
-    assert [b.kind for b in blocks[5]] == ["table"]
-    assert cells[5][(2, 2)] == "$20"
+    assert [b.kind for b in blocks[3]] == ["table"] and [b.kind for b in blocks[5]] == ["table"]
+    assert cells[3][(2, 1)] == "C1"
+    assert cells[5][(2, 2)] == "238 kPa"
 
 
 def test_two_columns(built):
-    kinds = [(b.kind, b.col_no) for b in built[0][4]]
-    assert ("columns", None) in kinds
-    left = " ".join(b.text for b in built[0][4] if b.col_no == 0)
-    assert left.startswith("The left column") and "right" not in left
+    found = built[0][4]
+    assert ("columns", None) in [(b.kind, b.col_no) for b in found]
+    for col, side in enumerate(("one", "two")):
+        text = " ".join(b.text for b in found if b.col_no == col)
+        assert text.count(f"Story {side}") == 4 and text.count("Story") == 4
 
 
 def test_paragraph_gap_splits(built):
-    assert [b.text for b in built[0][6]] == ["First paragraph\nwrapped line", "Second paragraph"]
+    assert [b.text for b in built[0][6]] == ["Heat moves from\nwarm to cold.", "Work can turn it back."]
 
 
 def test_first_line_indent(built):
     (para,) = built[0][7]
-    assert (para.first_indent, para.x) == (18.0, 72.0)
+    assert (para.first_indent, para.x) == (24.0, 80.0)
 
 
 def test_numbered_list(built):
-    assert [(b.list_kind, b.list_seq, b.list_start, b.text) for b in built[0][8]] == [
-        ("number", 1, 1, "First item"), ("number", 1, 2, "Second item")
-    ]
+    assert [(b.list_kind, b.list_start, b.text) for b in built[0][8]] == [("number", n, t) for n, t in ((3, "Close the tap"), (4, "Open the vent"), (5, "Wait"))]
+    assert len({b.list_seq for b in built[0][8]}) == 1
 
 
 def test_ruled_grid(built):
     blocks, cells = built
-    assert cells[9] == {
-        (0, 0): "Item", (0, 1): "Amount", (1, 0): "First line\nSecond line", (1, 1): "125.00", (2, 1): "900.00"
-    }
-    assert [(b.kind, b.x, b.width, b.top, b.bottom) for b in blocks[9]] == [("table", 40.0, 410.0, 720.0, 560.0)]
+    assert cells[9] == {(0, 0): "Room", (0, 1): "Rent", (1, 0): "Attic, front\nand landing", (1, 1): "310", (2, 1): "95"}
+    assert [(b.kind, b.x, b.width, b.top, b.bottom) for b in blocks[9]] == [("table", 70.0, 360.0, 652.0, 500.0)]
 
 
 def test_glyphs_join_into_words(spark):
-    rows = [("Hel", 10, 100, 18, 12), ("lo", 28, 100.4, 12, 12), ("World", 48, 100.2, 36, 12)]
+    rows = [("dr", 33, 210, 11, 10), ("um", 44, 210.3, 14, 10), ("beat", 64, 209.8, 22, 10), ("s", 86, 210, 5, 10)]
     g = cluster_lines(spark.createDataFrame(page(1, rows), GLYPH))
-    assert [r.text for r in lines(g).collect()] == ["Hello World"]
+    assert [r.text for r in lines(g).collect()] == ["drum beats"]
 
 
 def test_right_to_left_line_reads_from_the_right(spark):
-    rows = [("abc", 10, 100, 20, 10, False, False, True, None), ("xyz", 50, 100, 20, 10, False, False, True, None), ("!", 8, 100, 2, 10, False, False, True, None)]
+    rows = [(t, x, 300, w, 12, False, False, True, None) for t, x, w in (("late", 70, 22), ("soon", 130, 26), ("?", 66, 4))]
     (line,) = lines(cluster_lines(spark.createDataFrame(page(1, rows), GLYPH))).collect()
-    assert (line.text, line.rtl, line.x) == ("xyz abc!", True, 8.0)
+    assert (line.text, line.rtl, line.x) == ("soon late?", True, 66.0)
 
 
 def test_runs_compare_with_the_first_glyph_of_a_run(spark):
@@ -142,16 +136,20 @@ def test_lines_follow_the_running_mean(spark):
 
 
 def test_ocr_words_become_a_table(spark):
-    words = [("Region", 96, 100, 200, 260, 250), ("Orders", 97, 600, 200, 750, 250), ("Revenue", 97, 900, 200, 1080, 250),
-             ("North", 95, 100, 300, 230, 350), ("1240", 96, 600, 300, 700, 350), ("84200", 96, 900, 300, 1030, 350)]
-    rows = [(1, 0, 0, i // 3, i, t, float(c), float(a), float(b), float(d), float(e), True, "Arial") for i, (t, c, a, b, d, e) in enumerate(words)]
+    table = (("Lake", "Depth", "Area"), ("Ober", "44", "1310"), ("Unter", "9", "87"))
+    rows = []
+    for r, line in enumerate(table):
+        for c, t in enumerate(line):
+            x, y = 150.0 + 420 * c, 360.0 + 90 * r
+            rows.append((1, 0, 0, r, len(rows), t, 88.0 + c, x, y, x + 24 * len(t), y + 42, True, "Georgia"))
+    rows.append((1, 0, 0, 2, 9, "smudge", 12.0, 1500.0, 540.0, 1600.0, 582.0, True, "Georgia"))
     w = spark.createDataFrame(rows, "doc_id int, page_no int, para_no int, line_no int, word_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, is_ltr boolean, font_name string")
-    pages = spark.createDataFrame([(1, 0, 612.0, 792.0, 2.0, "x")], "doc_id int, page_no int, width double, height double, scale double, raw_text string")
+    pages = spark.createDataFrame([(1, 0, 560.0, 700.0, 3.0, "x")], "doc_id int, page_no int, width double, height double, scale double, raw_text string")
     g = read_ocr_words(w, pages)
     got = g.orderBy("glyph_no").collect()
-    assert len(got) == 6 and got[0].x == 50.0
+    assert [x.str for x in got] == [t for line in table for t in line] and (got[1].x, got[0].y) == (190.0, 700 - 402 / 3)
     cells = {(c.row_no, c.col): c.text for c in reconstruct(g, pages).cells.collect()}
-    assert cells[(1, 0)] == "North"
+    assert cells == {(r, c): t for r, line in enumerate(table) for c, t in enumerate(line)}
 
 
 def test_matrix_stack(spark):

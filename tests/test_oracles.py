@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB counterpart at the smallest scale."""
+"""Every query of the catalog against its DuckDB counterpart at the smallest scale."""
 
 import sys
 from pathlib import Path
@@ -8,9 +8,11 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
-import __spark_entry__ as registry  # noqa: E402
+import leafline.catalog.all  # noqa: E402,F401
 from compare import bag, connect  # noqa: E402
 
+from leafline.catalog.registry import ORACLES, QUERIES  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
 
@@ -20,11 +22,11 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = registry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    sql = registry.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert rows
         return
