@@ -88,36 +88,35 @@ class Texts:
 
 def _words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes at each position as one big-endian number."""
-    out = np.empty(len(at), np.uint64)
-    for r in range(8):
-        here = (at & 7) == r
-        part = data[r : r + (len(data) - r) // 8 * 8].view(">u8")
-        out[here] = part[at[here] >> 3]
-    return out
+    return np.ndarray(len(data) - 7, ">u8", data, strides=(1,))[at].astype(np.uint64)
 
 
-def sort_texts(data: np.ndarray, at: np.ndarray, words: int, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by their first ``8 * words`` bytes, and the group (its first place) of each place.
+def sort_texts(data: np.ndarray, at: np.ndarray, length: int, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first ``length`` bytes (or some more), and the group (its first place) of each place.
 
-    Only suffixes that still tie look at their next word; with ``prints``, only those in groups of more than one class.
+    Only suffixes that still tie look at further bytes; with ``prints``, only
+    those in groups of more than one class.  A step sorts numbers of 64 bits:
+    the group above, and as many further bytes as there is room for.
     """
     order = np.arange(len(at))
     group = np.zeros(len(at), np.int64)
-    for t in range(words):
-        if prints is None:
-            place = np.flatnonzero(np.bincount(group, minlength=len(at))[group] > 1)
-        else:
-            place = _open(prints[order], group)
+    place, seen = order, 0
+    while seen < length:
+        place = _open(place, order, group, prints)
         if not len(place):
             break
-        key = _words(data, at[order[place]] + 8 * t)
-        by = np.lexsort((key, group[place]))
+        old = group[place]
+        rank = np.cumsum(np.concatenate([[0], old[1:] != old[:-1]])).astype(np.uint64)
+        more = (64 - int(rank[-1]).bit_length()) // 8
+        key = _words(data, at[order[place]] + seen)
+        if more < 8:
+            key = key >> np.uint64(64 - 8 * more) | rank << np.uint64(8 * more)
+        by = np.argsort(key)
         order[place] = order[place][by]
-        key, old = key[by], group[place]
-        new = np.ones(len(place), bool)
-        new[1:] = (key[1:] != key[:-1]) | (old[1:] != old[:-1])
-        start = np.flatnonzero(new)
+        key = key[by]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         group[place] = np.repeat(place[start], np.diff(np.append(start, len(place))))
+        seen += more
     return order, group
 
 
@@ -142,14 +141,14 @@ def classes(texts: Texts, at: np.ndarray) -> np.ndarray:
 
 def sort_suffixes(data: np.ndarray, at: np.ndarray, prints: np.ndarray, place_in_text: np.ndarray) -> np.ndarray:
     """An order in which suffixes that agree on LENGTH bytes (equal prints) are neighbours."""
-    order, group = sort_texts(data, at, PERIOD // 8 + 1, prints)
-    place = _open(prints[order], group)
+    order, group = sort_texts(data, at, PERIOD, prints)
+    place = _open(np.arange(len(at)), order, group, prints)
     if not len(place):
         return order
     # ranks of the cover samples that the tied suffixes can meet
     tied = at[order[place]]
     near = np.unique((tied[:, None] + _steps(place_in_text[tied] % PERIOD)).ravel())
-    by, rank_at = sort_texts(data, near, (LENGTH + 7) // 8)
+    by, rank_at = sort_texts(data, near, LENGTH)
     rank = np.empty(len(near), np.int64)
     rank[by] = rank_at
     while len(place):
@@ -167,7 +166,7 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, prints: np.ndarray, place_in
         new[1:] = (side[1:] != side[:-1]) | (start_of[1:] != start_of[:-1])
         run = np.flatnonzero(new)
         group[place] = np.repeat(place[run], np.diff(np.append(run, len(place))))
-        place = _open(prints[order], group)
+        place = _open(place, order, group, prints)
     return order
 
 
@@ -176,11 +175,21 @@ def _steps(rest: np.ndarray) -> np.ndarray:
     return (COVER[None, :] - rest[:, None]) % PERIOD
 
 
-def _open(prints: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Places of the groups that hold more than one class."""
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    low, high = np.minimum.reduceat(prints, start), np.maximum.reduceat(prints, start)
-    return np.flatnonzero(np.repeat(low != high, np.diff(np.append(start, len(group)))))
+def _open(place: np.ndarray, order: np.ndarray, group: np.ndarray, prints: np.ndarray | None) -> np.ndarray:
+    """Of whole groups' places those whose group holds more than one class (without ``prints``: more than one suffix)."""
+    if not len(place):
+        return place
+    of = group[place]
+    same = of[1:] == of[:-1]
+    start = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    size = np.diff(np.append(start, len(place)))
+    if prints is None:
+        wide = size > 1
+    else:
+        p = prints[order[place]]
+        steps = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]) & same)])
+        wide = steps[start + size - 1] > steps[start]
+    return place[np.repeat(wide, size)]
 
 
 def _runs(at: np.ndarray) -> bytes:
