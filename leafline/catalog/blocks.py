@@ -402,8 +402,8 @@ _OUTLINE_SQL = """outline AS (SELECT concat('r', cast(r_regionkey AS varchar)) A
 
 
 @query("s6_flatten_outline", f"""WITH RECURSIVE {_OUTLINE_SQL},
-tree AS (SELECT node_id, title, page_index, 0 AS depth, lpad(cast(ord AS varchar), 12, '0') AS sort_path FROM outline WHERE parent_id IS NULL
-  UNION ALL SELECT o.node_id, o.title, o.page_index, t.depth + 1, t.sort_path || '/' || lpad(cast(o.ord AS varchar), 12, '0') FROM tree t JOIN outline o ON o.parent_id = t.node_id)
+tree AS (SELECT node_id, title, page_index, 0 AS depth, lpad(cast(ord::HUGEINT + 9223372036854775808 AS varchar), 20, '0') AS sort_path FROM outline WHERE parent_id IS NULL
+  UNION ALL SELECT o.node_id, o.title, o.page_index, t.depth + 1, t.sort_path || '/' || lpad(cast(o.ord::HUGEINT + 9223372036854775808 AS varchar), 20, '0') FROM tree t JOIN outline o ON o.parent_id = t.node_id)
 SELECT 0 AS doc_id, node_id, trim(title) AS title, page_index, least(3, depth) AS depth, sort_path FROM tree WHERE trim(title) <> '' AND page_index IS NOT NULL""")
 def s6(spark, sf):
     def key(prefix, col):
@@ -424,7 +424,7 @@ def s6(spark, sf):
     return N.flatten_outline(outline)
 
 
-@query("s8_result_columns", """SELECT o_orderkey AS doc_id, o_orderstatus <> 'F' AS ok, CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 3 WHEN 0 THEN 'This PDF is password-protected and cannot be processed on-device.' WHEN 1 THEN 'PDF processing failed' ELSE o_orderpriority END END AS error,
+@query("s8_result_columns", """SELECT o_orderkey AS doc_id, o_orderstatus <> 'F' AS ok, CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 3 WHEN 0 THEN 'encrypted' WHEN 1 THEN 'failed' ELSE o_orderpriority END END AS error,
   cast(o_orderkey % 64 AS int) AS doc_bucket FROM orders""")
 def s8(spark, sf):
     k = F.col("o_orderkey") % 3

@@ -50,8 +50,8 @@ def _requests(spark, sf):
 tok AS (SELECT request_id, page_count, u.i, trim(u.t) AS t FROM requests, unnest(string_split(selection, ',')) WITH ORDINALITY AS u(t, i) WHERE trim(selection) <> ''),
 rng AS (SELECT *, regexp_full_match(t, '\\d+(\\s*-\\s*\\d+)?') AS good, try_cast(regexp_extract(t, '^(\\d+)', 1) AS int) AS lo,
   coalesce(try_cast(nullif(regexp_extract(t, '-\\s*(\\d+)$', 1), '') AS int), try_cast(regexp_extract(t, '^(\\d+)', 1) AS int)) AS hi FROM tok),
-bad AS (SELECT request_id, min_by(CASE WHEN NOT good THEN 'Use page numbers and ranges, for example 1-3, 5, 8-10.'
-   ELSE 'Choose pages between 1 and ' || page_count || ', with ranges in ascending order.' END, i) AS error FROM rng WHERE NOT good OR lo < 1 OR hi > page_count OR lo > hi GROUP BY 1),
+bad AS (SELECT request_id, min_by(CASE WHEN NOT good THEN 'bad_syntax'
+   ELSE 'outside_1_to_' || page_count END, i) AS error FROM rng WHERE NOT good OR lo < 1 OR hi > page_count OR lo > hi GROUP BY 1),
 pg AS (SELECT request_id, i, p - 1 AS page_index FROM (SELECT *, unnest(range(lo, hi + 1)) AS p FROM rng WHERE request_id NOT IN (SELECT request_id FROM bad))),
 fst AS (SELECT request_id, page_index, min(i * 1000 + page_index) AS o FROM pg GROUP BY 1, 2),
 alls AS (SELECT request_id, unnest(range(0, page_count)) AS page_index FROM requests WHERE trim(selection) = '')
@@ -69,7 +69,7 @@ w AS (SELECT *, coalesce(pages, range(least(least(n, greatest(1, a)), least(n, g
 v AS (SELECT *, len(list_filter(want, lambda i: i >= n)) > 0 AS bad FROM w)
 SELECT v.request_id, v.doc_id, NULL AS error, cast(u.i - 1 AS int) AS position, cast(u.p AS int) AS page_no, d.width, d.height
 FROM v, unnest(want) WITH ORDINALITY AS u(p, i) JOIN doc_pages d ON d.doc_id = v.doc_id AND d.page_no = u.p WHERE NOT bad
-UNION ALL SELECT request_id, doc_id, 'Choose valid pages from this PDF.', NULL, NULL, NULL, NULL FROM v WHERE bad""")
+UNION ALL SELECT request_id, doc_id, 'bad_pages', NULL, NULL, NULL, NULL FROM v WHERE bad""")
 def g3(spark, sf):
     k = F.col("doc_id")
     req = table(spark, sf, "documents").select(
@@ -113,7 +113,7 @@ def g4(spark, sf):
 
 
 @query("g4_organize_status", f"""WITH {_OPS_SQL}
-SELECT g.doc_id, count(p.page_no) AS pages, count(p.page_no) > 0 AS ok, CASE WHEN count(p.page_no) = 0 THEN 'Organize would remove every page.' END AS error
+SELECT g.doc_id, count(p.page_no) AS pages, count(p.page_no) > 0 AS ok, CASE WHEN count(p.page_no) = 0 THEN 'nothing_left' END AS error
 FROM (SELECT DISTINCT doc_id FROM pg) g LEFT JOIN pos p USING (doc_id) GROUP BY 1""")
 def g4_status(spark, sf):
     return P.organize_status(*_organized(spark, sf))
@@ -302,7 +302,7 @@ _BIG = 400
 
 
 @query("f6_input_budget", f"""WITH {FILES_SQL} SELECT batch_id, count(*) AS files, cast(sum(size) AS bigint) AS bytes, NOT (count(*) > 30 OR sum(size) > 130000) AS ok,
-  CASE WHEN count(*) > 30 OR sum(size) > 130000 THEN 'Choose up to 200 files totaling no more than 128 MB. Process larger jobs in smaller parts.' END AS error FROM files GROUP BY 1""")
+  CASE WHEN count(*) > 30 OR sum(size) > 130000 THEN 'over_budget' END AS error FROM files GROUP BY 1""")
 def f6(spark, sf):
     return A.input_budget(files(spark, sf), max_files=30, max_bytes=130_000)
 
@@ -310,8 +310,8 @@ def f6(spark, sf):
 @query("f6_scan_budget", f"""WITH {FILES_SQL},
 s AS (SELECT file_id // 9 AS batch_id, CASE WHEN file_id % 50 = 0 THEN 0 ELSE size END AS size, CASE WHEN file_id % 2 = 0 THEN size ELSE 0 END AS kept FROM files)
 SELECT batch_id, count(*) AS files, cast(sum(size + kept) AS bigint) AS bytes, NOT (count(*) FILTER (size = 0) > 0 OR count(*) > 8 OR sum(size + kept) > 60000) AS ok,
-  CASE WHEN count(*) FILTER (size = 0) > 0 THEN 'Choose readable photos, at most 200 files totaling 128 MB.' WHEN count(*) > 8 OR sum(size + kept) > 60000
-   THEN 'This scan exceeds the page limit or 128 MB including retained originals. Remove photos or use a smaller replacement.' END AS error FROM s GROUP BY 1""")
+  CASE WHEN count(*) FILTER (size = 0) > 0 THEN 'empty_page' WHEN count(*) > 8 OR sum(size + kept) > 60000
+   THEN 'over_budget' END AS error FROM s GROUP BY 1""")
 def f6_scan(spark, sf):
     k = F.col("file_id")
     s = files(spark, sf).select(
@@ -323,7 +323,7 @@ def f6_scan(spark, sf):
 
 @query("f7_input_kind_check", f"""WITH {MIMED_SQL},
 b AS (SELECT file_id // 2 AS batch_id, count(*) AS files, count(*) FILTER (mime = 'application/pdf' OR regexp_matches(name, '(?i)\\.pdf$')) AS pdfs, count(*) FILTER (starts_with(kind, 'image/')) AS images FROM mimed GROUP BY 1),
-e AS (SELECT *, CASE WHEN pdfs > 0 AND files <> 1 THEN 'Choose one PDF OR a group of images, not mixed files or multiple PDFs.' WHEN pdfs = 0 AND images < files THEN 'Choose one PDF or supported images.' END AS error FROM b)
+e AS (SELECT *, CASE WHEN pdfs > 0 AND files <> 1 THEN 'mixed_kinds' WHEN pdfs = 0 AND images < files THEN 'unsupported_kind' END AS error FROM b)
 SELECT *, error IS NULL AS ok FROM e""")
 def f7(spark, sf):
     f = files(spark, sf).withColumn("batch_id", F.floor(F.col("file_id") / 2))
@@ -388,8 +388,8 @@ def s7(spark, sf):
 @query("s5_docx_admission", """WITH e AS (SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 19 <> 0 THEN l_linenumber END AS entry_no,
   cast(l_quantity * 800000 AS bigint) AS size, l_orderkey % 13 = 0 AND l_linenumber = 2 AS damaged FROM lineitem),
 g AS (SELECT doc_id, count(entry_no) AS parts, max(size) AS m, cast(sum(size) AS bigint) AS expanded, bool_or(damaged) AS d FROM e GROUP BY 1),
-r AS (SELECT doc_id, parts, expanded, CASE WHEN parts = 0 THEN 'This does not look like a Word .docx file.' WHEN parts > 9 THEN 'This DOCX contains too many parts. Simplify it in Word before converting.'
-  WHEN d THEN 'The DOCX archive is damaged.' WHEN m > 33554432 OR expanded > 134217728 THEN 'The expanded DOCX is too large to convert safely on this device.' END AS error FROM g)
+r AS (SELECT doc_id, parts, expanded, CASE WHEN parts = 0 THEN 'not_an_archive' WHEN parts > 9 THEN 'too_many_parts'
+  WHEN d THEN 'damaged' WHEN m > 33554432 OR expanded > 134217728 THEN 'too_large' END AS error FROM g)
 SELECT *, error IS NULL AS ok FROM r""")
 def s5(spark, sf):
     k = F.col("l_orderkey")

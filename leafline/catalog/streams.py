@@ -73,7 +73,7 @@ def r3(spark, sf):
   CASE WHEN event_id % 13 = 0 THEN 0 ELSE cast(round(value * 100) AS bigint) END AS size, epoch_us(ts) AS created_at FROM events),
 ok AS (SELECT * FROM f QUALIFY sum(size) OVER (PARTITION BY lib_id, batch_id) <= 12000),
 k AS (SELECT lib_id, batch_id || '-' || file_no AS item_id, name, CASE WHEN mime <> '' THEN mime WHEN ends_with(name, '.docx') THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN ends_with(name, '.png') THEN 'image/jpeg' ELSE 'application/pdf' END AS mime,
-  CASE WHEN ends_with(name, '.png') THEN 'scan' WHEN ends_with(name, '.docx') THEN 'docx-pdf' ELSE 'view' END AS tool, created_at, size, true AS stored, batch_id * 1000 + file_no AS seq FROM ok WHERE size > 0),
+  CASE WHEN ends_with(name, '.png') THEN 'scan' WHEN ends_with(name, '.docx') THEN 'docx-pdf' ELSE 'view' END AS tool, created_at, size, true AS stored, batch_id * 4294967296 + file_no AS seq FROM ok WHERE size > 0),
 r AS (SELECT *, row_number() OVER w AS rn, sum(size) OVER w AS total FROM k WHERE size <= 60000 WINDOW w AS (PARTITION BY lib_id ORDER BY created_at DESC, seq DESC))
 SELECT * EXCLUDE (rn, total) FROM r WHERE rn <= 15 AND total <= 60000""")
 def r4(spark, sf):

@@ -12,13 +12,17 @@ MAX_FILES = 200
 MAX_INPUT = 128 * MIB
 MAX_ARCHIVE = 64 * MIB
 HOUR_MS = 3_600_000
+# limits of a Word file: entries, bytes of one part, bytes of all parts
+MAX_ENTRIES = 2000
+MAX_PART = 32 * MIB
+MAX_TOTAL = 128 * MIB
 
 
 def _verdict(error: Column) -> tuple[Column, Column]:
     return error.isNull().alias("ok"), error.alias("error")
 
 
-def docx_admission(entries: DataFrame, max_entries: int = 2000, max_part: int = 32 * MIB, max_total: int = 128 * MIB) -> DataFrame:
+def docx_admission(entries: DataFrame, max_entries: int = MAX_ENTRIES, max_part: int = MAX_PART, max_total: int = MAX_TOTAL) -> DataFrame:
     """Ok and error per archive from its manifest.
 
     ``entries`` is (doc_id, entry_no, size, damaged); a file whose directory
@@ -29,12 +33,12 @@ def docx_admission(entries: DataFrame, max_entries: int = 2000, max_part: int =
         F.max("damaged").alias("_damaged"),
     )
     error = (
-        F.when(F.col("parts") == 0, "This does not look like a Word .docx file.")
-        .when(F.col("parts") > max_entries, "This DOCX contains too many parts. Simplify it in Word before converting.")
-        .when(F.coalesce(F.col("_damaged"), F.lit(False)), "The DOCX archive is damaged.")
+        F.when(F.col("parts") == 0, "not_an_archive")
+        .when(F.col("parts") > max_entries, "too_many_parts")
+        .when(F.coalesce(F.col("_damaged"), F.lit(False)), "damaged")
         .when(
             (F.col("_largest") > max_part) | (F.col("expanded") > max_total),
-            "The expanded DOCX is too large to convert safely on this device.",
+            "too_large",
         )
     )
     return a.select("doc_id", "parts", "expanded", *_verdict(error))
@@ -45,7 +49,7 @@ def input_budget(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int =
     b = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     error = F.when(
         (F.col("files") > max_files) | (F.col("bytes") > max_bytes),
-        "Choose up to 200 files totaling no more than 128 MB. Process larger jobs in smaller parts.",
+        "over_budget",
     )
     return b.select("batch_id", "files", "bytes", *_verdict(error))
 
@@ -60,9 +64,9 @@ def scan_budget(pages: DataFrame, max_pages: int, max_bytes: int = MAX_INPUT) ->
         F.count(F.lit(1)).alias("files"), F.sum(F.col("size") + kept).alias("bytes"),
         F.count_if(F.col("size") <= 0).alias("_empty"),
     )
-    error = F.when(F.col("_empty") > 0, "Choose readable photos, at most 200 files totaling 128 MB.").when(
+    error = F.when(F.col("_empty") > 0, "empty_page").when(
         (F.col("files") > max_pages) | (F.col("bytes") > max_bytes),
-        "This scan exceeds the page limit or 128 MB including retained originals. Remove photos or use a smaller replacement.",
+        "over_budget",
     )
     return b.select("batch_id", "files", "bytes", *_verdict(error))
 
@@ -89,13 +93,13 @@ def input_kind_check(files: DataFrame, max_files: int = MAX_FILES, max_bytes: in
     error = (
         F.when(
             (F.col("files") > max_files) | (F.col("bytes") > max_bytes),
-            "Choose up to 200 images totaling no more than 128 MB.",
+            "over_budget",
         )
         .when(
             (F.col("pdfs") > 0) & (F.col("files") != 1),
-            "Choose one PDF OR a group of images, not mixed files or multiple PDFs.",
+            "mixed_kinds",
         )
-        .when((F.col("pdfs") == 0) & (F.col("images") < F.col("files")), "Choose one PDF or supported images.")
+        .when((F.col("pdfs") == 0) & (F.col("images") < F.col("files")), "unsupported_kind")
     )
     return b.select("batch_id", "files", "pdfs", "images", *_verdict(error))
 

@@ -25,9 +25,14 @@ def exclude_masks(images: DataFrame) -> DataFrame:
     return images.join(masks, ["doc_id", "obj_id"], "left_anti")
 
 
-def recompress_candidates(images: DataFrame, doc_pages: DataFrame, level: str = "balanced") -> DataFrame:
+def recompress_candidates(
+    images: DataFrame, doc_pages: DataFrame, level: str = "balanced",
+    least_pixels: int = 160 * 160, most_jpeg: int = 120_000_000, most_raw: int = 40_000_000, most_target: int = 50_000_000,
+) -> DataFrame:
     """images worth re-encoding, with their target size.
 
+    The rule leaves out images of fewer or more pixels than the parameters say.
+
     ``images`` also has width, height, filter (DCT, Flate, ...), bytes,
     components, stencil, few_colours. Page size enters as one row per document.
     """
@@ -37,12 +42,12 @@ def recompress_candidates(images: DataFrame, doc_pages: DataFrame, level: str =
     i = exclude_masks(images).where(~F.col("stencil") & F.col("components").isin(1, 3) & F.col("filter").isin("DCT", "Flate"))
     pixels = F.col("width").cast("double") * F.col("height")
     jpeg = F.col("filter") == "DCT"
-    i = i.where((pixels >= 160 * 160) & (pixels <= F.when(jpeg, 120_000_000).otherwise(40_000_000)))
+    i = i.where((pixels >= least_pixels) & (pixels <= F.when(jpeg, most_jpeg).otherwise(most_raw)))
     i = i.join(sides, "doc_id", "left").withColumn("_max", F.greatest(F.lit(256), js_round(largest / 72 * dpi)))
     i = i.withColumn(
         "scale",
         F.least(
-            F.lit(1.0), F.col("_max") / F.greatest("width", "height"), F.sqrt(F.lit(50_000_000.0) / pixels)
+            F.lit(1.0), F.col("_max") / F.greatest("width", "height"), F.sqrt(F.lit(float(most_target)) / pixels)
         ),
     )
     thrifty = jpeg & (F.col("scale") > 0.9) & (F.col("bytes") / pixels < 0.5)
@@ -118,18 +123,19 @@ def compression_report(results: DataFrame) -> DataFrame:
     )
 
 
-def best_candidate(candidates: DataFrame) -> DataFrame:
+def best_candidate(candidates: DataFrame, largest: int = 16) -> DataFrame:
     """Best shape of each frame.
 
     ``candidates`` is (frame_id, cand_no, area, points, plausible, support,
-    contrast). The sixteen largest are cut by rank, which Spark limits per task
+    contrast). Only the ``largest`` shapes of a frame are judged, which is the
+    rule and not a saving; they are cut by rank, which Spark limits per task
     before the shuffle.
     """
     by_area = Window.partitionBy("frame_id").orderBy(F.desc("area"), F.asc("cand_no"))
     top = (
         candidates.where(F.col("area").between(0.12, 0.93))
         .withColumn("_rank", F.row_number().over(by_area))
-        .where(F.col("_rank") <= 16)
+        .where(F.col("_rank") <= largest)
         .where((F.col("points") == 4) & F.col("plausible") & (F.col("support") >= 0.55))
     )
     score = F.col("support") * 0.62 + F.sqrt("area") * 0.18 + F.col("contrast") * 0.20

@@ -14,12 +14,12 @@ from leafline.operators.ordering import chunked_position
 
 PAGES_PER_CHUNK = 1000
 
-NO_FILES = "Choose at least one PDF to merge."
-NO_PAGES = "Those PDFs have no pages to merge."
-BAD_SYNTAX = "Use page numbers and ranges, for example 1-3, 5, 8-10."
-NO_COUNT = "Wait for the PDF page count."
-BAD_SPLIT = "Choose valid pages from this PDF."
-NOTHING_LEFT = "Organize would remove every page."
+NO_FILES = "no_files"
+NO_PAGES = "no_pages"
+BAD_SYNTAX = "bad_syntax"
+NO_COUNT = "no_page_count"
+BAD_SPLIT = "bad_pages"
+NOTHING_LEFT = "nothing_left"
 
 
 def page_count(documents: DataFrame, doc_pages: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def page_selection(selection: Column, count: Column) -> Column:
     )
     first_bad = F.get(bounds, (bad_at - 1).cast("int"))
     range_error = F.concat(
-        F.lit("Choose pages between 1 and "), count.cast("string"), F.lit(", with ranges in ascending order.")
+        F.lit("outside_1_to_"), count.cast("string")
     )
     error = (
         F.when(count.isNull() | (count < 1), NO_COUNT)

@@ -16,11 +16,7 @@ from leafline.functions.word import clamp, heading_from_name, heading_from_outli
 from leafline.runtime import cut_lineage
 
 SIDES = ("top", "left", "bottom", "right", "inside_h", "inside_v")
-LEVELS = 9  # list levels the file format allows
-COVERAGE_ERROR = (
-    "This document contains characters that the bundled fonts cannot preserve. "
-    "Export it to PDF from Word or your original editor to keep every character."
-)
+COVERAGE_ERROR = "unsupported_characters"
 
 
 def glyph_coverage(runs: DataFrame) -> DataFrame:
@@ -83,13 +79,14 @@ def part_path(name: Column) -> Column:
 def resolve_rels(refs: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
     """Each reference with the stored name of the part it means, or NULL.
 
+    Of parts whose names differ in case only, the first in order of name is meant.
     ``refs`` (doc_id, ref_no, rel_id), ``rels`` (doc_id, rel_id, target,
     external), ``parts`` (doc_id, part_name).
     """
     r = rels.select(
         "doc_id", "rel_id", F.when(~F.col("external"), F.lower(resolve_target(F.col("target")))).alias("_path")
     )
-    p = parts.select("doc_id", part_path(F.col("part_name")).alias("_path"), "part_name")
+    p = parts.groupBy("doc_id", part_path(F.col("part_name")).alias("_path")).agg(F.min("part_name").alias("part_name"))
     return (
         refs.join(r, ["doc_id", "rel_id"], "left").join(p, ["doc_id", "_path"], "left")
         .select("doc_id", "ref_no", "rel_id", "part_name")
@@ -249,13 +246,15 @@ def list_numbers(items: DataFrame, w_numbering: DataFrame, w_levels: DataFrame)
     ``items`` (doc_id, para_no, num_id, ilvl); ``w_numbering`` (doc_id, num_id,
     abs_id); ``w_levels`` (doc_id, abs_id, ilvl, fmt). A number counts the
     numbered items of its level since the last numbered item of a lower level.
+    Which levels are in use is read first: a handful of numbers in any corpus.
     """
     fmt = items.join(w_numbering, ["doc_id", "num_id"], "left").join(w_levels, ["doc_id", "abs_id", "ilvl"], "left")
     numbered = F.coalesce(F.col("fmt").rlike("(?i)decimal|ordinal|cardinal|arabic"), F.lit(False))
     i = fmt.select("doc_id", "para_no", "num_id", "ilvl", numbered.alias("_numbered"))
     w = Window.partitionBy("doc_id", "num_id", "_numbered").orderBy("para_no")
-    lower = F.array(*[F.sum((F.col("ilvl") < level).cast("int")).over(w) for level in range(LEVELS)])
-    i = i.withColumn("_key", F.get(lower, F.col("ilvl")))
+    used = sorted(r.ilvl for r in items.select("ilvl").where(F.col("ilvl").isNotNull()).distinct().collect())
+    lower = [F.when(F.col("ilvl") == level, F.sum((F.col("ilvl") < level).cast("int")).over(w)) for level in used]
+    i = i.withColumn("_key", F.coalesce(*lower, F.lit(0)))
     counted = Window.partitionBy("doc_id", "num_id", "_numbered", "ilvl", "_key").orderBy("para_no")
     prefix = F.when(
         F.col("_numbered"), F.concat(F.row_number().over(counted).cast("string"), F.lit(". "))

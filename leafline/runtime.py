@@ -32,14 +32,18 @@ def local_session(cores: int | str = 8, app: str = "leafline", **conf: str) -> S
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is set here only when neither the session nor the context names
-    one, which happens in local tests; files there outlive a lost executor.
+    A local master may run without that setting, as tests do, and then takes a
+    new folder; a cluster may not, as its executors share no local folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -117,7 +117,8 @@ def flatten_outline(outline: DataFrame, key: str = "doc_id") -> DataFrame:
     round joins one level to its children; levels are checkpointed. Order the
     result by (doc_id, sort_path) to read it in pre-order.
     """
-    label = F.lpad(F.col("ord").cast("string"), 12, "0")
+    # any bigint as twenty digits that sort as the number does
+    label = F.lpad((F.col("ord").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
     nodes = outline.select(key, "node_id", "parent_id", label.alias("_label"), "title", "page_index")
     children = nodes.withColumnRenamed("node_id", "_child").withColumnRenamed("parent_id", "node_id").select(
         key, "node_id", "_child", F.col("_label").alias("_l"), F.col("title").alias("_t"), F.col("page_index").alias("_p")
@@ -144,8 +145,8 @@ def flatten_outline(outline: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-ENCRYPTED = "This PDF is password-protected and cannot be processed on-device."
-FAILED = "PDF processing failed"
+ENCRYPTED = "encrypted"
+FAILED = "failed"
 
 
 def human_error(message: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +19,8 @@ LIBRARY = (
 def accept_files(files: DataFrame, max_bytes: int = MAX_INPUT) -> DataFrame:
     """Files of batches within the byte limit, empty ones left out, with their tool and type.
 
-    ``files`` is (lib_id, batch_id, file_no, name, mime, size, created_at).
+    ``files`` is (lib_id, batch_id, file_no, name, mime, size, created_at);
+    batches and files within a batch are numbered below 2**31.
     """
     totals = files.groupBy("lib_id", "batch_id").agg(F.sum("size").alias("_total"))
     fits = totals.where(F.col("_total") <= max_bytes).select("lib_id", "batch_id")
@@ -29,7 +29,7 @@ def accept_files(files: DataFrame, max_bytes: int = MAX_INPUT) -> DataFrame:
     return kept.select(
         "lib_id", F.concat_ws("-", "batch_id", "file_no").alias("item_id"), "name", default_mime(name, mime).alias("mime"),
         route_tool(name, mime).alias("tool"), "created_at", "size", F.lit(True).alias("stored"),
-        (F.col("batch_id").cast("long") * 1000 + F.col("file_no")).alias("seq"),
+        (F.shiftleft(F.col("batch_id").cast("long"), 32) + F.col("file_no")).alias("seq"),
     )
 
 
@@ -49,12 +49,8 @@ def start_intake(stream: DataFrame, path: str, checkpoint: str, **trigger) -> St
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.schema(LIBRARY).parquet(f"{path}/epoch={epoch - 1}") if epoch else None
-        except AnalysisException:
-            before = None
-        if before is None:
-            before = spark.createDataFrame([], LIBRARY)
+        # only the first batch starts from nothing; a version that cannot be read fails the batch
+        before = spark.read.schema(LIBRARY).parquet(f"{path}/epoch={epoch - 1}") if epoch else spark.createDataFrame([], LIBRARY)
         library_intake(before, batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -32,7 +32,7 @@ def test_write_result_is_bucketed(spark):
     write_result(result_columns(df, F.col("doc_id") % 2 == 0, F.lit("was Encrypted"), buckets=8), f"{path}/out")
     back = spark.read.parquet(f"{path}/out")
     assert back.where("doc_bucket = 3").count() == 25
-    assert {r.error for r in back.where("NOT ok").collect()} == {"This PDF is password-protected and cannot be processed on-device."}
+    assert {r.error for r in back.where("NOT ok").collect()} == {"encrypted"}
 
 
 def test_names_are_normalised(spark):
