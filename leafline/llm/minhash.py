@@ -6,14 +6,15 @@ skipped, and so is a node with fewer shared postings than the match threshold.
 Of the others a prefix of the rarest postings is enough: two nodes with
 ``MATCH`` equal coordinates share one of the first ``m - MATCH + 1`` of either.
 
-No posting list is turned into pairs.  Each list has a leader, the node whose
+A list of few open nodes is turned into pairs, no more than ``SHORT`` for each
+posting; a longer one is not.  It has a leader, the node with its key whose
 postings are the most shared, and every member is compared with it on full
 sets.  A pair that the leader does not explain must agree outside the
 leader's set: if x and y have J(x, y) >= p / 100 and all they share is in the
 leader, then the sum of their sizes is so small that x shares enough with the
 leader (``_need``).  So lists with members that the leader does not take are
-dealt anew by the shingles outside the leader, again with skips and prefixes,
-until lists are short; then their pairs are compared.
+dealt anew by the shingles outside the leader, again with skips, prefixes and
+leaders, until no list is long.
 
 At J = 0.8 the 64 coordinates agree in 51 places on average; fewer than 32
 (``MATCH``) have a chance below 1e-8.  What is posted is linear in the input.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm import arrays as A
@@ -41,7 +42,8 @@ from leafline.llm.spread import keep, small_batches
 COORDINATES = 64
 MATCH = 32
 SALTS = 16
-SHORT = 8  # lists are turned into pairs when these are no more than so many times the postings
+SMALLEST = 8  # members of a list that are compared with its open ones whatever they share
+SHORT = 6  # lists of no more open nodes are turned into pairs, and all lists when they have no more pairs for each node of the input
 
 _TURN = np.random.Generator(np.random.PCG64(515)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -136,48 +138,68 @@ def _linked(percent: int) -> Column:
 
 
 def _shared_postings(posts: DataFrame) -> DataFrame:
-    """Postings (key, node, ...) of keys that two nodes or more have, one of them open, with the number n of nodes."""
-    counts = posts.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open").drop("any_open")
-    return posts.join(counts, "key")
+    """Postings of keys that two nodes or more have, one of them open, with the number n of nodes.
 
+    Keys whose nodes all have one home elsewhere are skipped: their pairs are dealt with there.
+    """
+    counts = posts.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("o"), F.min("home").alias("low"), F.max("home").alias("high"))
+    return posts.join(counts.filter("n > 1 AND o AND (low != high OR low = 0)").select("key", "n"), "key")
+
+
+def _held(posts: DataFrame) -> DataFrame:
+    """Per list and node its shared postings, rarest first, and their weight; nodes with fewer postings than they need are skipped."""
+    held = posts.groupBy("list", "node").agg(
+        F.sort_array(F.collect_list(F.struct("n", "key"))).alias("p"), F.max("need").alias("need"), F.max("open").alias("open"), F.max("home").alias("home"), F.sum("n").alias("weight")
+    )
+    return keep(held.filter(~F.col("open") | (F.size("p") >= F.col("need"))))
 
-def _prefixes(posts: DataFrame) -> DataFrame:
-    """Skip nodes with fewer postings than they need; keep the rarest m - need + 1 of the others, all of closed nodes."""
-    held = posts.groupBy("list", "node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("p"), F.max("need").alias("need"), F.max("open").alias("open"), F.sum("n").alias("weight"))
-    size = F.size("p")
-    cut = F.when(F.col("open"), F.slice("p", F.lit(1), F.greatest(size - F.col("need").cast("int") + 1, F.lit(0)))).otherwise(F.col("p"))
-    return held.filter(~F.col("open") | (size >= F.col("need"))).select("list", "node", "open", "weight", F.explode(cut).alias("p")).select("list", "node", "open", "weight", "p.key")
+
+def _members(held: DataFrame) -> DataFrame:
+    """(key, node, open, home): the rarest m - need + 1 postings of open nodes, all of the others."""
+    cut = F.when(F.col("open"), F.slice("p", F.lit(1), F.size("p") - F.col("need").cast("int") + 1)).otherwise(F.col("p"))
+    return held.select("node", "open", "home", F.explode(cut).alias("p")).select("node", "open", "home", "p.key")
 
 
 def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: int) -> DataFrame:
     """Edges (u, v) between nodes, so that nodes are connected by them exactly if they are by all links."""
     known = described.filter("node IS NOT NULL")
     nodes = keep(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
-    posts = nodes.select(F.lit(0).cast("long").alias("list"), "node", F.lit(True).alias("open"), F.lit(match).cast("long").alias("need"), F.explode("keys").alias("key"))
-    posts = keep(_prefixes(_shared_postings(posts)))
-    wanted = posts.select("node").distinct().join(nodes, "node").select("node", "doc_id")
+    posts = nodes.select(F.lit(0).cast("long").alias("list"), "node", F.lit(True).alias("open"), F.lit(match).cast("long").alias("need"), F.lit(0).cast("long").alias("home"), F.explode("keys").alias("key"))
+    held = _held(_shared_postings(posts))
+    wanted = held.select("node").join(nodes, "node").select("node", "doc_id")
     texts = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
     sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary").filter("octet_length(shingles) > 0").dropDuplicates(["node"]))
     found: list[DataFrame] = []
+    n_nodes = nodes.count()
     while True:
-        load = posts.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("o")).filter("n > 1 AND o > 0")
-        n_posts, n_pairs = load.agg(F.sum("n"), F.sum(F.col("o") * (F.col("n") - 1))).first()
-        if not n_posts:
-            break
-        busy = posts.join(load.select("key"), "key")
-        if n_pairs <= SHORT * n_posts and found:
-            x = busy.filter("open").select("key", F.col("node").alias("x"))
-            y = busy.select("key", F.col("node").alias("y"))
-            pairs = x.join(y, "key").filter("x != y").select("x", "y").distinct()
-            found.append(keep(compare(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        members = _members(held)
+        homes = members.groupBy("key", "home").agg(F.count("*").alias("c"), F.sum(F.col("open").cast("long")).alias("o"))
+        same = F.sum(F.when(F.col("home") != 0, F.col("c") * F.col("c")).otherwise(0))
+        load = homes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("o").alias("o"), same.alias("same")).filter("n > 1 AND o > 0")
+        n_pairs = F.col("n") * F.col("n") - F.col("same")
+        short = (F.col("o") <= SHORT) | (n_pairs <= 4 * SHORT * F.col("n"))
+        load = keep(load.select("key", short.alias("short"), F.least(n_pairs, F.col("o") * F.col("n")).alias("n_pairs")))
+        # what is left of long lists is compared at once as soon as it is linear in the nodes
+        left = load.filter("NOT short").agg(F.sum("n_pairs")).first()[0] or 0
+        if left <= SHORT * n_nodes:
+            load = load.withColumn("short", F.lit(True))
+        # lists of few pairs: each open node with the others, but those of the same home elsewhere
+        few_pairs = members.join(load.filter("short").select("key"), "key")
+        x = few_pairs.filter("open").select("key", F.col("node").alias("x"), F.col("home").alias("x_home"))
+        y = few_pairs.select("key", F.col("node").alias("y"), F.col("home").alias("y_home"), F.col("open").alias("y_open"))
+        met = x.join(y, "key").filter("(x < y OR (x > y AND NOT y_open)) AND (x_home = 0 OR x_home != y_home)")
+        pairs = met.select("x", "y").distinct()
+        found.append(keep(compare(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        # the others: each member with the list's leader, of all nodes that have the key
+        if left <= SHORT * n_nodes:
             break
-        leaders = busy.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("y"))
-        pairs = busy.join(leaders, "key").filter("node != y").groupBy(F.col("node").alias("x"), "y").agg(F.max("open").alias("was_open"))
+        many_open = load.filter("NOT short").select("key")
+        all_posts = held.select("node", "weight", F.explode("p.key").alias("key")).join(many_open, "key")
+        leaders = all_posts.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("y"))
+        pairs = members.join(many_open, "key").join(leaders, "key").filter("node != y").groupBy(F.col("node").alias("x"), "y").agg(F.max("open").alias("was_open"))
         judged = keep(compare(pairs.select("x", "y"), sets).join(pairs, ["x", "y"]).withColumn("linked", _linked(percent)))
         found.append(judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        posts = keep(_deal_anew(judged, percent, found, sets))
-    if not found:
-        return nodes.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v"))
+        held = _deal_anew(judged, percent, found, sets)
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
@@ -189,25 +211,37 @@ def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: Da
 
     J(x, y) >= p / 100 needs shared >= p / (100 + p) * (|x| + |y|).  Of what an
     open x shares with y, at most |x & leader| is in the leader.  For a y of
-    size s or more, x and y so share ``need`` shingles outside; s is the least
-    size for which that is one at least, and the few smaller members are
-    compared directly.
+    size s or more, x and y so share ``need`` shingles outside; s is the size of
+    the list's ninth smallest member, or the least for which that is one at
+    least.  Smaller members are compared directly: eight, and those few others.
     """
     open_ = F.col("was_open") & ~F.col("linked")
-    lists = judged.groupBy(F.col("y").alias("leader")).agg(F.max(open_).alias("go_on"), F.min("x_size").alias("least")).filter("go_on").drop("go_on")
-    members = judged.withColumn("open", open_).withColumnRenamed("y", "leader").join(lists, "leader")
-    # the least sizes of y: a partner's by the ratio, the list's, and that from which something outside must be shared
+    judged = judged.withColumnRenamed("y", "leader").withColumn("open", open_)
+    # the home of a node: the leader most like it; pairs of one home are dealt with in its list
+    like = F.col("shared") / (F.col("x_size") + F.col("y_size") - F.col("shared"))
+    homes = judged.groupBy("x").agg(F.max(F.struct(like, "leader")).alias("best")).select("x", F.col("best.leader").alias("home"))
+    judged = judged.join(homes, "x").withColumn("home", F.when(F.col("home") == F.col("leader"), 0).otherwise(F.col("home")))
+    going = judged.groupBy("leader").agg(F.max("open").alias("go_on")).filter("go_on").select("leader")
+    members = keep(judged.join(going, "leader").select("leader", "x", "x_size", "shared", "open", "home", "rest"))
+    by_size = Window.partitionBy("leader").orderBy("x_size", "x")
+    smallest = keep(members.select("leader", "x", "x_size", "home", F.row_number().over(by_size).alias("rank")).filter(F.col("rank") <= SMALLEST + 1))
+    floor = smallest.groupBy("leader").agg(F.max(F.when(F.col("rank") > SMALLEST, F.col("x_size"))).alias("floor"))
     ratio = F.ceil(F.col("x_size") * percent / 100)
     sure = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("x_size") + 1
-    size = F.greatest(ratio, F.col("least"), sure)
+    members = members.join(floor, "leader").withColumn("floor", F.coalesce("floor", F.lit(2**40))).withColumn("sure", sure).withColumn("ratio", ratio)
+    size = F.greatest("ratio", "floor", "sure")
     need = F.greatest(F.lit(1), F.ceil((F.col("x_size") + size) * percent / (100 + percent)).cast("long") - F.col("shared"))
-    members = members.withColumn("need", need).withColumn("sure", sure)
-    small = members.filter(F.col("open") & (F.col("sure") > F.greatest(F.col("least"), ratio))).select("leader", "x", F.col("x_size").alias("size"), "sure", ratio.alias("ratio"))
-    others = members.select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"))
-    direct = small.join(others, "leader").filter("other < sure AND other >= ratio AND x != y").select("x", "y").distinct()
-    found.append(keep(compare(direct, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
-    posts = members.select(F.col("leader").alias("list"), F.col("x").alias("node"), "open", "need", F.explode("rest").alias("s"))
-    return _prefixes(_shared_postings(posts.select("list", "node", "open", "need", F.xxhash64("list", "s").alias("key"))))
+    members = members.withColumn("need", need)
+    asking = members.filter("open").select("leader", "x", "sure", "ratio", "floor", F.col("home").alias("x_home"))
+    apart = "x != y AND (x_home = 0 OR x_home != y_home)"
+    low = smallest.filter(F.col("rank") <= SMALLEST).select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), F.col("home").alias("y_home"))
+    direct = asking.join(low, "leader").filter(f"other >= ratio AND {apart}").select("x", "y")
+    between = members.select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), F.col("home").alias("y_home"))
+    more = asking.filter("sure > floor AND sure > ratio").join(between, "leader").filter(f"other >= floor AND other < sure AND other >= ratio AND {apart}").select("x", "y")
+    pairs = direct.union(more).distinct()
+    found.append(keep(compare(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
+    posts = members.select(F.col("leader").alias("list"), F.col("x").alias("node"), "open", "need", "home", F.explode("rest").alias("s"))
+    return _held(_shared_postings(posts.select("list", "node", "open", "need", "home", F.xxhash64("list", "s").alias("key"))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH) -> DataFrame:

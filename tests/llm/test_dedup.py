@@ -98,7 +98,7 @@ def test_near_duplicates(docs, rows, none, k):
         assert minhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("short", [0, 10**9])
+@pytest.mark.parametrize("short", [0, 3, 10**9])
 def test_near_duplicates_around_a_hub(spark, monkeypatch, short):
     monkeypatch.setattr(minhash, "SHORT", short)  # 0: lists are always dealt to leaders anew
     rows = hub_rows(11, 150)
