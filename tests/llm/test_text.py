@@ -197,3 +197,22 @@ def test_decontamination(spark, none):
     clean = decontaminate.without_contaminated(docs, table)
     assert clean.columns == docs.columns and sorted(repr(r.doc_id) for r in clean.collect()) == ["2", "4", "5", "6", "8", "None"]
     assert decontaminate.contaminated(docs.limit(0), table).count() == 0 and decontaminate.contaminated(docs, table.limit(0)).count() == 0
+
+
+def test_short_and_slot_dense_items_are_found(spark):
+    items = [
+        (1, "Tom has 5 apples, Ann has 7 kg"), (2, "What is the capital of France?"), (3, "Who was Napoleon?"), (4, "3 + 4 ="), (5, "Der Hund sieht 3 Katzen, 4 Vögel, 5 Mäuse, 6 Pferde und 7 Kühe"),
+        (6, "Which of these old bridges was built first"), (7, "..."), (8, ""), (9, "1 2 3 4 5 6 7 8 9 10"), (10, "Whoever counts red apples in this old garden finds fewer"),
+    ]
+    rows = [
+        (1, "Well, he said Tom has 5 apples, Ann has 7 kg of them"), (2, "here Tom has 9 apples, Eve has 2 kg of them"), (3, "here Tom has 9 pears, Eve has 2 kg of them"), (4, "so: What is the capital of France?"),
+        (5, "he asked What is the capital of Spain, and why"), (6, "who was Napoleon"), (7, "Who was Wellington?"), (8, "see 3 + 4 = 7"), (9, "see 3 - 4 = 7"),
+        (10, "dass Der Hund sieht 3 Katzen, 4 Vögel, 5 Mäuse, 6 Pferde und 7 Kühe gern"), (11, "we ask, Which of these old bridges was built first"), (12, "x 0 1 2 3 4 5 6 7 8 9 10 11"), (13, "x 2 3 4 5 6 7 8 9 10 11 12"),
+        (14, "today Whoever counts red apples in this old garden finds fewer"), (15, "here Tom has 9 apples, Eve has 9 kg of them"), (16, "..."), (17, "Tom has 5 apples"), (18, None),
+    ]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, table).collect()}
+    again = "reparameterised"
+    assert got == {(1, 1, "exact"), (2, 1, again), (4, 2, "exact"), (5, 2, again), (6, 3, "exact"), (8, 4, "exact"), (10, 5, "exact"), (11, 6, "exact"), (12, 9, "exact"), (14, 10, "exact")}
+    clean = decontaminate.without_contaminated(docs, table)
+    assert {r.doc_id for r in clean.collect()} == {3, 7, 9, 13, 15, 16, 17, 18}
