@@ -159,9 +159,6 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _track_group(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     now: TrackState = EMPTY_TRACK
     if state.exists:
         now = tuple(list(v) if isinstance(v, (list, tuple)) else v for v in state.get)
@@ -170,21 +167,20 @@ def _track_group(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState)
         now, result = _track_row(now, row)
         out.append(result)
     state.update(now)
-    expiry = max(int(now[3]), 0) + LOST_AFTER + 1
-    state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=["source_id", "seq", "t", "corners", "stable"])
 
 
-def track_stream(frames: DataFrame, delay: str = "1 second") -> DataFrame:
+def track_stream(frames: DataFrame) -> DataFrame:
     """R1 on a stream of (source_id, seq, ts TIMESTAMP, corners, score); ``t`` is ``ts`` in milliseconds.
 
     Rows of a trigger are applied in time order; older ones than the last seen
-    reset the track. State leaves once the watermark passes the expiry, when a
-    new frame would start afresh anyway.
+    reset the track, however late they are: no watermark drops them.  The state
+    holds the time last seen, from which the track expires; one small state
+    stays for every source, as a timeout would end tracks by when frames arrive.
     """
-    f = frames.withWatermark("ts", delay).withColumn("t", F.unix_millis("ts"))
+    f = frames.withColumn("t", F.unix_millis("ts"))
     return f.groupBy("source_id").applyInPandasWithState(
-        _track_group, TRACKED, TRACK_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        _track_group, TRACKED, TRACK_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -132,6 +132,21 @@ def test_track_stream_equals_batch(spark, folder):
     assert key(spark.table("tracks").collect()) == expected_tracks(rows)
 
 
+def test_a_frame_an_hour_late_resets_the_track(spark, folder):
+    start, hour = 1_700_000_000_000, 3_600_000
+    rows = [(1, i, start + hour + 40 * i, BOX, 0.9, 0) for i in range(5)]
+    # Spark judges lateness by the watermark of the trigger before, so another trigger stands between
+    rows += [(1, 5, start + 2 * hour, BOX, 0.9, 1), (1, 6, start + 2 * hour + 40, BOX, 0.9, 2), (1, 7, start + hour, shift(BOX, 0.15), 0.9, 3)]
+    df = spark.createDataFrame(rows, "source_id bigint, seq bigint, t bigint, corners array<double>, score double, piece int")
+    s = stream_of(spark, df.withColumn("ts", F.timestamp_millis("t")).drop("t"), folder, 4)
+    q = R.track_stream(s).writeStream.format("memory").queryName("late").outputMode("append").option(
+        "checkpointLocation", f"{folder}/cp").start()
+    finish(q)
+    got = {r.seq: r for r in spark.table("late").collect()}
+    assert sorted(got) == list(range(8))
+    assert far(got[7].corners, shift(BOX, 0.15)) < 1e-9 and not got[7].stable
+
+
 def test_rate_limit_stream_equals_batch(spark, folder):
     rows = random_frames(n=2, length=60, seed=3)
     df = spark.createDataFrame(rows, SCHEMA).drop("corners", "score")
