@@ -140,7 +140,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     spans = base.union(more).select("row", F.lit(None).cast("long").alias("doc_id"), F.struct(F.col("kind").cast("int").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).alias("span"))
     every = rows.select("row", "doc_id", F.lit(None).cast(spans.schema["span"].dataType).alias("span"))
     found = every.union(spans).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list("span")).alias("spans"))
-    return found.select("doc_id", *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)], "spans")
+    return found.select("doc_id", *[_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], "spans")
+
+
+def _count(kind: int) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
 def written(spans: Column) -> Column:
