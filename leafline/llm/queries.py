@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, decontaminate, host_rules, language, line_dedup, minhash, pii, substring, suffixes, urls
+from leafline.llm import bpe, conversations, decontaminate, hard_negatives, host_rules, language, line_dedup, minhash, pii, spread, substring, suffixes, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +203,93 @@ def op7_personal(spark, sf_dir):
 @_query("op1_templates")
 def op1_templates(spark, sf_dir):
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP11_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS other, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.r != b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT r, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS FIRST, other) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.r, p.other ORDER BY score DESC, vec_id NULLS FIRST, s.other))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.r, p.other ORDER BY score DESC, vec_id NULLS FIRST, s.other) <= 3
+"""
+
+
+@_query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 50 == 0).alias("anchor"))
+    return hard_negatives.hard_negatives(vectors)
+
+
+@_query("op12_token_files")
+def op12_token_files(spark, sf_dir):
+    folder = spread.new_folder(spark, "tokens")
+    token_files.write_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.checksums(spark, folder)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the damage that the repair is shown on; nulls are one space."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat_ws(":", one("conv_id"), one("turn")).cast("binary")), F.lit(20))
+    rows = rows.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"), kind.alias("kind")).filter("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "kind")
+    return rows.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("kind", "copy")
+
+
+_RAGGED = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_EDITS = "list_min([{{'c': x[{s}].c + 4, 'a': 'D' || x[{s}].a}}, CASE WHEN free AND {k} THEN {{'c': x[{t}].c + cut, 'a': 'K' || x[{t}].a}} ELSE far END, CASE WHEN free THEN {{'c': x[{n}].c + cut + 3, 'a': 'R' || x[{n}].a}} ELSE far END])"
+_STATES = [
+    _EDITS.format(s=1, k="initial IN ('s', 'u')", t="CASE WHEN initial = 's' THEN 2 ELSE 3 END", n=3), _EDITS.format(s=2, k="initial = 'u'", t=3, n=3),
+    _EDITS.format(s=3, k="initial = 'a'", t=4, n=4), _EDITS.format(s=4, k="initial = 'u'", t=3, n=3),
+]
+_INSERTS = "[list_min([{x}[1], {{'c': {x}[3].c + 3, 'a': 'I' || {x}[3].a}}]), list_min([{x}[2], {{'c': {x}[3].c + 3, 'a': 'I' || {x}[3].a}}]), list_min([{x}[3], {{'c': {x}[4].c + 3, 'a': 'I' || {x}[4].a}}]), list_min([{x}[4], {{'c': {x}[3].c + 3, 'a': 'I' || {x}[3].a}}])]"
+
+OP13_SQL = rf"""
+WITH RECURSIVE t8 AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+q AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT q.* EXCLUDE k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d FROM q, t8),
+w AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE d != 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, {_RAGGED}) AS body FROM w),
+f AS (
+  SELECT *, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS earlier,
+    CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT {{'c': 1000000000000, 'a': ''}} AS far),
+r AS (
+  SELECT conv_id, n AS i, {_INSERTS.format(x="x")} AS x FROM n, (SELECT [{{'c': 0, 'a': ''}}, far, far, {{'c': 0, 'a': ''}}] AS x FROM z)
+  UNION ALL
+  SELECT conv_id, i - 1, {_INSERTS.format(x="y")} FROM (
+    SELECT r.conv_id, r.i, [{', '.join(_STATES)}] AS y FROM (SELECT r.*, f.initial, f.fault NOT IN (1, 2) AS free, CASE WHEN f.fault = 3 THEN 3 ELSE 0 END AS cut, far FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i, z) r)),
+a AS (SELECT conv_id, x[1].c AS cost, x[1].a AS audit FROM r WHERE i = 0),
+l AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS p, unnest(string_split(audit, '')) AS e FROM a WHERE audit != ''),
+m AS (SELECT *, count(*) FILTER (e != 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM l),
+g AS (
+  SELECT m.conv_id, p, e, f.role, f.text, row_number() OVER (PARTITION BY m.conv_id ORDER BY p) - max(CASE WHEN e = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS k
+  FROM m LEFT JOIN f ON e != 'I' AND m.conv_id IS NOT DISTINCT FROM f.conv_id AND m.i = f.i WHERE e != 'D'),
+s AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS v FROM g GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(v, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+@_query("op13_conversations", OP13_SQL)
+def op13_conversations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversations.report(conversations.repair(damaged(rows))).withColumnRenamed("conv_id", "of")
+    every = rows.select("conv_id").distinct()
+    joined = every.join(found, every["conv_id"].eqNullSafe(found["of"]), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -111,3 +112,9 @@ def packed(columns: dict[str, list]) -> pa.Table:
 def few(rows: DataFrame, most: int = 200_000) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if its counted rows are no more than ``most``."""
     return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder that checkpoints go to; the caller writes there with Spark."""
+    keep(spark.range(0))  # names the folder, if no query has yet
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
