@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafline.catalog import fixtures as fx
 from leafline.catalog.registry import query, table
 from leafline.operators import flow as W
+from leafline.operators import paging
 from leafline.operators import word as X
 from leafline.operators.admission import docx_admission, docx_warnings
 from leafline.sources import docx as S
@@ -284,7 +285,32 @@ def w13(spark, sf):
     return W.flow_lines(p, 100.0)
 
 
-@query("w14_paginate")
+_BOX, _LINE = 697_890_000, 12_960_000  # micropoints: the room of a page, and the height of a line
+
+_PAGE_SQL = f"""
+b AS (SELECT doc_id, u.i - 1 AS n, greatest(1, ceil(length(u.l) / 90))::BIGINT AS c, CASE WHEN u.l = '' THEN 'empty' WHEN (u.i - 1) % 37 = 36 THEN 'break' WHEN (u.i - 1) % 11 = 10 THEN 'image' WHEN (u.i - 1) % 7 >= 5 THEN 'row' ELSE 'para' END AS kind
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(l, i)),
+s AS (SELECT *, sum(CASE WHEN kind = 'para' THEN {_LINE} WHEN kind = 'image' THEN 8000000 WHEN kind = 'row' AND n % 7 = 5 THEN 16000000 ELSE 0 END) OVER w AS s, count(*) FILTER (kind = 'break') OVER w AS part FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+p AS (SELECT x.doc_id, x.n, list(DISTINCT (y.s - x.s)::BIGINT) AS p FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.part = y.part AND y.n > x.n AND y.s - x.s <= {_BOX} WHERE x.kind IN ('para', 'empty') GROUP BY 1, 2),
+o AS (
+  SELECT doc_id, n, 0 AS line, 'gap' AS op, CASE WHEN kind = 'para' THEN 6000000 ELSE 14000000 + {_LINE} END AS size, CASE WHEN kind = 'para' THEN {_LINE} ELSE 0 END AS first, 0 AS tail FROM b WHERE kind IN ('para', 'empty') UNION ALL
+  SELECT doc_id, n, u.i, 'line', {_LINE}, 0, 0 FROM b, unnest(range(1, c + 1)) AS u(i) WHERE kind = 'para' UNION ALL
+  SELECT doc_id, n, c + 1, 'gap', 8000000, 0, 0 FROM b WHERE kind = 'para' UNION ALL
+  SELECT doc_id, n, 1, 'line', CASE WHEN kind = 'image' THEN 200000000 ELSE 16000000 + 12000000 * c END, 0, CASE WHEN kind = 'image' THEN 8000000 ELSE 0 END FROM b WHERE kind IN ('image', 'row') UNION ALL
+  SELECT doc_id, n, 0, 'break', 0, 0, 0 FROM b WHERE kind = 'break'),
+q AS MATERIALIZED (SELECT o.*, p, row_number() OVER (PARTITION BY o.doc_id ORDER BY o.n, line) AS k FROM o LEFT JOIN p ON op = 'gap' AND o.doc_id = p.doc_id AND o.n = p.n),
+walk AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS k, -1::BIGINT AS page, 0::BIGINT AS room, NULL::BIGINT AS n, NULL::BIGINT AS line, NULL::BIGINT AS spot FROM b UNION ALL
+  SELECT doc_id, k, page, room - CASE WHEN op = 'line' THEN size + tail WHEN op = 'gap' AND page >= 0 AND room - first >= size AND room - first - size >= coalesce(list_max(list_filter(p, lambda x: x <= room - first)), 0) THEN size ELSE 0 END,
+    CASE WHEN op = 'line' THEN n END, line - 1, room
+  FROM (SELECT q.*, CASE WHEN op = 'line' AND greatest(page, 0) = page AND room >= size THEN page WHEN op = 'line' THEN greatest(page, 0) + CASE WHEN page >= 0 OR size > {_BOX} THEN 1 ELSE 0 END WHEN op = 'break' AND page >= 0 THEN page + 1 ELSE page END AS page,
+      CASE WHEN (op = 'line' AND (page < 0 OR room < size)) OR (op = 'break' AND page >= 0) THEN {_BOX} ELSE room END AS room
+    FROM walk JOIN q ON q.doc_id = walk.doc_id AND q.k = walk.k + 1))"""
+
+
+@query("w14_paginate", f"""WITH RECURSIVE {_PAGE_SQL}
+SELECT doc_id, n::INTEGER AS block_no, line::INTEGER AS line_no, page::INTEGER AS page_no, (spot + 72000000) / 1e6::DOUBLE AS y, NULL::INTEGER AS page_count FROM walk WHERE n IS NOT NULL UNION ALL
+SELECT doc_id, NULL, NULL, NULL, NULL, (greatest(0, coalesce(max(page) FILTER (n IS NOT NULL), 0)) + 1)::INTEGER FROM walk GROUP BY doc_id""")
 def w14(spark, sf):
     p = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
     count = F.greatest(F.lit(1), F.ceil(F.length("text") / 90)).cast("int")
@@ -295,4 +321,4 @@ def w14(spark, sf):
         F.when(n % 11 == 10, F.array(F.lit(200.0))).when(n % 7 >= 5, F.array(16.0 + count * 12.0)).otherwise(F.array_repeat(F.lit(12.96), count)).alias("heights"),
         F.lit(12.0).alias("size"), F.lit(1.08).alias("line_mult"), F.lit(6.0).alias("space_before"), F.lit(8.0).alias("space_after"), (n % 7 == 5).alias("opens_table"),
     )
-    return W.paginate(b)
+    return paging.paginate(b)

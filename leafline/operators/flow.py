@@ -1,11 +1,7 @@
-"""Text flow: wrapping and paging a corpus."""
+"""Text flow: wrapping a corpus."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,146 +81,3 @@ def flow_lines(paras: DataFrame, width: float | Column, metrics: dict[str, float
     return p.select("doc_id", "para_no", F.posexplode_outer(F.aggregate("_tokens", zero, step, finish)).alias("line_no", "_l")).select(
         "doc_id", "para_no", "line_no", F.col("_l.text").alias("text"), F.col("_l.width").alias("width")
     )
-
-
-class _Page:
-    """Cursor over the pages of one document."""
-
-    def __init__(self, top: float, bottom: float):
-        self.top, self.bottom = top, bottom
-        self.page, self.y, self.last_ink, self.shown = -1, 0.0, -1, False
-
-    def new(self) -> None:
-        self.page, self.y = self.page + 1, self.top
-
-    def ensure(self) -> None:
-        if self.page < 0:
-            self.new()
-
-    def ink(self) -> None:
-        self.last_ink = self.page
-
-    def advance(self, gap: float, reserved: float) -> None:
-        if self.page >= 0 and gap > 0 and self.y - gap - reserved >= self.bottom:
-            self.y -= gap
-
-
-def _need(block) -> float | None:
-    """Height that a coming block is sure to need; None at a page break."""
-    if block.kind == "break":
-        return None
-    if block.kind == "para":
-        return block.size * block.line_mult
-    if block.kind == "image":
-        return 8.0
-    return 16.0 if block.kind == "row" and block.opens_table else 0.0
-
-
-def _reserve(coming, available: float) -> float:
-    total = 0.0
-    if available <= 0:
-        return 0.0
-    for block in coming:
-        need = _need(block)
-        if need is None or (need > 0 and total + need > available):
-            break
-        total += need
-    return total
-
-
-def _place(block, coming, page: _Page, out: list) -> None:
-    def put(line_no):
-        out.append((block.doc_id, block.block_no, line_no, page.page, page.y))
-
-    if block.kind == "break":
-        if page.page >= 0:
-            page.new()
-    elif block.kind == "empty":
-        gap = block.space_before + block.space_after + block.size * block.line_mult
-        page.advance(gap, _reserve(coming, page.y - page.bottom))
-    elif block.kind in ("row", "image"):
-        height = block.heights[0]
-        page.ensure()
-        if page.y - height < page.bottom:
-            page.new()
-        put(0)
-        page.ink()
-        page.shown = True
-        page.y -= height + (8 if block.kind == "image" else 0)
-    else:
-        first = block.heights[0]
-        page.advance(block.space_before, first + _reserve(coming, page.y - first - page.bottom))
-        for i, height in enumerate(block.heights):
-            page.ensure()
-            if page.y - height < page.bottom:
-                page.new()
-            put(i)
-            page.ink()
-            page.shown = True
-            page.y -= height
-        page.advance(block.space_after, _reserve(coming, page.y - page.bottom))
-
-
-PLACED = "doc_id bigint, block_no int, line_no int, page_no int, y double, page_count int"
-
-
-def paginate(
-    blocks: DataFrame, height: float = 841.89, margin_top: float = 72.0, margin_bottom: float = 72.0, partitions: int | None = None
-) -> DataFrame:
-    """Page and top edge of every line, image and table row; one summary row per document.
-
-    ``blocks`` is (doc_id, block_no, kind para|empty|break|image|row, heights
-    ARRAY<DOUBLE>, size, line_mult, space_before, space_after, opens_table).
-    The summary row has NULL ``block_no`` and the final ``page_count``: trailing
-    blank pages are gone, and a document without content has one notice page.
-
-    Rows are partitioned by document and read in order as a stream: a task
-    holds the current block and the few that fit on one page after it, never a
-    whole document.
-    """
-    box = height - margin_top - margin_bottom
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window: deque = deque()
-        state: dict = {"doc": None, "page": None, "need": 0.0}
-        out: list = []
-
-        def finish():
-            if state["page"] is not None:
-                page = state["page"]
-                count = page.last_ink + 1 if page.shown else 1
-                out.append((state["doc"], None, None, None, None, max(1, count)))
-
-        def step():
-            block = window.popleft()
-            placed: list = []
-            _place(block, window, state["page"], placed)
-            out.extend((*p, None) for p in placed)
-
-        def drain(until_empty: bool):
-            while window and (until_empty or sum(_need(b) or 0.0 for b in list(window)[1:]) > box):
-                step()
-
-        def frame():
-            f = pd.DataFrame(out, columns=["doc_id", "block_no", "line_no", "page_no", "y", "page_count"])
-            out.clear()
-            return f.astype({c: "Int32" for c in ("block_no", "line_no", "page_no", "page_count")})
-
-        for batch in batches:
-            for block in batch.itertuples(index=False):
-                if block.doc_id != state["doc"]:
-                    drain(True)
-                    finish()
-                    state.update(doc=block.doc_id, page=_Page(height - margin_top, margin_bottom))
-                window.append(block)
-                if block.kind == "break":
-                    drain(True)
-                elif len(window) % 64 == 0:
-                    drain(False)
-            yield frame()
-        drain(True)
-        finish()
-        yield frame()
-
-    by_doc = blocks.repartition(partitions, "doc_id") if partitions else blocks.repartition("doc_id")
-    return by_doc.sortWithinPartitions("doc_id", "block_no").mapInPandas(read, PLACED)

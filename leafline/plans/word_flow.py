@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from leafline.functions.text import map_text
 from leafline.functions.word import resolve_size
-from leafline.operators.flow import flow_lines, paginate
+from leafline.operators.flow import flow_lines
+from leafline.operators.paging import paginate
 from leafline.operators.word import (
     cell_columns, coalesce_runs, glyph_coverage, inherit_paragraph, list_numbers, resolve_styles, table_shape,
 )

@@ -4,7 +4,9 @@ import io
 import random
 import zipfile
 
-from leafline.operators.flow import flow_lines, paginate
+import pytest
+from leafline.operators.flow import flow_lines
+from leafline.operators.paging import paginate
 from leafline.operators.pages import page_selection
 from leafline.sources.docx import docx_manifest, docx_parts, docx_rels, read_docx_corpus
 from leafline.operators.word import cell_edge, resolve_target
@@ -166,7 +168,9 @@ def pages_of(blocks, top, bottom):
         if b["kind"] == "empty":
             continue
         for n, h in enumerate(b["heights"]):
-            if page < 0 or y - h < bottom:
+            if page < 0:
+                page, y = 0, top
+            if y - h < bottom:
                 page, y = page + 1, top
             out.append((b["block_no"], n, page, round(y, 6)))
             ink = page
@@ -176,31 +180,50 @@ def pages_of(blocks, top, bottom):
     return out, max(1, ink + 1)
 
 
-def test_paginate_matches_brute_force(spark):
-    rng, docs = random.Random(11), {}
-    for doc in range(12):
-        blocks = []
-        for n in range(rng.randint(0, 160) if doc else 0):
-            kind = rng.choice(["para"] * 6 + ["empty", "empty", "image", "row", "row"] + (["break"] if rng.random() < 0.3 else []))
-            heights = [13.0] * rng.randint(1, 6) if kind == "para" else [float(rng.randint(16, 90))]
-            blocks.append(dict(doc_id=doc, block_no=n, kind=kind, heights=heights, size=12.0, line_mult=1.08,
-                               space_before=float(rng.choice([0, 6, 20])), space_after=float(rng.choice([0, 8])), opens_table=rng.random() < 0.5))
-        docs[doc] = blocks or [dict(doc_id=doc, block_no=0, kind="empty", heights=[1.0], size=12.0, line_mult=1.0, space_before=0.0, space_after=0.0, opens_table=False)]
+def paged(spark, docs, **page):
     schema = "doc_id bigint, block_no int, kind string, heights array<double>, size double, line_mult double, space_before double, space_after double, opens_table boolean"
-    fields = ["doc_id", "block_no", "kind", "heights", "size", "line_mult", "space_before", "space_after", "opens_table"]
-    df = spark.createDataFrame([tuple(b[f] for f in fields) for bs in docs.values() for b in bs], schema)
+    fields = ["block_no", "kind", "heights", "size", "line_mult", "space_before", "space_after", "opens_table"]
+    df = spark.createDataFrame([(doc, *(b[f] for f in fields)) for doc, bs in docs.items() for b in bs], schema).repartition(5)
     placed, counts = {d: [] for d in docs}, {}
-    for r in paginate(df, height=300.0, margin_top=20.0, margin_bottom=20.0).collect():
+    for r in paginate(df, height=300.0, margin_top=20.0, margin_bottom=20.0, **page).collect():
         if r.block_no is None:
             counts[r.doc_id] = r.page_count
         else:
             placed[r.doc_id].append((r.block_no, r.line_no, r.page_no, round(r.y, 6)))
+    return {d: sorted(p) for d, p in placed.items()}, counts
+
+
+def block(n, kind="para", heights=(13.0,), before=0.0, after=0.0, opens=False, size=12.0):
+    return dict(block_no=n, kind=kind, heights=list(heights), size=size, line_mult=1.08, space_before=before, space_after=after, opens_table=opens)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 17, 10_000])
+def test_paginate_matches_brute_force(spark, chunk):
+    rng, docs = random.Random(11), {}
+    for doc in [None, *range(1, 14)]:
+        blocks = []
+        for n in range(rng.randint(1, 160)):
+            kind = rng.choice(["para"] * 6 + ["empty", "empty", "image", "row", "row"] + (["break"] if rng.random() < 0.3 else []))
+            heights = [13.0] * rng.randint(1, 6) if kind == "para" else [float(rng.randint(16, 90) if rng.random() < 0.97 else 300)]
+            blocks.append(block(n, kind, heights, float(rng.choice([0, 6, 20])), float(rng.choice([0, 8])), rng.random() < 0.5))
+        docs[doc] = blocks
+    docs[20] = [block(0, "empty", size=1.0)]
+    docs[21] = [block(0, "break"), block(1, "row", [300.0]), block(2, "break"), block(3, "break")]
+    docs[22] = [block(n, "empty", before=2.0) if 5 < n < 60 else block(n) for n in range(0, 200, 2)]
+    placed, counts = paged(spark, docs, chunk=chunk)
     for doc, blocks in docs.items():
         want, count = pages_of(blocks, 280.0, 20.0)
-        assert sorted(placed[doc]) == want
+        assert placed[doc] == want
         assert counts[doc] == count
 
 
+def test_paginate_takes_linear_time_for_blank_runs(spark):
+    n = 100_000
+    docs = {1: [block(0), *[block(i, "empty", before=1.0, after=1.0) for i in range(1, n)], block(n), block(n + 1)]}
+    placed, counts = paged(spark, docs, chunk=5000)
+    assert [p[:3] for p in placed[1]] == [(0, 0, 0), (n, 0, 0), (n + 1, 0, 0)] and counts == {1: 1}
+
+
 STYLES = f"""<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="20"/></w:rPr></w:rPrDefault></w:docDefaults>
 <w:style w:type="paragraph" w:styleId="L"><w:name w:val="List"/><w:pPr><w:numPr><w:numId w:val="4"/></w:numPr></w:pPr><w:rPr><w:b/></w:rPr></w:style>
 <w:style w:type="table" w:styleId="T1"><w:name w:val="Base"/><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="8" w:color="FF0000"/><w:left w:val="single"/></w:tblBorders></w:tblPr></w:style>
