@@ -30,7 +30,8 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,14 @@ SHARD_BYTES = 64 << 20  # text of a shard, about
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
-REMEMBERED = 300_000  # pieces a worker remembers, to save time only
+JOINED = 20_000  # new pieces that the library sees as one text
+REMEMBERED = 600_000  # pieces a worker remembers, to save time only
 CHARACTERS = 1 << 20  # of the texts that are encoded together, but for a longer text
 
 _WHITE = [chr(c) for c in range(0x3001) if chr(c) != " " and (chr(c).isspace() or unicodedata.category(chr(c)).startswith("Z"))]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: pieces that are encoded on their own: with white space besides single line feeds, empty, or with a special token
+_ODD = re.compile(r"[^\S\n]|\n\n|^\n|\n\Z|^$|<\|")
 
 
 def pieces(text: str) -> list[str]:
@@ -58,53 +62,89 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, with a memory of pieces."""
+    """Ids of texts by the tokenizers library, with a memory of pieces.
+
+    New pieces are joined by line feeds into one text for the library: a line
+    feed before a space or a word is a pre-token, and an id, of its own.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.feed = self._ids("\n")[0]
         self._forget()
 
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids = [np.zeros(0, np.int32)]
-        self.sizes: list[int] = []
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
-        self.sizes.extend(map(len, found))
-        self.ids.append(np.fromiter(chain.from_iterable(found), np.int32))
+    def _forget(self) -> None:
+        # pieces at the start of a text, and pieces after a space, by their place below
+        self.first: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[str], space: str, slot: dict[str, int]) -> None:
+        odd = [p for p in new if _ODD.search(p) is not None]
+        plain = [p for p in new if _ODD.search(p) is None] if odd else new
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = self._ids("\n".join([space + p for p in some]))
+            # a piece has line feeds of its own, and one after it
+            feeds = np.flatnonzero(ids == self.feed)
+            last = np.cumsum(np.fromiter((p.count("\n") + 1 for p in some), np.int64, len(some))) - 1
+            if len(feeds) != last[-1]:
+                raise AssertionError("the vocabulary joins line feeds to words")
+            after = feeds[last[:-1]]
+            self._add(some, slot, np.delete(ids, after), np.append(after - np.arange(len(after)), len(ids) - len(after)))
+        if odd:
+            each = [self._ids(space + p) for p in odd]
+            self._add(odd, slot, np.concatenate(each), np.cumsum([len(e) for e in each]))
+
+    def _add(self, pieces: list[str], slot: dict[str, int], ids: np.ndarray, ends: np.ndarray) -> None:
+        n = len(self.ends) - 1
+        slot.update(zip(pieces, range(n, n + len(pieces))))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + ends])
+
+    def _slots(self, pieces: list[str], space: str, slot: dict[str, int]) -> np.ndarray:
+        at = np.fromiter(map(slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missed = np.flatnonzero(at < 0).tolist()
+        if missed:
+            words = [pieces[i] for i in missed]
+            self._learn(list(dict.fromkeys(words)), space, slot)
+            at[missed] = [slot[w] for w in words]
+        return at
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        cut = [pieces(t) for t in texts]
-        # the first piece of a text has no space before it
-        spaced = [" " + p for p in set(chain.from_iterable(c[1:] for c in cut))]
-        heads = {c[0] for c in cut}
-        if len(self.slot) + len(spaced) + len(heads) > REMEMBERED:
+        if len(self.ends) > REMEMBERED:
             self._forget()
-        new = [p for p in chain(spaced, heads.difference(spaced)) if p not in self.slot]
-        for at in range(0, len(new), 10_000):
-            self._learn(new[at : at + 10_000])
-        self.ids = [np.concatenate(self.ids)]
-        sizes = np.array(self.sizes, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        known = {p[1:]: self.slot[p] for p in spaced}
-        at = np.fromiter(chain.from_iterable(chain((self.slot[c[0]],), map(known.__getitem__, c[1:])) for c in cut), np.int64)
-        n = sizes[at]
-        before = np.cumsum(n) - n
-        ids = self.ids[0][np.repeat(starts[at] - before, n) + np.arange(int(n.sum()))]
-        ends = np.cumsum([len(c) for c in cut])
-        total = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]
-        return ids, np.diff(total)
+        cut = [pieces(t) for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        first = np.cumsum(sizes) - sizes
+        flat = list(chain.from_iterable(cut))
+        inner = np.ones(len(flat), bool)
+        inner[first] = False
+        at = np.empty(len(flat), np.int64)
+        at[~inner] = self._slots([c[0] for c in cut], "", self.first)
+        at[inner] = self._slots(list(chain.from_iterable(map(islice, cut, repeat(1), repeat(None)))), " ", self.spaced)
+        starts, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        ids = self.ids[np.repeat(starts - total[:-1], n) + np.arange(total[-1])]
+        return ids, np.diff(np.append(total[first], total[-1]))
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """A worker's own, so that what it has learned serves its next task."""
+    return Encoder(path)
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq, offset = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, seq, offset = _encoder(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
             at = 0
