@@ -7,13 +7,15 @@ Of the others a prefix of the rarest postings is enough: two nodes with
 ``MATCH`` equal coordinates share one of the first ``m - MATCH + 1`` of either.
 
 A list of few open nodes is turned into pairs, no more than ``SHORT`` for each
-posting; a longer one is not.  It has a leader, the node with its key whose
-postings are the most shared, and every member is compared with it on full
-sets.  A pair that the leader does not explain must agree outside the
-leader's set: if x and y have J(x, y) >= p / 100 and all they share is in the
-leader, then the sum of their sizes is so small that x shares enough with the
-leader (``_need``).  So lists with members that the leader does not take are
-dealt anew by the shingles outside the leader, again with skips, prefixes and
+posting; a longer one is not.  First, members that share less than the needed
+part of their shingles with all members of long lists together leave these
+lists.  Then a list has a leader, the node with its key whose postings are the
+most shared, and every member is compared with it on full sets.  Pairs that are
+in one component by then need no comparison.  A pair of two components must
+agree outside the leader's set: if x and y have J(x, y) >= p / 100 and all they
+share is in the leader, then the sum of their sizes is so small that x shares
+enough with the leader (``need``).  So lists of several components are dealt
+anew by the shingles outside the leader, again with skips, prefixes and
 leaders, until no list is long.
 
 At J = 0.8 the 64 coordinates agree in 51 places on average; fewer than 32
@@ -29,6 +31,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +128,34 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *sizes, pa.array(shared, pa.int64()), outside], ["x", "y", "x_size", "y_size", "shared", "rest"])
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+            prints = np.frombuffer(raw.as_buffer(), np.int64)
+            for at in range(0, len(prints), 1 << 16):
+                some = prints[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), node)), pa.array(np.full(len(some), len(prints))), pa.array(some)], ["node", "size", "s"])
+
+
+def _may_link(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of some nodes those that can have a link among them.
+
+    A link of x needs percent of all of x's shingles in another set, so x stays
+    only if so many of its shingles stand in two sets; what leaves takes its
+    shingles along, so this is done again while many leave.
+    """
+    before = nodes.count()
+    while True:
+        spelled = sets.join(nodes, "node", "left_semi").mapInArrow(_spell, "node long, size long, s long")
+        common = spelled.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
+        shared = spelled.join(common, "s").groupBy("node").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        nodes = keep(shared.filter(100 * F.col("n") >= percent * F.col("size")).select("node"))
+        after = nodes.count()
+        if not after or 8 * (before - after) < before:
+            return nodes
+        before = after
+
+
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """For pairs (x, y) of nodes: sizes, shared shingles, and x's shingles outside y, all on full sets."""
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("x_set"))
@@ -138,76 +169,75 @@ def _linked(percent: int) -> Column:
 
 
 def _shared_postings(posts: DataFrame) -> DataFrame:
-    """Postings of keys that two nodes or more have, one of them open, with the number n of nodes.
-
-    Keys whose nodes all have one home elsewhere are skipped: their pairs are dealt with there.
-    """
-    counts = posts.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("o"), F.min("home").alias("low"), F.max("home").alias("high"))
-    return posts.join(counts.filter("n > 1 AND o AND (low != high OR low = 0)").select("key", "n"), "key")
+    """Postings of keys that two nodes or more have, one of them open, with the number n of nodes."""
+    counts = posts.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("o"))
+    return posts.join(counts.filter("n > 1 AND o").select("key", "n"), "key")
 
 
 def _held(posts: DataFrame) -> DataFrame:
     """Per list and node its shared postings, rarest first, and their weight; nodes with fewer postings than they need are skipped."""
     held = posts.groupBy("list", "node").agg(
-        F.sort_array(F.collect_list(F.struct("n", "key"))).alias("p"), F.max("need").alias("need"), F.max("open").alias("open"), F.max("home").alias("home"), F.sum("n").alias("weight")
+        F.sort_array(F.collect_list(F.struct("n", "key"))).alias("p"), F.max("need").alias("need"), F.max("open").alias("open"), F.sum("n").alias("weight")
     )
     return keep(held.filter(~F.col("open") | (F.size("p") >= F.col("need"))))
 
 
 def _members(held: DataFrame) -> DataFrame:
-    """(key, node, open, home): the rarest m - need + 1 postings of open nodes, all of the others."""
+    """(key, node, open): the rarest m - need + 1 postings of open nodes, all of the others."""
     cut = F.when(F.col("open"), F.slice("p", F.lit(1), F.size("p") - F.col("need").cast("int") + 1)).otherwise(F.col("p"))
-    return held.select("node", "open", "home", F.explode(cut).alias("p")).select("node", "open", "home", "p.key")
+    return held.select("node", "open", F.explode(cut).alias("p")).select("node", "open", "p.key")
 
 
 def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: int) -> DataFrame:
     """Edges (u, v) between nodes, so that nodes are connected by them exactly if they are by all links."""
     known = described.filter("node IS NOT NULL")
     nodes = keep(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
-    posts = nodes.select(F.lit(0).cast("long").alias("list"), "node", F.lit(True).alias("open"), F.lit(match).cast("long").alias("need"), F.lit(0).cast("long").alias("home"), F.explode("keys").alias("key"))
+    posts = nodes.select(F.lit(0).cast("long").alias("list"), "node", F.lit(True).alias("open"), F.lit(match).cast("long").alias("need"), F.explode("keys").alias("key"))
     held = _held(_shared_postings(posts))
     wanted = held.select("node").join(nodes, "node").select("node", "doc_id")
-    texts = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
-    sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary").filter("octet_length(shingles) > 0").dropDuplicates(["node"]))
+    texts = docs.join(wanted.select("doc_id"), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+    sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary").filter("octet_length(shingles) > 0").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     found: list[DataFrame] = []
-    n_nodes = nodes.count()
+    enough, tried = SHORT * nodes.count(), False
     while True:
         members = _members(held)
-        homes = members.groupBy("key", "home").agg(F.count("*").alias("c"), F.sum(F.col("open").cast("long")).alias("o"))
-        same = F.sum(F.when(F.col("home") != 0, F.col("c") * F.col("c")).otherwise(0))
-        load = homes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("o").alias("o"), same.alias("same")).filter("n > 1 AND o > 0")
-        n_pairs = F.col("n") * F.col("n") - F.col("same")
-        short = (F.col("o") <= SHORT) | (n_pairs <= 4 * SHORT * F.col("n"))
-        load = keep(load.select("key", short.alias("short"), F.least(n_pairs, F.col("o") * F.col("n")).alias("n_pairs")))
+        load = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("o")).filter("n > 1 AND o > 0")
+        n_pairs = F.least(F.col("n") * F.col("n"), F.col("o") * F.col("n"))
+        load = keep(load.select("key", (F.col("o") <= SHORT).alias("short"), n_pairs.alias("n_pairs")))
         # what is left of long lists is compared at once as soon as it is linear in the nodes
         left = load.filter("NOT short").agg(F.sum("n_pairs")).first()[0] or 0
-        if left <= SHORT * n_nodes:
+        if left <= enough:
             load = load.withColumn("short", F.lit(True))
-        # lists of few pairs: each open node with the others, but those of the same home elsewhere
+        # lists of few pairs: each open node with the others, but those of its component
         few_pairs = members.join(load.filter("short").select("key"), "key")
-        x = few_pairs.filter("open").select("key", F.col("node").alias("x"), F.col("home").alias("x_home"))
-        y = few_pairs.select("key", F.col("node").alias("y"), F.col("home").alias("y_home"), F.col("open").alias("y_open"))
-        met = x.join(y, "key").filter("(x < y OR (x > y AND NOT y_open)) AND (x_home = 0 OR x_home != y_home)")
-        pairs = met.select("x", "y").distinct()
+        x = few_pairs.filter("open").select("key", F.col("node").alias("x"))
+        y = few_pairs.select("key", F.col("node").alias("y"), F.col("open").alias("y_open"))
+        pairs = x.join(y, "key").filter("x < y OR (x > y AND NOT y_open)").select("x", "y").distinct()
         found.append(keep(compare(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
-        # the others: each member with the list's leader, of all nodes that have the key
-        if left <= SHORT * n_nodes:
+        if left <= enough:
             break
         many_open = load.filter("NOT short").select("key")
+        if not tried:
+            # members of long lists that share too little with all others go, and the lists are looked at again
+            tried = True
+            held = keep(held.join(_may_link(keep(members.join(many_open, "key").select("node").distinct()), sets, percent), "node"))
+            continue
+        # the others: each member with the list's leader, of all nodes that have the key
         all_posts = held.select("node", "weight", F.explode("p.key").alias("key")).join(many_open, "key")
         leaders = all_posts.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("y"))
-        pairs = members.join(many_open, "key").join(leaders, "key").filter("node != y").groupBy(F.col("node").alias("x"), "y").agg(F.max("open").alias("was_open"))
-        judged = keep(compare(pairs.select("x", "y"), sets).join(pairs, ["x", "y"]).withColumn("linked", _linked(percent)))
+        pairs = members.join(many_open, "key").join(leaders, "key").filter("node != y").select(F.col("node").alias("x"), "y").distinct()
+        judged = keep(compare(pairs, sets).withColumn("linked", _linked(percent)))
         found.append(judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
         held = _deal_anew(judged, percent, found, sets)
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
-    return edges
+    return reduce(DataFrame.union, found)
 
 
 def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: DataFrame) -> DataFrame:
-    """Postings by shingles outside the leader, for lists whose leader did not take all of its open members.
+    """Postings by shingles outside the leader, for lists whose members are not of one component yet.
+
+    Pairs of one component need no comparison.  The open members of a list are
+    those outside the component that most of its members are in, so every pair
+    of two components has an open member.
 
     J(x, y) >= p / 100 needs shared >= p / (100 + p) * (|x| + |y|).  Of what an
     open x shares with y, at most |x & leader| is in the leader.  For a y of
@@ -215,16 +245,15 @@ def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: Da
     the list's ninth smallest member, or the least for which that is one at
     least.  Smaller members are compared directly: eight, and those few others.
     """
-    open_ = F.col("was_open") & ~F.col("linked")
-    judged = judged.withColumnRenamed("y", "leader").withColumn("open", open_)
-    # the home of a node: the leader most like it; pairs of one home are dealt with in its list
-    like = F.col("shared") / (F.col("x_size") + F.col("y_size") - F.col("shared"))
-    homes = judged.groupBy("x").agg(F.max(F.struct(like, "leader")).alias("best")).select("x", F.col("best.leader").alias("home"))
-    judged = judged.join(homes, "x").withColumn("home", F.when(F.col("home") == F.col("leader"), 0).otherwise(F.col("home")))
-    going = judged.groupBy("leader").agg(F.max("open").alias("go_on")).filter("go_on").select("leader")
-    members = keep(judged.join(going, "leader").select("leader", "x", "x_size", "shared", "open", "home", "rest"))
+    judged = judged.withColumnRenamed("y", "leader")
+    roots = components(reduce(DataFrame.union, found)).withColumnRenamed("node", "x")
+    placed = judged.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    most = placed.groupBy("leader", "root").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+    going = most.filter("roots > 1").select("leader", F.col("top.root").alias("main"))
+    members = placed.join(going, "leader").withColumn("open", F.col("root") != F.col("main"))
+    members = keep(members.select("leader", "x", "x_size", "shared", "open", "root", "rest"))
     by_size = Window.partitionBy("leader").orderBy("x_size", "x")
-    smallest = keep(members.select("leader", "x", "x_size", "home", F.row_number().over(by_size).alias("rank")).filter(F.col("rank") <= SMALLEST + 1))
+    smallest = keep(members.select("leader", "x", "x_size", "root", F.row_number().over(by_size).alias("rank")).filter(F.col("rank") <= SMALLEST + 1))
     floor = smallest.groupBy("leader").agg(F.max(F.when(F.col("rank") > SMALLEST, F.col("x_size"))).alias("floor"))
     ratio = F.ceil(F.col("x_size") * percent / 100)
     sure = F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("x_size") + 1
@@ -232,16 +261,15 @@ def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: Da
     size = F.greatest("ratio", "floor", "sure")
     need = F.greatest(F.lit(1), F.ceil((F.col("x_size") + size) * percent / (100 + percent)).cast("long") - F.col("shared"))
     members = members.withColumn("need", need)
-    asking = members.filter("open").select("leader", "x", "sure", "ratio", "floor", F.col("home").alias("x_home"))
-    apart = "x != y AND (x_home = 0 OR x_home != y_home)"
-    low = smallest.filter(F.col("rank") <= SMALLEST).select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), F.col("home").alias("y_home"))
-    direct = asking.join(low, "leader").filter(f"other >= ratio AND {apart}").select("x", "y")
-    between = members.select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), F.col("home").alias("y_home"))
-    more = asking.filter("sure > floor AND sure > ratio").join(between, "leader").filter(f"other >= floor AND other < sure AND other >= ratio AND {apart}").select("x", "y")
+    asking = members.filter("open").select("leader", "x", "sure", "ratio", "floor", F.col("root").alias("x_root"))
+    low = smallest.filter(F.col("rank") <= SMALLEST).select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), "root")
+    direct = asking.join(low, "leader").filter("other >= ratio AND x_root != root").select("x", "y")
+    between = members.select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), "root")
+    more = asking.filter("sure > floor AND sure > ratio").join(between, "leader").filter("other >= floor AND other < sure AND other >= ratio AND x_root != root").select("x", "y")
     pairs = direct.union(more).distinct()
     found.append(keep(compare(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
-    posts = members.select(F.col("leader").alias("list"), F.col("x").alias("node"), "open", "need", "home", F.explode("rest").alias("s"))
-    return _held(_shared_postings(posts.select("list", "node", "open", "need", "home", F.xxhash64("list", "s").alias("key"))))
+    posts = members.select(F.col("leader").alias("list"), F.col("x").alias("node"), "open", "need", F.explode("rest").alias("s"))
+    return _held(_shared_postings(posts.select("list", "node", "open", "need", F.xxhash64("list", "s").alias("key"))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH) -> DataFrame:
