@@ -8,6 +8,7 @@ from leafline.catalog.documents import micros
 from leafline.catalog.registry import query, table
 from leafline.streaming import intake as N
 from leafline.streaming import tracking as R
+from leafline.streaming.replay import rate_limit_batch
 
 _FRAMES_SQL = """frames AS (SELECT user_id AS source_id, event_id AS seq, cast(floor(epoch(ts) / 600) AS bigint) AS t, event_type <> 'error' AS detected, value / 5000 AS dx, 0.6 + (event_id % 5) / 10.0::double AS score, value FROM events)"""
 
@@ -66,7 +67,7 @@ walk AS (SELECT source_id, i, seq, t, value AS cost, t AS last, value AS average
   FROM (SELECT s.source_id, s.i, s.seq, s.t, s.value AS cost, w.last, w.average, s.t - w.last >= greatest(33, least(80, floor(w.average * 1.4 + 0.5))) AS ok FROM walk w JOIN seqd s ON s.source_id = w.source_id AND s.i = w.i + 1))
 SELECT source_id, seq, t, cost FROM walk WHERE kept""")
 def r3(spark, sf):
-    return R.rate_limit_batch(frames(spark, sf))
+    return rate_limit_batch(frames(spark, sf))
 
 
 @query("r4_library_intake", """WITH f AS (SELECT user_id AS lib_id, event_id // 40 AS batch_id, event_id % 40 AS file_no, event_type || '-' || event_id || (['.pdf', '.docx', '.png'])[event_id % 3 + 1] AS name, CASE WHEN event_id % 2 = 0 THEN 'application/pdf' ELSE '' END AS mime,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,3 +31,24 @@ def chunked_position(
         .withColumn(name, F.col("_off") + F.col("_local") - 1)
         .drop("_chunk", "_off", "_local")
     )
+
+
+def whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of sorted rows that end where a key ends, and the bounds of their keys."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        new = np.zeros(rest.num_rows, bool)
+        new[0] = True
+        for key in keys:
+            values = rest.column(key).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        bounds = np.flatnonzero(new)
+        if len(bounds) > 1:
+            yield rest.slice(0, int(bounds[-1])), bounds
+            rest = rest.slice(int(bounds[-1]))
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])

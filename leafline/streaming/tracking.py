@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leafline.streaming.replay import KEPT, replay
+
 LOST_AFTER = 160
 TRACKED = "source_id bigint, seq bigint, t bigint, corners array<double>, stable boolean"
 TRACK_STATE = "previous array<double>, anchor array<double>, pending array<double>, last_seen bigint, since bigint"
-KEPT = "source_id bigint, seq bigint, t bigint, cost double"
 RATE_STATE = "last_kept bigint, average double"
 
 Corners = list[float]  # x0, y0, x1, y1, x2, y2, x3, y3
@@ -68,11 +69,8 @@ def track_step(state: TrackState, corners: Corners | None, score: float, now: in
 
 def rate_step(state: tuple[int | None, float], now: int, cost: float) -> tuple[tuple[int | None, float], bool]:
     """Next state and whether the event is kept."""
-    last, average = state
-    interval = max(33, min(80, math.floor(average * 1.4 + 0.5)))
-    if last is not None and now - last < interval:
-        return state, False
-    return (now, cost if average == 0 else average * 0.8 + cost * 0.2), True
+    kept: list[int] = []
+    return replay([now], [cost], *state, kept), bool(kept)
 
 
 def sessions(df: DataFrame, gap: int = LOST_AFTER, bucket: int = 3_600_000) -> DataFrame:
@@ -144,16 +142,6 @@ def track_batch(frames: DataFrame) -> DataFrame:
     return _stream_groups(f, ["source_id", "session"], TRACKED, EMPTY_TRACK, _track_row)
 
 
-def rate_limit_batch(events: DataFrame) -> DataFrame:
-    """R3 over a table: kept rows of (source_id, seq, t, cost).
-
-    The running cost never forgets, so a source is one ordered pass in constant
-    memory.
-    """
-    e = events.select("source_id", "seq", "t", "cost")
-    return _stream_groups(e, ["source_id"], KEPT, (None, 0.0), _rate_row)
-
-
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["t", "seq"], kind="stable")
 

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from leafline.streaming import intake, tracking as R
+from leafline.streaming import intake, replay, tracking as R
 
 BOX = [0.22, 0.3, 0.61, 0.28, 0.64, 0.7, 0.2, 0.72]
 
@@ -155,7 +155,35 @@ def test_rate_limit_stream_equals_batch(spark, folder):
     q = R.rate_limit_stream(s).writeStream.format("memory").queryName("kept").outputMode("append").option(
         "checkpointLocation", f"{folder}/cp").start()
     finish(q)
-    assert key(spark.table("kept").collect()) == key(R.rate_limit_batch(df).collect())
+    assert key(spark.table("kept").collect()) == key(replay.rate_limit_batch(df).collect())
+
+
+def expected_rate(rows):
+    """Kept events of one pass over each source, stated anew."""
+    kept, last, average = [], {}, {}
+    for source, seq, t, cost in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1])):
+        wait = max(33, min(80, math.floor(average.get(source, 0.0) * 1.4 + 0.5)))
+        if source in last and t - last[source] < wait:
+            continue
+        before = average.get(source, 0.0)
+        last[source], average[source] = t, cost if before == 0 else before * 0.8 + cost * 0.2
+        kept.append((source, seq, t, cost))
+    return kept
+
+
+@pytest.mark.parametrize("chunk", [2_000, 30_000])
+def test_rate_limit_by_chunks_is_one_pass(spark, chunk):
+    rng, rows, seq = random.Random(chunk), [], 0
+    # dense, regular, sparse, and free costs; phases and last bits that never meet
+    kinds = {1: ([1, 2, 3, 7], None), 2: ([16, 17], [25.0]), 3: ([5, 33, 60, 170, 9000], None), 4: ([1], [30.0, 35.5]), None: ([20, 40], [0.0, 50.0]), 6: ([0, 0, 1], [20.0])}
+    for source, (steps, costs) in kinds.items():
+        t = rng.randint(-10**6, 10**6)
+        for _ in range(700):
+            t, seq = t + rng.choice(steps), seq + 1
+            rows.append((source, seq, t, rng.choice(costs) if costs else rng.uniform(0.1, 90)))
+    df = spark.createDataFrame(rows, "source_id bigint, seq bigint, t bigint, cost double").repartition(6)
+    got = [tuple(r) for r in replay.rate_limit_batch(df, chunk).collect()]
+    assert sorted(got, key=lambda r: r[1]) == sorted(expected_rate(rows), key=lambda r: r[1])
 
 
 def test_rate_interval_bounds():
