@@ -46,7 +46,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
 JOINED = 20_000  # new pieces that the library sees as one text
-REMEMBERED = 600_000  # pieces a worker remembers, to save time only
+REMEMBERED = 1_200_000  # pieces a worker remembers, to save time only
 CHARACTERS = 1 << 20  # of the texts that are encoded together, but for a longer text
 
 _WHITE = [chr(c) for c in range(0x3001) if chr(c) != " " and (chr(c).isspace() or unicodedata.category(chr(c)).startswith("Z"))]
