@@ -142,7 +142,7 @@ def _may_link(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A link of x needs percent of all of x's shingles in another set, so x stays
     only if so many of its shingles stand in two sets; what leaves takes its
-    shingles along, so this is done again while many leave.
+    shingles along, so this is done again while half of them leave.
     """
     before = nodes.count()
     while True:
@@ -151,7 +151,7 @@ def _may_link(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         shared = spelled.join(common, "s").groupBy("node").agg(F.count("*").alias("n"), F.first("size").alias("size"))
         nodes = keep(shared.filter(100 * F.col("n") >= percent * F.col("size")).select("node"))
         after = nodes.count()
-        if not after or 8 * (before - after) < before:
+        if not after or 2 * (before - after) < before:
             return nodes
         before = after
 
@@ -198,7 +198,7 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
     texts = docs.join(wanted.select("doc_id"), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary").filter("octet_length(shingles) > 0").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     found: list[DataFrame] = []
-    enough, tried = SHORT * nodes.count(), False
+    enough, tried, first = SHORT * nodes.count(), False, True
     while True:
         members = _members(held)
         load = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("o")).filter("n > 1 AND o > 0")
@@ -228,11 +228,12 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
         pairs = members.join(many_open, "key").join(leaders, "key").filter("node != y").select(F.col("node").alias("x"), "y").distinct()
         judged = keep(compare(pairs, sets).withColumn("linked", _linked(percent)))
         found.append(judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        held = _deal_anew(judged, percent, found, sets)
+        held = _deal_anew(judged, percent, found, sets, first)
+        first = False
     return reduce(DataFrame.union, found)
 
 
-def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: DataFrame) -> DataFrame:
+def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: DataFrame, first: bool) -> DataFrame:
     """Postings by shingles outside the leader, for lists whose members are not of one component yet.
 
     Pairs of one component need no comparison.  The open members of a list are
@@ -246,10 +247,15 @@ def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: Da
     least.  Smaller members are compared directly: eight, and those few others.
     """
     judged = judged.withColumnRenamed("y", "leader")
-    roots = components(reduce(DataFrame.union, found)).withColumnRenamed("node", "x")
-    placed = judged.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    most = placed.groupBy("leader", "root").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-    going = most.filter("roots > 1").select("leader", F.col("top.root").alias("main"))
+    if first:
+        # the leader and those linked to it, before any others are known to be connected
+        placed = judged.withColumn("root", F.when(F.col("linked"), F.col("leader")).otherwise(F.col("x")))
+        going = placed.filter("NOT linked").select("leader", F.col("leader").alias("main")).distinct()
+    else:
+        roots = components(reduce(DataFrame.union, found)).withColumnRenamed("node", "x")
+        placed = judged.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+        most = placed.groupBy("leader", "root").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+        going = most.filter("roots > 1").select("leader", F.col("top.root").alias("main"))
     members = placed.join(going, "leader").withColumn("open", F.col("root") != F.col("main"))
     members = keep(members.select("leader", "x", "x_size", "shared", "open", "root", "rest"))
     by_size = Window.partitionBy("leader").orderBy("x_size", "x")
