@@ -404,7 +404,7 @@ _OUTLINE_SQL = """outline AS (SELECT concat('r', cast(r_regionkey AS varchar)) A
 @query("s6_flatten_outline", f"""WITH RECURSIVE {_OUTLINE_SQL},
 tree AS (SELECT node_id, title, page_index, 0 AS depth, lpad(cast(ord::HUGEINT + 9223372036854775808 AS varchar), 20, '0') AS sort_path FROM outline WHERE parent_id IS NULL
   UNION ALL SELECT o.node_id, o.title, o.page_index, t.depth + 1, t.sort_path || '/' || lpad(cast(o.ord::HUGEINT + 9223372036854775808 AS varchar), 20, '0') FROM tree t JOIN outline o ON o.parent_id = t.node_id)
-SELECT 0 AS doc_id, node_id, trim(title) AS title, page_index, least(3, depth) AS depth, sort_path FROM tree WHERE trim(title) <> '' AND page_index IS NOT NULL""")
+SELECT 0 AS doc_id, node_id, trim(title) AS title, page_index, least(3, depth) AS depth, position FROM (SELECT *, row_number() OVER (ORDER BY sort_path) - 1 AS position FROM tree) WHERE trim(title) <> '' AND page_index IS NOT NULL""")
 def s6(spark, sf):
     def key(prefix, col):
         return F.concat(F.lit(prefix), F.col(col).cast("string"))

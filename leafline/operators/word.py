@@ -6,10 +6,12 @@ Everything is keyed by document. A document part is at most 32 MiB (see
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leafline.functions.text import letter_count, replaced_count, strip_white, trim_all
 from leafline.functions.word import clamp, heading_from_name, heading_from_outline, heading_size, on_off, twips
@@ -99,34 +101,31 @@ def resolve_table_styles(styles: DataFrame, edges: DataFrame) -> DataFrame:
     ``styles`` is (doc_id, style_id, based_on); ``edges`` is (doc_id, style_id,
     side, edge) with a row only where the side is stated, ``edge`` NULL meaning
     "none". The nearest statement up the chain wins; a style already seen on the
-    way ends the chain. One join per inheritance level, each checkpointed.
+    way ends the chain.
+
+    Every style points at its ancestor 1, 2, 4, ... steps up and holds the
+    nearest statements on the way there; one self-join doubles the steps, so
+    the joins grow with the logarithm of the longest chain. A chain that runs
+    in a circle only meets its statements again, and ends when it has had as
+    many steps as its document has styles.
     """
-    links = styles.where(F.col("based_on").isNotNull()).select(
-        "doc_id", F.col("style_id").alias("ancestor"), F.col("based_on").alias("_next")
-    )
-    level = styles.select(
-        "doc_id", "style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth"),
-        F.array("style_id").alias("_path"),
-    )
-    closure = level.select("doc_id", "style_id", "ancestor", "depth")
-    depth = 0
-    while True:
-        depth += 1
-        level = cut_lineage(
-            level.join(links, ["doc_id", "ancestor"])
-            .where(~F.array_contains("_path", F.col("_next")))
-            .select(
-                "doc_id", "style_id", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth"),
-                F.concat("_path", F.array("_next")).alias("_path"),
+    own = edges.groupBy("doc_id", "style_id", "side").agg(F.max(F.struct("edge")).alias("edge"))
+    own = own.groupBy("doc_id", "style_id").agg(F.map_from_entries(F.collect_list(F.struct("side", "edge"))).alias("sides"))
+    known = styles.groupBy("doc_id", "style_id").agg(F.min("based_on").alias("next"), F.lit(True).alias("asked"))
+    empty = F.map_from_entries(F.array().cast(own.schema["sides"].dataType.simpleString().replace("map<string,", "array<struct<side:string,edge:") + ">"))
+    state = cut_lineage(known.join(own, ["doc_id", "style_id"], "full").withColumn("sides", F.coalesce("sides", empty)))
+    most = state.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length()):
+        if state.where(F.col("next").isNotNull()).isEmpty():
+            break
+        up = state.select("doc_id", F.col("style_id").alias("next"), F.col("next").alias("_next"), F.col("sides").alias("_sides"))
+        more = F.map_filter("_sides", lambda side, _: ~F.map_contains_key("sides", side))
+        state = cut_lineage(
+            state.join(up, ["doc_id", "next"], "left").select(
+                "doc_id", "style_id", F.col("_next").alias("next"), "asked", F.when(F.col("_sides").isNull(), F.col("sides")).otherwise(F.map_concat("sides", more)).alias("sides")
             )
         )
-        if level.isEmpty():
-            break
-        closure = closure.unionByName(level.select("doc_id", "style_id", "ancestor", "depth"))
-    stated = edges.select("doc_id", F.col("style_id").alias("ancestor"), "side", "edge")
-    return closure.join(stated, ["doc_id", "ancestor"]).groupBy("doc_id", "style_id", "side").agg(
-        F.min_by(F.struct("edge"), "depth").alias("_e")
-    ).select("doc_id", "style_id", "side", F.col("_e.edge").alias("edge"))
+    return state.where("asked").select("doc_id", "style_id", F.explode("sides").alias("side", "_e")).select("doc_id", "style_id", "side", F.col("_e.edge").alias("edge"))
 
 
 def cell_edge(
@@ -245,21 +244,34 @@ def list_numbers(items: DataFrame, w_numbering: DataFrame, w_levels: DataFrame)
 
     ``items`` (doc_id, para_no, num_id, ilvl); ``w_numbering`` (doc_id, num_id,
     abs_id); ``w_levels`` (doc_id, abs_id, ilvl, fmt). A number counts the
-    numbered items of its level since the last numbered item of a lower level.
-    Which levels are in use is read first: a handful of numbers in any corpus.
+    numbered items of its level since the last numbered item of a lower level:
+    one pass over each list, with a stack of the counts of rising levels, so
+    any levels may be in use and a list of any length is a stream.
     """
     fmt = items.join(w_numbering, ["doc_id", "num_id"], "left").join(w_levels, ["doc_id", "abs_id", "ilvl"], "left")
     numbered = F.coalesce(F.col("fmt").rlike("(?i)decimal|ordinal|cardinal|arabic"), F.lit(False))
     i = fmt.select("doc_id", "para_no", "num_id", "ilvl", numbered.alias("_numbered"))
-    w = Window.partitionBy("doc_id", "num_id", "_numbered").orderBy("para_no")
-    used = sorted(r.ilvl for r in items.select("ilvl").where(F.col("ilvl").isNotNull()).distinct().collect())
-    lower = [F.when(F.col("ilvl") == level, F.sum((F.col("ilvl") < level).cast("int")).over(w)) for level in used]
-    i = i.withColumn("_key", F.coalesce(*lower, F.lit(0)))
-    counted = Window.partitionBy("doc_id", "num_id", "_numbered", "ilvl", "_key").orderBy("para_no")
-    prefix = F.when(
-        F.col("_numbered"), F.concat(F.row_number().over(counted).cast("string"), F.lit(". "))
-    ).otherwise("• ")
-    return i.select("doc_id", "para_no", "num_id", "ilvl", prefix.alias("prefix"))
+    counted = i.where("_numbered").drop("_numbered").repartition("doc_id", "num_id").sortWithinPartitions("doc_id", "num_id", "para_no")
+    schema = StructType([*counted.schema.fields, StructField("prefix", StringType())])
+    bullets = i.where("NOT _numbered").drop("_numbered").withColumn("prefix", F.lit("• "))
+    return counted.mapInArrow(_count_items, schema).unionByName(bullets)
+
+
+def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, stack = None, []  # of [level, items], levels rise
+    for batch in batches:
+        out = []
+        for doc, num, level in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "num_id", "ilvl"))):
+            if now != (doc, num):
+                now, stack = (doc, num), []
+            while stack and stack[-1][0] > level:
+                stack.pop()
+            if stack and stack[-1][0] == level:
+                stack[-1][1] += 1
+            else:
+                stack.append([level, 1])
+            out.append(f"{stack[-1][1]}. ")
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "prefix"])
 
 
 def coalesce_runs(pieces: DataFrame, keys: Sequence[str] = ("doc_id", "para_no")) -> DataFrame:

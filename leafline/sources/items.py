@@ -111,37 +111,49 @@ def read_ocr_words(ocr_words: DataFrame, ocr_pages: DataFrame) -> DataFrame:
 
 
 def flatten_outline(outline: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Outline nodes with capped ``depth`` and a ``sort_path`` that gives pre-order.
-
-    ``outline`` is (doc_id, node_id, parent_id, ord, title, page_index). Each
-    round joins one level to its children; levels are checkpointed. Order the
-    result by (doc_id, sort_path) to read it in pre-order.
+    """Outline nodes with capped ``depth`` and their ``position`` in pre-order, from 0.
+
+    ``outline`` is (doc_id, node_id, parent_id, ord, title, page_index); equal
+    ``ord`` are told apart by node_id. Every node is entered and left once, and
+    each of these steps knows the next one: the first child, the next sibling,
+    or leaving the parent. Steps point 1, 2, 4, ... steps on and hold the sums
+    of nodes entered and of depth on the way, so the joins grow with the
+    logarithm of the largest outline, whether it is deep or wide. Steps that do
+    not come to the end belong to nodes that no root leads to, and are left out.
     """
-    # any bigint as twenty digits that sort as the number does
-    label = F.lpad((F.col("ord").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
-    nodes = outline.select(key, "node_id", "parent_id", label.alias("_label"), "title", "page_index")
-    children = nodes.withColumnRenamed("node_id", "_child").withColumnRenamed("parent_id", "node_id").select(
-        key, "node_id", "_child", F.col("_label").alias("_l"), F.col("title").alias("_t"), F.col("page_index").alias("_p")
-    )
-    level = nodes.where(F.col("parent_id").isNull()).select(
-        key, "node_id", F.col("_label").alias("sort_path"), "title", "page_index", F.lit(0).alias("depth")
-    )
-    out = level
-    depth = 0
-    while True:
-        depth += 1
-        level = cut_lineage(
-            level.select(key, "node_id", "sort_path").join(children, [key, "node_id"]).select(
-                key, F.col("_child").alias("node_id"), F.concat_ws("/", "sort_path", "_l").alias("sort_path"),
-                F.col("_t").alias("title"), F.col("_p").alias("page_index"), F.lit(depth).alias("depth"),
+    nodes = outline.select(key, "node_id", "parent_id", "ord")
+    siblings = Window.partitionBy(key, "parent_id").orderBy("ord", "node_id")
+    nodes = nodes.select(key, "node_id", "parent_id", F.row_number().over(siblings).alias("_at"), F.lead("node_id").over(siblings).alias("_next"))
+    first = nodes.where((F.col("_at") == 1) & F.col("parent_id").isNotNull()).select(key, F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"))
+    nodes = nodes.join(first, [key, "node_id"], "left")
+
+    def step(node: Column, leaves: Column) -> Column:
+        return F.struct(node.alias("node"), leaves.alias("leaves"))
+
+    no, yes = F.lit(False), F.lit(True)
+    enter = F.struct(step(F.col("node_id"), no).alias("step"), F.when(F.col("_child").isNotNull(), step(F.col("_child"), no)).otherwise(step(F.col("node_id"), yes)).alias("to"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("deeper"))
+    after = F.when(F.col("_next").isNotNull(), step(F.col("_next"), no)).when(F.col("parent_id").isNotNull(), step(F.col("parent_id"), yes))
+    leave = F.struct(step(F.col("node_id"), yes).alias("step"), after.alias("to"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("deeper"))
+    tour = cut_lineage(nodes.select(key, F.inline(F.array(enter, leave))))
+    most = tour.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length()):
+        if tour.where(F.col("to").isNotNull()).isEmpty():
+            break
+        on = tour.select(key, F.col("step").alias("to"), F.col("to").alias("_to"), F.col("entered").alias("_entered"), F.col("deeper").alias("_deeper"))
+        # a step without an end keeps pointing somewhere, also to a node that does not exist
+        tour = cut_lineage(
+            tour.join(on, [key, "to"], "left").select(
+                key, "step", F.when(F.col("_entered").isNull(), F.col("to")).otherwise(F.col("_to")).alias("to"),
+                (F.col("entered") + F.coalesce("_entered", F.lit(0))).alias("entered"), (F.col("deeper") + F.coalesce("_deeper", F.lit(0))).alias("deeper"),
             )
         )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+    ended = tour.where(F.col("to").isNull() & ~F.col("step.leaves"))
+    total = ended.groupBy(key).agg(F.max("entered").alias("_total"))
+    # what is entered and what goes deeper from a step on, seen from the start
+    place = ended.join(total, key).select(key, F.col("step.node").alias("node_id"), (F.col("_total") - F.col("entered")).alias("position"), (-F.col("deeper")).cast("int").alias("depth"))
     title = trim_all(F.coalesce("title", F.lit("")))
-    return out.where((title != "") & F.col("page_index").isNotNull()).select(
-        key, "node_id", title.alias("title"), "page_index", F.least(F.lit(3), "depth").alias("depth"), "sort_path"
+    return outline.where((title != "") & F.col("page_index").isNotNull()).join(place, [key, "node_id"]).select(
+        key, "node_id", title.alias("title"), "page_index", F.least(F.lit(3), "depth").alias("depth"), "position"
     )
 
 

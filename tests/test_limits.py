@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafline.operators.admission import docx_admission
-from leafline.operators.word import list_numbers, resolve_rels
+from leafline.operators.word import list_numbers, resolve_rels, resolve_table_styles
 from leafline.sources.docx import docx_manifest, read_docx_corpus
 from leafline.sources.items import flatten_outline
 from leafline.streaming.intake import start_intake
@@ -59,7 +59,7 @@ def test_outline_order_follows_any_number(spark):
     orders = [10_000_000_000_001, -5, 2_000_000_000_000, 2**63 - 1, -(2**63)]
     rows = [(1, f"n{i}", None, v, f"t{v}", 0) for i, v in enumerate(orders)]
     df = spark.createDataFrame(rows, "doc_id int, node_id string, parent_id string, ord bigint, title string, page_index int")
-    assert [r.title for r in flatten_outline(df).orderBy("sort_path").collect()] == [f"t{v}" for v in sorted(orders)]
+    assert [r.title for r in flatten_outline(df).orderBy("position").collect()] == [f"t{v}" for v in sorted(orders)]
 
 
 def test_a_lost_library_version_fails_the_batch(spark):
@@ -79,3 +79,28 @@ def test_a_lost_library_version_fails_the_batch(spark):
     os.rename(f"{folder}/out/epoch=0", f"{folder}/elsewhere")
     with pytest.raises(Exception, match="epoch=0"):
         send("b.pdf")
+
+
+def test_deep_outlines_orphans_and_circles(spark):
+    n = 3000
+    rows = [(1, f"d{i}", f"d{i - 1}" if i else None, 0, "t", 0) for i in range(n)]  # a chain
+    rows += [(2, "r", None, 1, "t", 0), (2, "b", "r", 5, "t", 0), (2, "a", "r", 5, "t", 0), (2, "c", "a", 1, "t", None), (2, "d", "c", 1, " x ", 3), (2, "q", None, 9, "t", 0)]
+    rows += [(2, "lost", "nobody", 0, "t", 0), (2, "under", "lost", 0, "t", 0), (2, "x", "y", 0, "t", 0), (2, "y", "x", 0, "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id int, node_id string, parent_id string, ord bigint, title string, page_index int").repartition(4)
+    got = {(r.doc_id, r.node_id): (r.position, r.depth, r.title) for r in flatten_outline(df).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, "r"): (0, 0, "t"), (2, "a"): (1, 1, "t"), (2, "d"): (3, 3, "x"), (2, "b"): (4, 1, "t"), (2, "q"): (5, 0, "t")}
+    assert all(got[(1, f"d{i}")][:2] == (i, min(3, i)) for i in range(n)) and len(got) == n + 5
+    assert flatten_outline(df.limit(0)).count() == 0
+
+
+def test_table_styles_in_long_chains_and_circles(spark):
+    n = 200
+    styles = [(1, i, i + 1 if i + 1 < n else None) for i in range(n)] + [(2, 0, 1), (2, 1, 2), (2, 2, 1), (3, 0, 7)]
+    edges = [(1, n - 1, "top", "far"), (1, 50, "top", None), (1, 60, "left", "x"), (2, 2, "top", "c"), (2, 0, "left", "own"), (3, 7, "top", "not a style")]
+    got = resolve_table_styles(
+        spark.createDataFrame(styles, "doc_id int, style_id int, based_on int"), spark.createDataFrame(edges, "doc_id int, style_id int, side string, edge string")
+    ).collect()
+    got = {(r.doc_id, r.style_id, r.side): r.edge for r in got}
+    want = {(1, i, "top"): None if i <= 50 else "far" for i in range(n)} | {(1, i, "left"): "x" for i in range(61)}
+    want |= {(2, 0, "left"): "own", (2, 0, "top"): "c", (2, 1, "top"): "c", (2, 2, "top"): "c", (3, 0, "top"): "not a style"}
+    assert got == want
