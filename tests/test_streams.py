@@ -201,7 +201,49 @@ def test_intake_stream_keeps_versions(spark, folder):
     df = spark.createDataFrame(rows, schema).withColumn("piece", F.when(F.col("batch_id") == 0, 0).otherwise(1))
     q = intake.start_intake(stream_of(spark, df, folder, 2), f"{folder}/lib", f"{folder}/cp", availableNow=True)
     q.awaitTermination()
-    got = spark.read.parquet(f"{folder}/lib/epoch=1").orderBy("created_at").collect()
+    got = intake.LibraryStore(spark, f"{folder}/lib").read().orderBy("created_at").collect()
     assert [(r.name, r.tool) for r in got] == [
         ("p.png", "scan"), ("f0-1.docx", "docx-pdf"), ("f0-2.docx", "docx-pdf"), ("p.png", "scan"), ("f1-1.docx", "docx-pdf"), ("f1-2.docx", "docx-pdf")
     ]
+    # a new stream on the same store adds to it
+    more = spark.createDataFrame([(1, 5, 0, "late.pdf", "", 7, 500), (2, 5, 0, "two.pdf", "", 7, 500)], schema).withColumn("piece", F.lit(0))
+    q = intake.start_intake(stream_of(spark, more, f"{folder}/again", 1), f"{folder}/lib", f"{folder}/cp2", availableNow=True)
+    q.awaitTermination()
+    assert sorted(r.name for r in intake.LibraryStore(spark, f"{folder}/lib").read().collect())[:3] == ["f0-1.docx", "f0-2.docx", "f1-1.docx"]
+    assert intake.LibraryStore(spark, f"{folder}/lib").read().count() == 8
+
+
+def names(store):
+    return sorted((r.lib_id, r.name) for r in store.read().collect())
+
+
+def test_store_commits_touch_their_buckets_and_repeat_safely(spark, folder):
+    from pathlib import Path
+
+    def files(*rows):
+        return spark.createDataFrame([(lib, batch, 0, name, "", 10, batch) for lib, batch, name in rows], "lib_id bigint, batch_id bigint, file_no bigint, name string, mime string, size bigint, created_at bigint")
+
+    store = intake.LibraryStore(spark, f"{folder}/lib", buckets=8)
+    assert names(store) == []
+    store.commit(files(*[(i, 1, f"a{i}.pdf") for i in range(20)]), "s", 0)
+    before = {p: p.stat().st_mtime_ns for p in Path(folder, "lib/data").rglob("*.parquet")}
+    assert len({p.parent.parent.name for p in before}) > 3
+    store.commit(files((3, 2, "b.pdf")), "s", 1)
+    assert {p: p.stat().st_mtime_ns for p in before if p.exists()} == before  # no other bucket is written
+    now = names(store)
+    assert (3, "b.pdf") in now and len(now) == 21
+    # the epoch again, after a restart: the same store
+    store.commit(files((3, 2, "b.pdf")), "s", 1)
+    assert names(store) == now
+    # a commit that ended before its manifest does not count
+    half = Path(folder, "lib/manifest/version=3")
+    half.mkdir()
+    assert names(store) == now
+    for k in range(3, 7):
+        store.commit(files((3, k, f"c{k}.pdf")), "t", k)
+    assert len(names(store)) == 25
+    assert len([p for p in Path(folder, "lib/manifest").iterdir()]) == 2
+    versions = [p for p in Path(folder, "lib/data").glob("bucket=*/version=*")]
+    assert len([p for p in versions if p.name != "version=1"]) == 2
+    store.commit(files(), "t", 9)
+    assert len(names(store)) == 25
