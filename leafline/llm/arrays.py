@@ -6,17 +6,22 @@ fit in ``CHUNK`` bytes and at least one, so memory follows the longest text.
 
 Fingerprints are polynomials over a ring of 2**64 with a random value per byte,
 taken from prefix sums, and finished by a mixer; equal strings have equal
-fingerprints, different ones differ but for a chance of about 2**-64.
+fingerprints, different ones differ but for a chance of about 2**-64 for each
+pair.  That holds for ranges of bytes, words or values of less than 512: longer
+ones can be written so that they agree in such a ring whatever the values are
+(doubled strings), so ranges of ``LONG`` bytes and more are digested instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+LONG = 256  # bytes from which a range is digested
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,11 +85,15 @@ def prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of the byte ranges [start, end)."""
+def span(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of the byte ranges [start, end); ranges of ``LONG`` bytes and more are digests of ``data``."""
     inverse = powers("byte", len(sums))[1]
     h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if data is not None:
+        for i in np.flatnonzero(ends - starts >= LONG).tolist():
+            h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -134,7 +134,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.bounds = np.zeros(len(tokens) + 1, np.int64)
         np.cumsum([len(t) for t in tokens], out=self.bounds[1:])
-        prints = A.span(A.prefix(self.bytes), self.bounds[:-1], self.bounds[1:])
+        prints = A.span(A.prefix(self.bytes), self.bounds[:-1], self.bounds[1:], self.bytes)
         self.hash = PerfectHash(prints)
         at = self.hash.index(prints)
         self.print = np.zeros(len(tokens), np.uint64)
@@ -149,7 +149,7 @@ class Vocabulary:
         """Ids of all texts of a chunk, and the number of ids before each text (one entry more than texts)."""
         starts = pre_tokens(data, offsets)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        prints = A.span(A.prefix(data), starts, ends)
+        prints = A.span(A.prefix(data), starts, ends, data)
         at = self.hash.index(prints)
         hit = self.print[at] == prints  # index -1 gives the last entry, whose print differs then
         missed = np.flatnonzero(~hit)

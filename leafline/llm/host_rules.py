@@ -49,7 +49,7 @@ def text_counts(texts: pa.Array) -> list[np.ndarray]:
         starts, ends, first = A.words(data, offsets)
         sums = A.prefix(data)
         n_words = np.diff(first)
-        win, at = A.windows(A.span(sums, starts, ends), first, WINDOW)
+        win, at = A.windows(A.span(sums, starts, ends, data), first, WINDOW)
         repeated = np.zeros(len(starts), bool)
         repeated[at] = _repeats(win, at, first)
         breaks = np.flatnonzero(data == 10)
@@ -59,7 +59,7 @@ def text_counts(texts: pa.Array) -> list[np.ndarray]:
         high = high - (data[high - 1] == 10)
         full = np.searchsorted(starts, high) > np.searchsorted(starts, low)
         low, high = low[full], high[full]
-        lines = A.span(sums, low, high)
+        lines = A.span(sums, low, high, data)
         before = np.searchsorted(low, offsets)
         text = A.owner(before).astype(np.uint64)
         order, runs = A.groups(A.mix(lines + A.mix(text)))

@@ -55,7 +55,8 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     points = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     long = points[b] - points[a] >= MIN_LENGTH
-    return starts, ends, before, full[long], A.span(A.prefix(A.LOWER[data]), a[long], b[long])
+    lower = A.LOWER[data]
+    return starts, ends, before, full[long], A.span(A.prefix(lower), a[long], b[long], lower)
 
 
 def _block_keys(ids: np.ndarray, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -54,7 +54,8 @@ _TURN = np.random.Generator(np.random.PCG64(515)).integers(0, 2**63, 256, dtype=
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the distinct shingles of each text (increasing within a text), and how many stand before each text."""
     starts, ends, first = A.words(data, offsets)
-    word = A.span(A.prefix(A.LOWER[data]), starts, ends)
+    lower = A.LOWER[data]
+    word = A.span(A.prefix(lower), starts, ends, lower)
     prints, at = A.windows(word, first, k)
     text = np.searchsorted(first, at, "right") - 1
     n = np.diff(first)

@@ -34,7 +34,7 @@ def _windows(ids: np.ndarray, texts: pa.ChunkedArray, k: int) -> tuple[np.ndarra
     keys, second, at_, holder, words = [], [], [], [], 0
     for row, data, offsets in A.chunks(texts):
         starts, ends, first = A.words(data, offsets)
-        word = A.span(A.prefix(data), starts, ends)
+        word = A.span(A.prefix(data), starts, ends, data)
         key, at = A.windows(word, first, k)
         keys.append(key)
         second.append((A.windows(A.mix(word ^ _SECOND), first, k)[0] >> np.uint64(32)).astype(np.uint32))
