@@ -35,6 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ from leafline.llm.spread import keep, small_batches
 COORDINATES = 64
 MATCH = 32
 SALTS = 16
+BUCKETS = 128  # of a set's histogram
 SMALLEST = 8  # members of a list that are compared with its open ones whatever they share
 SHORT = 6  # lists of no more open nodes are turned into pairs, and all lists when they have no more pairs for each node of the input
 
@@ -103,17 +105,48 @@ def _describe(k: int, coordinates: int):
     return run
 
 
+def _histogram(prints: np.ndarray) -> bytes | None:
+    """How many shingles fall into each bucket; None for sets so large that it says nothing."""
+    return np.bincount((prints % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint8).tobytes() if len(prints) < 256 else None
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in A.chunks(batch.column("text")):
                 prints, before = shingle_sets(data, offsets, k)
-                raw = [prints[a:b].tobytes() for a, b in zip(before.tolist(), before[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(_names(prints, before)), pa.array(raw, pa.binary())], ["node", "shingles"])
+                each = [prints[a:b] for a, b in zip(before.tolist(), before[1:].tolist())]
+                columns = [pa.array(_names(prints, before)), pa.array([e.tobytes() for e in each], pa.binary()), pa.array(np.diff(before)), pa.array([_histogram(e) for e in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "size", "histogram"])
 
     return run
 
 
+def _possible(percent: int):
+    """Pairs whose shingles by bucket allow a link: they share no more than the lesser count of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = pc.and_(batch.column("x_h").is_valid(), batch.column("y_h").is_valid())
+            known = batch.filter(some)
+            x, y = (np.frombuffer(b"".join(known.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("x_h", "y_h"))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            total = known.column("x_n").to_numpy() + known.column("y_n").to_numpy()
+            yield known.filter(pa.array(100 * most >= percent * (total - most))).select(["x", "y"])
+            yield batch.filter(pc.invert(some)).select(["x", "y"])
+
+    return run
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (u, v) among pairs (x, y); full sets go only to pairs that their histograms do not rule out."""
+    left = sets.select(F.col("node").alias("x"), F.col("size").alias("x_n"), F.col("histogram").alias("x_h"))
+    right = sets.select(F.col("node").alias("y"), F.col("size").alias("y_n"), F.col("histogram").alias("y_h"))
+    sized = pairs.join(left, "x").join(right, "y").filter(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    left_over = keep(sized.select("x", "y", "x_n", "y_n", "x_h", "y_h").mapInArrow(_possible(percent), "x long, y long"))
+    return keep(compare(left_over, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v")))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared, rest, bounds = [], [], [0]
@@ -197,7 +230,7 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
     held = _held(_shared_postings(posts))
     wanted = held.select("node").join(nodes, "node").select("node", "doc_id")
     texts = docs.join(wanted.select("doc_id"), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary").filter("octet_length(shingles) > 0").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary, size long, histogram binary").filter("octet_length(shingles) > 0").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     found: list[DataFrame] = []
     enough, tried, first = SHORT * nodes.count(), False, True
     while True:
@@ -214,7 +247,7 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
         x = few_pairs.filter("open").select("key", F.col("node").alias("x"))
         y = few_pairs.select("key", F.col("node").alias("y"), F.col("open").alias("y_open"))
         pairs = x.join(y, "key").filter("x < y OR (x > y AND NOT y_open)").select("x", "y").distinct()
-        found.append(keep(compare(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        found.append(links_of(pairs, sets, percent))
         if left <= enough:
             break
         many_open = load.filter("NOT short").select("key")
@@ -274,7 +307,7 @@ def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: Da
     between = members.select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), "root")
     more = asking.filter("sure > floor AND sure > ratio").join(between, "leader").filter("other >= floor AND other < sure AND other >= ratio AND x_root != root").select("x", "y")
     pairs = direct.union(more).distinct()
-    found.append(keep(compare(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))))
+    found.append(links_of(pairs, sets, percent))
     posts = members.select(F.col("leader").alias("list"), F.col("x").alias("node"), "open", "need", F.explode("rest").alias("s"))
     return _held(_shared_postings(posts.select("list", "node", "open", "need", F.xxhash64("list", "s").alias("key"))))
 
