@@ -273,12 +273,16 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(end(), schema)
 
 
-def _places(box: int, bottom: int):
+def _places(box: int, bottom: int, alone: bool):
+    """Pages and places of all lines; ``alone``: chunks are documents, which also get a row with their page count."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole(batches, KEYS):
-            page, entry = table.column("page").to_pylist(), table.column("entry").to_pylist()
+            n = table.num_rows
+            page, entry = ([-1] * n, [0] * n) if alone else (table.column(c).to_pylist() for c in ("page", "entry"))
             numbers, docs = table.column("block_no").combine_chunks(), table.column("doc_id").combine_chunks()
             rows: list[tuple[int, int, int, int]] = []
+            counts: list[tuple[int, int]] = []
             for a, _, chunk in _chunks(table, bounds, box):
                 out: list[tuple[int, int, int, int]] = []
                 number, room, start = page[a], entry[a], (0, -1)
@@ -289,13 +293,17 @@ def _places(box: int, bottom: int):
                     start, room, _ = chunk.page(start[0], start[1], room, opens, out, number)
                     number, room, opens = number + 1, box, start is not None and start[1] >= 0
                 rows.extend((a + i, k, p, r) for i, k, p, r in out)
+                counts.append((a, out[-1][2] + 1 if out else 1))
             at, lines, pages, rooms = (np.array([r[c] for r in rows], np.int64) for c in range(4))
-            n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [docs.take(pa.array(at)), numbers.take(pa.array(at)), pa.array(lines.astype(np.int32)), pa.array(pages.astype(np.int32)), pa.array((rooms + bottom) / POINT), pa.nulls(n, pa.int32())],
-                ["doc_id", "block_no", "line_no", "page_no", "y", "page_count"],
+                [docs.take(pa.array(at)), numbers.take(pa.array(at)), pa.array(lines.astype(np.int32)), pa.array(pages.astype(np.int32)), pa.array((rooms + bottom) / POINT), pa.nulls(len(rows), pa.int32())],
+                names,
             )
+            if alone:
+                none = [pa.nulls(len(counts), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array([c[0] for c in counts])), *none, pa.array([c[1] for c in counts], pa.int32())], names)
 
+    names = ["doc_id", "block_no", "line_no", "page_no", "y", "page_count"]
     return run
 
 
@@ -315,6 +323,7 @@ def paginate(blocks: DataFrame, height: float = 841.89, margin_top: float = 72.0
 
     Blocks are shuffled once, by document and chunk, so a document of any
     length is many tasks; what passes between its chunks is a short table each.
+    Documents whose blocks are all in the first chunk take one pass.
     """
     box, bottom = round((height - margin_top - margin_bottom) * POINT), round(margin_bottom * POINT)
     kind, line = F.col("kind"), _micro(F.col("size") * F.col("line_mult"))
@@ -331,6 +340,11 @@ def paginate(blocks: DataFrame, height: float = 841.89, margin_top: float = 72.0
         F.when(kind == "image", IMAGE_GAP).otherwise(0).cast("long").alias("tail"), F.when(solid | empty, 0).otherwise(after).alias("after"), need.cast("long").alias("need"),
     ).repartition(*KEYS)
     in_order = [*KEYS, "block_no"]
+    # most documents are one chunk, and need nothing from others
+    far = rows.where(F.col("chunk") != 0).select("doc", "no_doc").distinct()
+    near = rows.join(far, ["doc", "no_doc"], "left_anti").withColumn("needs", F.array().cast("array<long>"))
+    near = near.sortWithinPartitions(*in_order).mapInArrow(_places(box, bottom, True), PLACED)
+    rows = rows.join(far, ["doc", "no_doc"], "left_semi")
     heads = rows.select(*in_order, "breaks", "need").sortWithinPartitions(*in_order).mapInArrow(_heads(box), _HEADS)
     halos = heads.repartition("doc", "no_doc").sortWithinPartitions("doc", "no_doc", F.col("chunk").desc()).mapInArrow(_halos(box), _HALOS)
     first = heads.groupBy("doc", "no_doc").agg(F.min("chunk").alias("first_chunk"))
@@ -339,9 +353,9 @@ def paginate(blocks: DataFrame, height: float = 841.89, margin_top: float = 72.0
     maps = told.sortWithinPartitions(*in_order).mapInArrow(_maps(box), _MAPS)
     entries = maps.repartition("doc", "no_doc").sortWithinPartitions("doc", "no_doc", "chunk").mapInArrow(_entries, _ENTRIES)
     states = entries.where(F.col("chunk").isNotNull()).drop("page_count")
-    placed = told.join(states, KEYS).sortWithinPartitions(*in_order).mapInArrow(_places(box, bottom), PLACED)
+    placed = told.join(states, KEYS).sortWithinPartitions(*in_order).mapInArrow(_places(box, bottom, False), PLACED)
     shown = lambda t: F.lit(None).cast(t)
     counts = entries.where(F.col("chunk").isNull()).select(
         F.when(~F.col("no_doc"), F.col("doc")).alias("doc_id"), shown("int").alias("block_no"), shown("int").alias("line_no"), shown("int").alias("page_no"), shown("double").alias("y"), "page_count"
     )
-    return placed.union(counts)
+    return near.union(placed).union(counts)

@@ -159,7 +159,7 @@ def rate_limit_batch(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Of events of one time only the first can be kept, so they combine before
     the shuffle.  Events are shuffled once, by source and chunk, and written to
     the checkpoint folder; a source of any size is as many tasks as it has
-    chunks.  Events without a time or cost are left out.
+    chunks, and sources of one chunk are streamed as they are.  Events without a time or cost are left out.
     """
     e = events.where(F.col("t").isNotNull() & F.col("cost").isNotNull()).select(
         F.coalesce("source_id", F.lit(0).cast("long")).cast("long").alias("source"), F.col("source_id").isNull().alias("no_source"), F.floor(F.col("t") / chunk).cast("long").alias("chunk"),
@@ -167,9 +167,15 @@ def rate_limit_batch(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
     e = e.groupBy(*KEYS, "t").agg(F.min("event").alias("event")).select(*KEYS, "t", "event.seq", "event.cost")
     chunks = e.groupBy(*KEYS).agg(F.sum("cost").alias("sum"), F.count("*").alias("n"))
-    sources = chunks.groupBy("source", "no_source").agg(F.min("chunk").alias("start"), (F.sum("sum") / F.sum("n")).alias("guess"))
-    rows = e.join(sources, ["source", "no_source"]).withColumn("opens", F.col("chunk") == F.col("start")).drop("start")
-    rows = cut_lineage(rows.withColumn("source_id", F.when(~F.col("no_source"), F.col("source"))).repartition(*KEYS))
+    sources = chunks.groupBy("source", "no_source").agg(F.min("chunk").alias("start"), F.max("chunk").alias("end"), (F.sum("sum") / F.sum("n")).alias("guess"))
+    named = F.when(~F.col("no_source"), F.col("source")).alias("source_id")
+    long = cut_lineage(sources.where(F.col("start") != F.col("end")))
+    short = e.select("*", named) if long.isEmpty() else e.join(long, ["source", "no_source"], "left_anti").select("*", named)
+    brief = short.repartition("source", "no_source").sortWithinPartitions("source", "no_source", "t").mapInArrow(_streamed, KEPT)
+    if long.isEmpty():
+        return brief
+    rows = e.join(long, ["source", "no_source"]).withColumn("opens", F.col("chunk") == F.col("start")).drop("start", "end")
+    rows = cut_lineage(rows.withColumn("source_id", named).repartition(*KEYS))
 
     def over(told: DataFrame, run, schema: str) -> DataFrame:
         return told.sortWithinPartitions(*KEYS, "t").mapInArrow(run, schema)
@@ -192,7 +198,7 @@ def rate_limit_batch(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     else:
         late = todo.select("source", "no_source").distinct()
         states = states.join(late, ["source", "no_source"], "left_anti")
-    kept = over(rows.join(states, KEYS), _kept, KEPT)
+    kept = brief.union(over(rows.join(states, KEYS), _kept, KEPT))
     if late is None:
         return kept
     streams = rows.join(late, ["source", "no_source"]).repartition("source", "no_source").sortWithinPartitions("source", "no_source", "t")
