@@ -16,8 +16,8 @@ before single spaces between two characters that are no white space, where
 byte-level pre-tokens always end.
 
 Defined results: null and empty texts have no ids but the end id; a null
-doc_id comes first; rows of one doc_id follow one another by a hash of their
-texts, and are split over shards like any others; a text of any length is
+doc_id comes first; rows of one doc_id follow one another as they are read, and
+are split over shards like any others; a text of any length is
 encoded whole; an empty table gives files without rows; extra columns are
 ignored.
 """
@@ -29,7 +29,7 @@ import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain, islice, repeat
 
@@ -86,21 +86,29 @@ class Encoder:
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, new: list[str], space: str, slot: dict[str, int]) -> None:
-        odd = [p for p in new if _ODD.search(p) is not None]
-        plain = [p for p in new if _ODD.search(p) is None] if odd else new
-        for at in range(0, len(plain), JOINED):
-            some = plain[at : at + JOINED]
-            ids = self._ids("\n".join([space + p for p in some]))
-            # a piece has line feeds of its own, and one after it
-            feeds = np.flatnonzero(ids == self.feed)
-            last = np.cumsum(np.fromiter((p.count("\n") + 1 for p in some), np.int64, len(some))) - 1
+        # printable text has no white space but spaces, and no line feeds
+        plain = [p for p in new if p.isprintable() and p and "<|" not in p]
+        self._joined(plain, space, slot, np.arange)
+        if len(plain) == len(new):
+            return
+        rest = [p for p in new if not p.isprintable() or not p or "<|" in p]
+        lined = [p for p in rest if _ODD.search(p) is None]
+        self._joined(lined, space, slot, lambda n: np.cumsum(np.fromiter((p.count("\n") + 1 for p in lined), np.int64, n)) - 1, len(lined))
+        odd = [p for p in rest if _ODD.search(p) is not None]
+        if odd:
+            each = [self._ids(space + p) for p in odd]
+            self._add(odd, slot, np.concatenate(each), np.cumsum([len(e) for e in each]))
+
+    def _joined(self, pieces: list[str], space: str, slot: dict[str, int], last_feeds: Callable[[int], np.ndarray], most: int = JOINED) -> None:
+        """Learn pieces as one text; ``last_feeds`` counts the line feeds before the one that follows each of them."""
+        for at in range(0, len(pieces), max(1, most)):
+            some = pieces[at : at + most]
+            ids = self._ids(space + ("\n" + space).join(some))
+            feeds, last = np.flatnonzero(ids == self.feed), last_feeds(len(some))
             if len(feeds) != last[-1]:
                 raise AssertionError("the vocabulary joins line feeds to words")
             after = feeds[last[:-1]]
             self._add(some, slot, np.delete(ids, after), np.append(after - np.arange(len(after)), len(ids) - len(after)))
-        if odd:
-            each = [self._ids(space + p) for p in odd]
-            self._add(odd, slot, np.concatenate(each), np.cumsum([len(e) for e in each]))
 
     def _add(self, pieces: list[str], slot: dict[str, int], ids: np.ndarray, ends: np.ndarray) -> None:
         n = len(self.ends) - 1
@@ -184,8 +192,8 @@ def write_tokens(
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(slots(spark), math.ceil(total / shard_bytes))
     # the row number lets a doc_id of very many rows end in several shards
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
     dealt = dealt.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = dealt.mapInArrow(_encode(tokenizer, end_id), "doc_id long, shard int, seq long, offset long, n_tokens long, ids array<int>")
     options = {
