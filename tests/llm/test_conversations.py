@@ -227,7 +227,8 @@ def test_token_files(spark, texts, encoding):
 def test_small_row_groups_and_an_empty_table(spark, texts):
     docs = spark.createDataFrame(texts, "doc_id long, text string, shard int, seq int, offset int, hash string")
     folder = spread.new_folder(spark, "test")
-    token_files.write_tokens(docs.repartition(1), TOKENIZER, folder, row_group_bytes=4096, page_bytes=1024, page_rows=8)
+    many = spark.range(8000).selectExpr("id AS doc_id", "concat('some words of ', id) AS text")
+    token_files.write_tokens(many, TOKENIZER, folder, row_group_bytes=4096, page_bytes=1024, page_rows=8)
     groups = [pq.ParquetFile(f).metadata.num_row_groups for f in pq.ParquetDataset(folder.removeprefix("file:") + "/tokens").files]
     assert max(groups) > 1
     none = spread.new_folder(spark, "test")
