@@ -74,14 +74,12 @@ safe AS (SELECT id, CASE WHEN length(s) <= 120 THEN s
 
 
 @query("p3_sanitize_filename", f"""
-WITH raws AS (SELECT doc_id AS id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') || CASE WHEN doc_id % 3 = 0 THEN '.pdf' WHEN doc_id % 3 = 1 THEN '. .' ELSE '' END AS raw FROM documents
+WITH raws AS (SELECT doc_id AS id, nfc_normalize(text) || CASE WHEN doc_id % 3 = 0 THEN '.pdf' WHEN doc_id % 3 = 1 THEN '. .' ELSE '' END AS raw FROM documents
   UNION ALL SELECT page_id + 1000000000, url || '.pdf' FROM pages), {_SAFE_SQL}
 SELECT id, safe, CASE WHEN regexp_replace(safe, '\\.[^.]+$', '') = '' THEN 'export' ELSE regexp_replace(safe, '\\.[^.]+$', '') END AS stem FROM safe""")
 def p3(spark, sf):
     suffix = F.when(F.col("doc_id") % 3 == 0, ".pdf").when(F.col("doc_id") % 3 == 1, ". .").otherwise("")
-    texts = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.concat(F.regexp_replace("text", "[^\\x00-\\x7F]", ""), suffix).alias("raw")
-    )
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("text", suffix).alias("raw"))
     urls = table(spark, sf, "pages").select((F.col("page_id") + 1000000000).alias("id"), F.concat("url", F.lit(".pdf")).alias("raw"))
     raw = F.col("raw")
     return texts.unionByName(urls).select(
