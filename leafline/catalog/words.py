@@ -53,7 +53,7 @@ def packages(spark, sf):
     )
     notes = F.when(
         k % 3 == 0,
-        F.lit('<w:footnote w:id="0"><w:p/></w:footnote><w:footnote w:id="2"><w:p><w:r><w:t>A note</w:t></w:r></w:p></w:footnote><w:footnote w:id="3"><w:p/></w:footnote>'),
+        F.lit('<w:footnote w:id="0"><w:p/></w:footnote><w:footnote w:id="2"><w:p w:rsid="1"><w:pPr><w:b/></w:pPr><w:r><w:t>A &amp;lt;note&amp;gt; &lt;b&gt;</w:t><w:tab/><w:t xml:space="preserve"> more&#233;</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>End &#x201C;x&quot;</w:t><w:delText>gone</w:delText></w:r></w:p></w:footnote><w:footnote w:id="3"><w:p/></w:footnote>'),
     ).otherwise("")
     d = table(spark, sf, "documents").select(
         "doc_id", F.concat(F.array_join(lines, ""), ref, moved, grid).alias("body"), notes.alias("notes")
@@ -92,7 +92,7 @@ def f5(spark, sf):
     return docx_warnings(S.docx_parts(packages(spark, sf)))
 
 
-@query("j3_docx_notes", """SELECT doc_id, 0 AS kind_no, 2 AS note_id, u.p AS part, CASE u.p WHEN 0 THEN '[F2]' ELSE 'A note' END AS text FROM documents, unnest([0, 1]) AS u(p) WHERE doc_id % 3 = 0""")
+@query("j3_docx_notes", """SELECT doc_id, 0 AS kind_no, 2 AS note_id, u.p AS part, CASE u.p WHEN 0 THEN '[F2]' WHEN 1 THEN 'A &lt;note&gt; <b>' || chr(9) || ' moreé' WHEN 2 THEN '' ELSE 'End “x"' END AS text FROM documents, unnest([0, 1, 2, 3]) AS u(p) WHERE doc_id % 3 = 0""")
 def j3(spark, sf):
     return X.docx_notes(*S.docx_notes_rows(S.docx_parts(packages(spark, sf))))
 

@@ -35,17 +35,17 @@ def glyph_coverage(runs: DataFrame) -> DataFrame:
 def docx_notes(notes: DataFrame, refs: DataFrame) -> DataFrame:
     """Notes that the body refers to, as trailing paragraphs.
 
-    ``notes`` is (doc_id, kind F or E, note_id, text). Output paragraphs are
-    ordered by (kind_no, note_id, part): the marker, then the text.
+    ``notes`` is (doc_id, kind F or E, note_id, para_no, text), a row for each
+    paragraph. Output paragraphs are ordered by (kind_no, note_id, part): the
+    marker, then the note's own.
     """
     used = notes.where(F.col("note_id") > 0).join(
         refs.select("doc_id", "kind", "note_id"), ["doc_id", "kind", "note_id"], "left_semi"
     )
+    keys = ["doc_id", F.when(F.col("kind") == "F", 0).otherwise(1).alias("kind_no"), "note_id"]
     marker = F.concat(F.lit("["), "kind", F.col("note_id").cast("string"), F.lit("]"))
-    return used.select(
-        "doc_id", F.when(F.col("kind") == "F", 0).otherwise(1).alias("kind_no"), "note_id",
-        F.posexplode(F.array(marker, F.col("text"))).alias("part", "text"),
-    )
+    markers = used.where(F.col("para_no") == 0).select(*keys, F.lit(0).alias("part"), marker.alias("text"))
+    return markers.unionByName(used.select(*keys, (F.col("para_no") + 1).alias("part"), "text"))
 
 
 def resolve_target(target: Column) -> Column:
