@@ -18,7 +18,9 @@ before it, so it is matched as a literal and as a placeholder.
 Defined results: null and empty texts and items match nothing; windows with
 fewer than ``LITERALS`` words besides placeholders are not used; repeated rows
 of one document are one document; repeated items of one id are one item; empty
-tables give an empty result; extra columns are ignored.
+tables give an empty result; extra columns are ignored.  Rows without a doc_id
+are not in the result, which names documents by it; where clean documents are
+kept they are judged by their texts.
 """
 
 from __future__ import annotations
@@ -202,6 +204,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that hold no item."""
-    ids = keep(contaminated(docs, items).select("doc_id").distinct())
-    return docs.join(few(ids), "doc_id", "left_anti").select(docs.columns)
+    """The documents, with all their columns, that hold no item; those without a doc_id are told apart by their texts."""
+    own = F.concat(F.lit("i"), F.col("doc_id").cast("string"))
+    key = F.coalesce(own, F.concat(F.lit("t"), F.sha2("text", 256)))
+    held = keep(contaminated(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_holder")).distinct())
+    return docs.join(few(held), key == F.col("_holder"), "left_anti").select(docs.columns)
