@@ -249,7 +249,7 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
         few_pairs = members.join(load.filter("short").select("key"), "key")
         x = few_pairs.filter("open").select("key", F.col("node").alias("x"))
         y = few_pairs.select("key", F.col("node").alias("y"), F.col("open").alias("y_open"))
-        parts = 1 + left // max(1, 4 * enough) if last else 1
+        parts = 1 + left // max(1 << 20, 4 * enough) if last else 1
         for part in range(parts):
             some = x if parts == 1 else x.filter(F.pmod(F.xxhash64("x"), F.lit(parts)) == part)
             pairs = some.join(y, "key").filter("x < y OR (x > y AND NOT y_open)").select("x", "y").distinct()
