@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.operators.ordering import whole
+from leafline.runtime import cut_lineage
 
 POINT = 1_000_000
 CHUNK = 16_384  # blocks
@@ -321,7 +322,7 @@ def paginate(blocks: DataFrame, height: float = 841.89, margin_top: float = 72.0
     ``block_no`` and the final ``page_count``: trailing blank pages are gone, and
     a document without content has one notice page.
 
-    Blocks are shuffled once, by document and chunk, so a document of any
+    Blocks are shuffled and written once, by document and chunk, so a document of any
     length is many tasks; what passes between its chunks is a short table each.
     Documents whose blocks are all in the first chunk take one pass.
     """
@@ -340,10 +341,15 @@ def paginate(blocks: DataFrame, height: float = 841.89, margin_top: float = 72.0
         F.when(kind == "image", IMAGE_GAP).otherwise(0).cast("long").alias("tail"), F.when(solid | empty, 0).otherwise(after).alias("after"), need.cast("long").alias("need"),
     ).repartition(*KEYS)
     in_order = [*KEYS, "block_no"]
+    # several passes read the blocks, so they are written once
+    rows = cut_lineage(rows)
     # most documents are one chunk, and need nothing from others
-    far = rows.where(F.col("chunk") != 0).select("doc", "no_doc").distinct()
-    near = rows.join(far, ["doc", "no_doc"], "left_anti").withColumn("needs", F.array().cast("array<long>"))
+    far = cut_lineage(rows.where(F.col("chunk") != 0).select("doc", "no_doc").distinct())
+    alone = far.isEmpty()
+    near = (rows if alone else rows.join(far, ["doc", "no_doc"], "left_anti")).withColumn("needs", F.array().cast("array<long>"))
     near = near.sortWithinPartitions(*in_order).mapInArrow(_places(box, bottom, True), PLACED)
+    if alone:
+        return near
     rows = rows.join(far, ["doc", "no_doc"], "left_semi")
     heads = rows.select(*in_order, "breaks", "need").sortWithinPartitions(*in_order).mapInArrow(_heads(box), _HEADS)
     halos = heads.repartition("doc", "no_doc").sortWithinPartitions("doc", "no_doc", F.col("chunk").desc()).mapInArrow(_halos(box), _HALOS)
