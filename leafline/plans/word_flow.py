@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +25,19 @@ CELL_PAD = 5.0
 
 @dataclass
 class WordFlow:
-    """Effective paragraphs, runs, wrapped lines, their places, and the coverage verdict."""
+    """Effective paragraphs, runs, wrapped lines, blocks to be paged, and the coverage verdict."""
 
     paragraphs: DataFrame
     runs: DataFrame
     lines: DataFrame
-    placed: DataFrame
+    blocks: DataFrame
     coverage: DataFrame
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Pages and places of the blocks, which are written once when this is asked for."""
+        return paginate(self.blocks)
+
 
 def _cell_widths(cells: DataFrame, grid: DataFrame, inner: float) -> DataFrame:
     """Text width of every cell, from the weights of the columns it spans."""
@@ -105,4 +111,4 @@ def word_flow(parts: DataFrame, inner: float = 451.28) -> WordFlow:
     )
     only_break = F.col("_b").isNotNull() & (F.col("kind") == "empty")
     blocks = blocks.withColumn("kind", F.when(only_break, "break").otherwise(F.col("kind"))).drop("_b")
-    return WordFlow(effective, runs, wrapped, paginate(blocks), glyph_coverage(runs))
+    return WordFlow(effective, runs, wrapped, blocks, glyph_coverage(runs))
