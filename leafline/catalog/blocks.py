@@ -134,19 +134,20 @@ def w7(spark, sf):
 
 
 def _grid_rulings(spark, sf):
-    """A full grid per order, except that every fourth misses a line and every fourth has a short one."""
-    d = fx.order_lines(spark, sf).select("doc_id").distinct()
+    """A full grid per order, except that every fourth misses a line and every fourth has one that ends above its bottom."""
+    d = fx.order_lines(spark, sf).groupBy("doc_id").agg((F.max("rn") + 1).alias("rows"))
+    bottom = 732.0 - 16 * F.col("rows")
     k = F.col("doc_id") % 4
     xs = F.array(*[F.lit(v) for v in (66.0, 196.0, 326.0, 456.0)])
     xs = F.when(k == 1, F.slice(xs, 1, 2)).otherwise(xs)
     vertical = F.transform(
         xs,
         lambda x: F.struct(
-            x.alias("x1"), F.when((k == 2) & (x == 196.0), 640.0).otherwise(604.0).alias("y1"), (x + 0.5).alias("x2"), F.lit(732.0).alias("y2")
+            x.alias("x1"), F.when((k == 2) & (x == 196.0), bottom + 10).otherwise(bottom).alias("y1"), (x + 0.5).alias("x2"), F.lit(732.0).alias("y2")
         ),
     )
     horizontal = F.transform(
-        F.sequence(F.lit(0), F.lit(8)),
+        F.sequence(F.lit(0), F.col("rows")),
         lambda i: F.struct(F.lit(66.0).alias("x1"), (732.0 - 16 * i).alias("y1"), F.lit(456.5).alias("x2"), (732.0 - 16 * i).alias("y2")),
     )
     return d.select("doc_id", F.lit(0).alias("page_no"), F.inline(F.concat(vertical, horizontal)))

@@ -1,12 +1,13 @@
 """Model tables derived from the given tables, with the same derivation in DuckDB SQL.
 
-None of them orders or collects a key: rows come from one source row or from an
-aggregate that combines before the shuffle, so a hot key stays cheap.
+Rows come from one source row or from an aggregate that combines before the
+shuffle.  Only lines of an order are numbered, by the order they are printed
+on; an order is a page, the key that every layout operator works by anyway.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafline.catalog.registry import table
@@ -15,19 +16,22 @@ from leafline.catalog.registry import table
 
 ORDER_LINES_SQL = """
 order_lines AS (
-  SELECT l_orderkey AS doc_id, l_linenumber AS rn, min(l_partkey) AS part, sum(l_quantity) AS qty,
-         min(l_returnflag) AS flag, max(l_discount) AS disc, max(l_tax) AS tax, min(l_suppkey) AS supp
-  FROM lineitem GROUP BY 1, 2)"""
+  SELECT l_orderkey AS doc_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+           l_quantity, l_returnflag, l_discount, l_tax) AS int) AS rn, l_partkey AS part, l_quantity AS qty,
+         l_returnflag AS flag, l_discount AS disc, l_tax AS tax, l_suppkey AS supp
+  FROM lineitem)"""
 
 
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of lineitem, numbered from 1 within its order."""
+    printed = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount", "l_tax"]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.asc_nulls_last(c) for c in printed]))
     return (
         table(spark, sf, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("rn"))
-        .agg(
-            F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("qty"),
-            F.min("l_returnflag").alias("flag"), F.max("l_discount").alias("disc"),
-            F.max("l_tax").alias("tax"), F.min("l_suppkey").alias("supp"),
+        .select(F.col("l_orderkey").alias("doc_id"), *printed)
+        .select(
+            "doc_id", place.alias("rn"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag"),
+            F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), F.col("l_suppkey").alias("supp"),
         )
     )
 

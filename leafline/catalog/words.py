@@ -189,7 +189,7 @@ def j9(spark, sf):
 
 
 _ITEMS_SQL = fx.ORDER_LINES_SQL + """,
-items AS (SELECT doc_id // 20 AS doc_id, cast((doc_id % 20) * 10 + rn AS int) AS para_no, cast(supp % 3 AS varchar) AS num_id, cast(part % 4 AS int) AS ilvl FROM order_lines),
+items AS (SELECT doc_id // 20 AS doc_id, cast((doc_id % 20) * 1000000 + rn AS int) AS para_no, cast(supp % 3 AS varchar) AS num_id, cast(part % 4 AS int) AS ilvl FROM order_lines),
 marked AS (SELECT *, NOT (num_id = '2' OR (num_id = '1' AND ilvl = 3)) AS numbered FROM items)"""
 
 
@@ -199,7 +199,7 @@ SELECT doc_id, para_no, num_id, ilvl, CASE WHEN numbered THEN (SELECT count(*) F
 def w11(spark, sf):
     lines = fx.order_lines(spark, sf)
     items = lines.select(
-        F.floor(F.col("doc_id") / 20).alias("doc_id"), ((F.col("doc_id") % 20) * 10 + F.col("rn")).cast("int").alias("para_no"),
+        F.floor(F.col("doc_id") / 20).alias("doc_id"), ((F.col("doc_id") % 20) * 1_000_000 + F.col("rn")).cast("int").alias("para_no"),
         (F.col("supp") % 3).cast("string").alias("num_id"), (F.col("part") % 4).cast("int").alias("ilvl"),
     )
     docs = lines.select(F.floor(F.col("doc_id") / 20).alias("doc_id")).distinct()
