@@ -145,7 +145,7 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("x"), F.col("size").alias("x_n"), F.col("histogram").alias("x_h"))
     right = sets.select(F.col("node").alias("y"), F.col("size").alias("y_n"), F.col("histogram").alias("y_h"))
     sized = pairs.join(left, "x").join(right, "y").filter(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
-    left_over = keep(sized.select("x", "y", "x_n", "y_n", "x_h", "y_h").mapInArrow(_possible(percent), "x long, y long"))
+    left_over = sized.select("x", "y", "x_n", "y_n", "x_h", "y_h").mapInArrow(_possible(percent), "x long, y long")
     return keep(compare(left_over, sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v")))
 
 
@@ -234,6 +234,7 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
     texts = docs.join(wanted.select("doc_id"), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary, size long, histogram binary").filter("octet_length(shingles) > 0").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     found: list[DataFrame] = []
+    pending: list[DataFrame] = []  # pairs that are compared together, once their links are asked for
     enough, tried, deals = SHORT * nodes.count(), False, 0
     while True:
         members = _members(held)
@@ -252,9 +253,11 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
         parts = 1 + left // max(1 << 20, 4 * enough) if last else 1
         for part in range(parts):
             some = x if parts == 1 else x.filter(F.pmod(F.xxhash64("x"), F.lit(parts)) == part)
-            pairs = some.join(y, "key").filter("x < y OR (x > y AND NOT y_open)").select("x", "y").distinct()
-            found.append(links_of(pairs, sets, percent))
+            pending.append(some.join(y, "key").filter("x < y OR (x > y AND NOT y_open)").select("x", "y"))
+            if parts > 1:
+                _settle(pending, found, sets, percent)
         if last:
+            _settle(pending, found, sets, percent)
             break
         many_open = load.filter("NOT short").select("key")
         if not tried:
@@ -268,13 +271,23 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
         pairs = members.join(many_open, "key").join(leaders, "key").filter("node != y").select(F.col("node").alias("x"), "y").distinct()
         judged = keep(compare(pairs, sets).withColumn("linked", _linked(percent)))
         found.append(judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        held = _deal_anew(judged, percent, found, sets, deals == 0)
+        if deals:
+            _settle(pending, found, sets, percent)
+        held, more = _deal_anew(judged, percent, found, deals == 0)
+        pending.append(more)
         deals += 1
     return reduce(DataFrame.union, found)
 
 
-def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: DataFrame, first: bool) -> DataFrame:
-    """Postings by shingles outside the leader, for lists whose members are not of one component yet.
+def _settle(pending: list[DataFrame], found: list[DataFrame], sets: DataFrame, percent: int) -> None:
+    """Compare the pairs that wait, each of them once."""
+    if pending:
+        found.append(links_of(reduce(DataFrame.union, pending).distinct(), sets, percent))
+        pending.clear()
+
+
+def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], first: bool) -> tuple[DataFrame, DataFrame]:
+    """Postings by shingles outside the leader, for lists whose members are not of one component yet, and pairs to compare.
 
     Pairs of one component need no comparison.  The open members of a list are
     those outside the component that most of its members are in, so every pair
@@ -312,10 +325,8 @@ def _deal_anew(judged: DataFrame, percent: int, found: list[DataFrame], sets: Da
     direct = asking.join(low, "leader").filter("other >= ratio AND x_root != root").select("x", "y")
     between = members.select("leader", F.col("x").alias("y"), F.col("x_size").alias("other"), "root")
     more = asking.filter("sure > floor AND sure > ratio").join(between, "leader").filter("other >= floor AND other < sure AND other >= ratio AND x_root != root").select("x", "y")
-    pairs = direct.union(more).distinct()
-    found.append(links_of(pairs, sets, percent))
     posts = members.select(F.col("leader").alias("list"), F.col("x").alias("node"), "open", "need", F.explode("rest").alias("s"))
-    return _held(_shared_postings(posts.select("list", "node", "open", "need", F.xxhash64("list", "s").alias("key"))))
+    return _held(_shared_postings(posts.select("list", "node", "open", "need", F.xxhash64("list", "s").alias("key")))), direct.union(more)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH) -> DataFrame:
