@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,14 +116,69 @@ def flatten_outline(outline: DataFrame, key: str = "doc_id") -> DataFrame:
     """Outline nodes with capped ``depth`` and their ``position`` in pre-order, from 0.
 
     ``outline`` is (doc_id, node_id, parent_id, ord, title, page_index); equal
-    ``ord`` are told apart by node_id. Every node is entered and left once, and
-    each of these steps knows the next one: the first child, the next sibling,
+    ``ord`` are told apart by node_id. Nodes that no root leads to are left out.
+
+    Leaves are taken off in rounds, and each adds its size to its parent's; a
+    node then stands after its parent and all that its earlier siblings hold,
+    from the last round to the first. A round reads what the rounds before it
+    left. Documents that are too deep for that are ranked as tours.
+    """
+    left = outline.select(
+        key, "node_id", "parent_id", "ord", trim_all(F.coalesce("title", F.lit(""))).alias("title"), "page_index", F.lit(1).cast("long").alias("_size")
+    )
+    rounds, read, first = [], 0, None
+    while True:
+        children = left.where(F.col("parent_id").isNotNull()).groupBy(key, F.col("parent_id").alias("node_id")).agg(F.lit(True).alias("_parent"))
+        marked = cut_lineage(left.join(children, [key, "node_id"], "left"))
+        rows, rest = marked.agg(F.count(F.lit(1)), F.count("_parent")).first()
+        first = rows if first is None else first
+        read += rows
+        leaves = marked.where(F.col("_parent").isNull()).drop("_parent")
+        rounds.append(leaves)
+        sizes = leaves.where(F.col("parent_id").isNotNull()).groupBy(key, F.col("parent_id").alias("node_id")).agg(F.sum("_size").alias("_more"))
+        left = marked.where("_parent").drop("_parent").join(sizes, [key, "node_id"], "left")
+        left = left.withColumn("_size", F.col("_size") + F.coalesce("_more", F.lit(0))).drop("_more")
+        if rest == 0 or rest == rows or read > 4 * first or len(rounds) == 64:
+            break
+    each = [leaves.withColumn("_round", F.lit(number)) for number, leaves in enumerate(rounds)]
+    nodes = reduce(DataFrame.unionByName, each)
+    deep = None
+    if 0 < rest < rows:  # all that is left of ``rest == rows`` goes in circles
+        deep = cut_lineage(left.select(key).distinct())
+        nodes = nodes.join(deep, key, "left_anti")
+    siblings = Window.partitionBy(key, "parent_id").orderBy("ord", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = cut_lineage(nodes.withColumn("_before", F.coalesce(F.sum("_size").over(siblings), F.lit(0))).drop("ord", "_size"))
+    held = [nodes]
+    for number in range(len(rounds) - 1):
+        held.append(cut_lineage(held[-1].where(F.col("_round") > number)))
+    placed: list[DataFrame] = []
+    for number in reversed(range(len(rounds))):
+        here = held[number].where(F.col("_round") == number).drop("_round")
+        found = here.where(F.col("parent_id").isNull()).withColumns({"position": F.col("_before"), "depth": F.lit(0)})
+        if placed:
+            above = reduce(DataFrame.unionByName, placed).select(key, F.col("node_id").alias("parent_id"), F.col("position").alias("_top"), F.col("depth").alias("_over"))
+            under = here.join(above, [key, "parent_id"]).withColumns({"position": F.col("_top") + 1 + F.col("_before"), "depth": F.col("_over") + 1})
+            found = found.unionByName(under.drop("_top", "_over"))
+        placed.append(cut_lineage(found) if number else found)
+    result = [key, "node_id", "title", "page_index", F.least(F.lit(3), "depth").alias("depth"), "position"]
+    shown = (F.col("title") != "") & F.col("page_index").isNotNull()
+    out = reduce(DataFrame.unionByName, placed).where(shown).select(result)
+    if deep is None:
+        return out
+    deep_nodes = outline.withColumn("title", trim_all(F.coalesce("title", F.lit("")))).join(deep, key, "left_semi")
+    return out.unionByName(deep_nodes.where(shown).join(_tour_places(deep_nodes, key), [key, "node_id"]).select(result))
+
+
+def _tour_places(nodes: DataFrame, key: str) -> DataFrame:
+    """(doc_id, node_id, position, depth) of outlines of any depth.
+
+    Every node is entered and left once, and each of these steps knows the next one: the first child, the next sibling,
     or leaving the parent. Steps point 1, 2, 4, ... steps on and hold the sums
     of nodes entered and of depth on the way, so the joins grow with the
     logarithm of the largest outline, whether it is deep or wide. Steps that do
     not come to the end belong to nodes that no root leads to, and are left out.
     """
-    nodes = outline.select(key, "node_id", "parent_id", "ord")
+    nodes = nodes.select(key, "node_id", "parent_id", "ord")
     siblings = Window.partitionBy(key, "parent_id").orderBy("ord", "node_id")
     nodes = nodes.select(key, "node_id", "parent_id", F.row_number().over(siblings).alias("_at"), F.lead("node_id").over(siblings).alias("_next"))
     first = nodes.where((F.col("_at") == 1) & F.col("parent_id").isNotNull()).select(key, F.col("parent_id").alias("node_id"), F.col("node_id").alias("_child"))
@@ -137,24 +194,22 @@ def flatten_outline(outline: DataFrame, key: str = "doc_id") -> DataFrame:
     tour = cut_lineage(nodes.select(key, F.inline(F.array(enter, leave))))
     most = tour.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     for _ in range(most.bit_length()):
-        if tour.where(F.col("to").isNotNull()).isEmpty():
+        open_ = tour.where(F.col("to").isNotNull())
+        if open_.isEmpty():
             break
         on = tour.select(key, F.col("step").alias("to"), F.col("to").alias("_to"), F.col("entered").alias("_entered"), F.col("deeper").alias("_deeper"))
         # a step without an end keeps pointing somewhere, also to a node that does not exist
+        # steps at the end are kept aside, since a join would send them all to one task
         tour = cut_lineage(
-            tour.join(on, [key, "to"], "left").select(
+            open_.join(on, [key, "to"], "left").select(
                 key, "step", F.when(F.col("_entered").isNull(), F.col("to")).otherwise(F.col("_to")).alias("to"),
                 (F.col("entered") + F.coalesce("_entered", F.lit(0))).alias("entered"), (F.col("deeper") + F.coalesce("_deeper", F.lit(0))).alias("deeper"),
-            )
+            ).unionByName(tour.where(F.col("to").isNull()))
         )
     ended = tour.where(F.col("to").isNull() & ~F.col("step.leaves"))
     total = ended.groupBy(key).agg(F.max("entered").alias("_total"))
     # what is entered and what goes deeper from a step on, seen from the start
-    place = ended.join(total, key).select(key, F.col("step.node").alias("node_id"), (F.col("_total") - F.col("entered")).alias("position"), (-F.col("deeper")).cast("int").alias("depth"))
-    title = trim_all(F.coalesce("title", F.lit("")))
-    return outline.where((title != "") & F.col("page_index").isNotNull()).join(place, [key, "node_id"]).select(
-        key, "node_id", title.alias("title"), "page_index", F.least(F.lit(3), "depth").alias("depth"), "position"
-    )
+    return ended.join(total, key).select(key, F.col("step.node").alias("node_id"), (F.col("_total") - F.col("entered")).alias("position"), (-F.col("deeper")).cast("int").alias("depth"))
 
 
 ENCRYPTED = "encrypted"

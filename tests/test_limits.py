@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafline.operators.admission import docx_admission
 from leafline.operators.word import list_numbers, resolve_rels, resolve_table_styles
+from leafline.runtime import cut_lineage
 from leafline.sources.docx import docx_manifest, read_docx_corpus
 from leafline.sources.items import flatten_outline
 from leafline.streaming.intake import start_intake
@@ -104,3 +105,20 @@ def test_table_styles_in_long_chains_and_circles(spark):
     want = {(1, i, "top"): None if i <= 50 else "far" for i in range(n)} | {(1, i, "left"): "x" for i in range(61)}
     want |= {(2, 0, "left"): "own", (2, 0, "top"): "c", (2, 1, "top"): "c", (2, 2, "top"): "c", (3, 0, "top"): "not a style"}
     assert got == want
+
+
+def test_wide_outlines_are_not_read_once_for_every_doubling(spark, monkeypatch):
+    kept = []
+
+    def counted(df):
+        cut = cut_lineage(df)
+        kept.append(cut.count())
+        return cut
+
+    monkeypatch.setattr("leafline.sources.items.cut_lineage", counted)
+    n = 2000
+    rows = [(1, "r", None, 0, "t", 0)] + [(1, f"a{i:04}", "r", i, "t", 0) for i in range(40)] + [(1, f"b{i:04}", f"a{i % 40:04}", i, "t", 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id int, node_id string, parent_id string, ord bigint, title string, page_index int").repartition(4)
+    got = [r.node_id for r in flatten_outline(df).orderBy("position").collect()]
+    assert got == ["r"] + [v for i in range(40) for v in [f"a{i:04}"] + [f"b{j:04}" for j in range(i, n, 40)]]
+    assert sum(kept) < 4 * len(rows)
