@@ -3,7 +3,7 @@
 import pytest
 
 from leafline.operators.draws import ruling_segments
-from leafline.operators.lines import cluster_lines, lines, text_runs
+from leafline.operators.lines import cluster_lines, lines, page_lines, text_runs
 from leafline.plans.reconstruct import reconstruct
 from leafline.sources.items import read_ocr_words
 
@@ -163,3 +163,17 @@ def test_matrix_stack(spark):
 def test_blocks_are_ordered_from_the_top(built):
     positions = [(b.position, b.top) for b in built[0][6]]
     assert positions == sorted(positions, key=lambda p: -p[1])
+
+
+def test_a_page_is_sorted_once_for_its_lines(spark):
+    # a page of an unnamed document, one of a named one, and a glyph that shows nothing but opens a line
+    rows = [(None, 0, 0, "one", 10.0, 90.0, 15.0, 10.0), (None, 0, 1, "two", 40.0, 90.0, 15.0, 10.0), (None, 0, 2, "three", 10.0, 70.0, 25.0, 10.0)]
+    rows += [(4, 0, 0, " ", 10.0, 90.0, 15.0, 10.0), (4, 0, 1, "four", 10.0, 60.0, 20.0, 12.0), (4, 0, 2, "five", 33.0, 60.0, 20.0, 10.0)]
+    found = page_lines(spark.createDataFrame(rows, "doc_id int, page_no int, glyph_no int, str string, x double, y double, width double, size double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Window" not in plan and "Aggregate" not in plan
+    got = {(r.doc_id, r.line_no): (r.text, r.font_size, r.x_end, [(t.token_no, t.text) for t in r.tokens]) for r in found.collect()}
+    assert got == {
+        (None, 0): ("one two", 10.0, 55.0, [(0, "one"), (1, "two")]), (None, 1): ("three", 10.0, 35.0, [(0, "three")]),
+        (4, 1): ("four five", 12.0, 53.0, [(0, "four five")]),
+    }
