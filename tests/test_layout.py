@@ -1,9 +1,12 @@
 """Literal pages through the whole layout path."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from leafline.catalog.fixtures import order_glyphs
 from leafline.operators.draws import ruling_segments
 from leafline.operators.lines import cluster_lines, lines, page_lines, text_runs
+from leafline.operators.tables import column_alignments, header_rows, segment_region, table_cells, table_columns
 from leafline.plans.reconstruct import reconstruct
 from leafline.sources.items import read_ocr_words
 
@@ -177,3 +180,17 @@ def test_a_page_is_sorted_once_for_its_lines(spark):
         (None, 0): ("one two", 10.0, 55.0, [(0, "one"), (1, "two")]), (None, 1): ("three", 10.0, 35.0, [(0, "three")]),
         (4, 1): ("four five", 12.0, 53.0, [(0, "four five")]),
     }
+
+
+def test_headers_and_alignments_read_the_lines_once(spark):
+    seg = segment_region(page_lines(order_glyphs(spark, "/root/testdata/sf0.001")))
+    group = ["doc_id", "page_no", "segment_no"]
+    columns = table_columns(seg)
+    plan = columns._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    cells = table_cells(seg)
+    heads = header_rows(cells, seg.where("is_table").groupBy(*group).agg(F.min_by("bold", "line_no").alias("bold")), group)
+    want = column_alignments(cells, heads, group).join(heads, group)
+    order = [*group, "col", "header_rows", "alignment"]
+    got = sorted(tuple(r) for r in columns.select(order).collect())
+    assert got and got == sorted(tuple(r) for r in want.select(order).collect())
