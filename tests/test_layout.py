@@ -187,10 +187,16 @@ def test_headers_and_alignments_read_the_lines_once(spark):
     group = ["doc_id", "page_no", "segment_no"]
     columns = table_columns(seg)
     plan = columns._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert plan.count("MapInArrow") == seg._jdf.queryExecution().executedPlan().toString().count("MapInArrow") and "Join" not in plan
     cells = table_cells(seg)
     heads = header_rows(cells, seg.where("is_table").groupBy(*group).agg(F.min_by("bold", "line_no").alias("bold")), group)
     want = column_alignments(cells, heads, group).join(heads, group)
     order = [*group, "col", "header_rows", "alignment"]
     got = sorted(tuple(r) for r in columns.select(order).collect())
     assert got and got == sorted(tuple(r) for r in want.select(order).collect())
+
+
+def test_regions_are_segmented_in_one_sorted_pass(spark):
+    seg = segment_region(page_lines(order_glyphs(spark, "/root/testdata/sf0.001")))
+    plan = seg._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "collect_list" not in plan
