@@ -96,18 +96,19 @@ glyphs AS (
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their words as one array."""
     return table(spark, sf, "documents").select(
-        "doc_id", F.filter(F.split("text", "[ \n]"), lambda w: w != "").alias("ws")
+        "doc_id", F.array_remove(F.split("text", "[ \n]"), "").alias("ws")
     )
 
 
 def _placed_words(spark: SparkSession, sf: str, per_line: int | Column) -> DataFrame:
-    def place(w, n):
-        line = F.floor(n / per_line).cast("int")
-        before = F.slice(F.col("ws"), line * per_line + 1, n % per_line)
-        lead = F.aggregate(before, F.lit(0), lambda a, v: a + F.length(v) + 1)
-        return F.struct(w.alias("word"), n.alias("n"), line.alias("ln"), lead.alias("lead"))
-
-    return words(spark, sf).select("doc_id", F.inline(F.transform("ws", place)))
+    """Words with their number, line, and the characters before them on that line; a line is cut once, then taken apart."""
+    per = F.lit(per_line) if isinstance(per_line, int) else per_line
+    last = F.floor((F.size("ws") - 1) / per).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(F.col("ws"), i * per + 1, per))
+    lines = words(spark, sf).select("doc_id", F.posexplode_outer(F.when(F.size("ws") > 0, cut)).alias("ln", "_line"))
+    placed = lines.select("doc_id", "ln", "_line", F.posexplode_outer("_line").alias("_i", "word")).where(F.col("word").isNotNull())
+    lead = F.length(F.array_join(F.slice("_line", F.lit(1), F.col("_i")), " ")) + F.when(F.col("_i") > 0, 1).otherwise(0)
+    return placed.select("doc_id", "word", (F.col("ln") * per + F.col("_i")).alias("n"), "ln", lead.alias("lead"))
 
 
 def prose_glyphs(spark: SparkSession, sf: str) -> DataFrame:
