@@ -44,7 +44,8 @@ def read_text_items(items: DataFrame, styles: DataFrame | None = None) -> DataFr
     (doc_id, font_name, family, bold, italic). Items without text, with a short
     transform or without a finite position are dropped.
     """
-    i = items.select(*PAGE, "glyph_no", F.from_json("item", ITEM_SCHEMA).alias("_i")).select(*PAGE, "glyph_no", "_i.*")
+    # as a generator's rows: a filter below would read the JSON again for each of its conditions
+    i = items.select(*PAGE, "glyph_no", F.inline_outer(F.array(F.from_json("item", ITEM_SCHEMA))))
     t = F.col("transform")
 
     def number(k):

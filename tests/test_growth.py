@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafline.catalog import fixtures as fx
+from leafline.sources.items import read_text_items
 
 
 def plan(df) -> str:
@@ -26,3 +27,10 @@ def test_placed_words_cut_each_line_once(spark, tmp_path):
                 line = n // per
                 expected[doc_id, n] = (w, line, sum(len(v) + 1 for v in ws[line * per:n]))
         assert got == expected
+
+
+def test_an_item_is_read_from_its_json_once(spark):
+    item = '{"str":"a","width":2.0,"height":3.0,"transform":[1,0,0,1,5,6],"fontName":"F"}'
+    glyphs = read_text_items(spark.createDataFrame([(1, 0, 0, item), (1, 0, 1, "{}"), (1, 0, 2, None)], "doc_id bigint, page_no int, glyph_no int, item string"))
+    assert [(r.glyph_no, r.str, r.x, r.y) for r in glyphs.collect()] == [(0, "a", 5.0, 6.0)]
+    assert plan(glyphs).count("from_json") == 1
