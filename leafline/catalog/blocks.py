@@ -387,12 +387,15 @@ def s3(spark, sf):
         (F.col("x") * 2).alias("x0"), ((792 - F.col("y") - 10) * 2).alias("y0"), ((F.col("x") + F.col("width")) * 2).alias("x1"), ((792 - F.col("y")) * 2).alias("y1"),
         (F.col("doc_id") % 10 != 3).alias("is_ltr"), F.lit("").alias("font_name"),
     )
-    ls = g.groupBy("doc_id", "page_no", "line_no").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("glyph_no", "str"))), lambda s: s["str"]), " ").alias("line")
+    ws = F.sort_array(F.collect_list(F.struct("glyph_no", "line_no", "str")))
+
+    def printed(w, i):
+        before = F.get(F.col("_ws"), i - 1)["line_no"]
+        return F.concat(F.when(i == 0, "").when(before == w["line_no"], " ").otherwise("\r\n"), w["str"])
+
+    pages = g.groupBy("doc_id", "page_no").agg(ws.alias("_ws")).select(
+        "doc_id", "page_no", F.array_join(F.transform("_ws", printed), "").alias("raw_text"), F.lit(792.0).alias("height"), F.lit(2.0).alias("scale")
     )
-    pages = ls.groupBy("doc_id", "page_no").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\r\n").alias("raw_text")
-    ).withColumns({"height": F.lit(792.0), "scale": F.lit(2.0)})
     return N.read_ocr_words(words, pages)
 
 

@@ -89,19 +89,24 @@ def read_ocr_words(ocr_words: DataFrame, ocr_pages: DataFrame) -> DataFrame:
     pages = ocr_pages.select(*PAGE, F.col("height").alias("_h"), F.greatest(F.lit(0.1), "scale").alias("_s"), "raw_text")
     word = trim_all(F.col("text"))
     kept = ocr_words.where((word != "") & (F.col("confidence") >= 25)).withColumn("str", word)
-    line = Window.partitionBy(*PAGE, "para_no", "line_no").orderBy("word_no")
-    kept = kept.withColumn("eol", F.lead("word_no").over(line).isNull())
+    # lines and pages in one sort of a page
+    at = F.struct("para_no", "line_no", "word_no")
+    page = Window.partitionBy(*PAGE).orderBy("_at")
+    line = F.struct("para_no", "line_no")
+    kept = kept.withColumn("_at", at)
+    kept = kept.withColumns({
+        "eol": ~F.coalesce(F.lead(line).over(page).eqNullSafe(line), F.lit(False)) | F.lead("word_no").over(page).isNull(),
+        "glyph_no": (F.row_number().over(page) - 1).cast("int"),
+    })
     s = F.col("_s")
     tall = F.greatest(F.lit(1.0), (F.col("y1") - F.col("y0")) / s)
     glyphs = kept.join(pages.drop("raw_text"), list(PAGE)).select(
-        *PAGE, F.struct("para_no", "line_no", "word_no").alias("_at"), "str", (F.col("x0") / s).alias("x"),
+        *PAGE, "str", (F.col("x0") / s).alias("x"),
         (F.col("_h") - F.col("y1") / s).alias("y"), F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) / s).alias("width"),
         F.greatest(F.lit(7.0), F.least(F.lit(42.0), tall * 0.82)).alias("size"), "eol",
         F.when(F.coalesce("font_name", F.lit("")) == "", "Arial").otherwise(F.col("font_name")).alias("font_family"),
-        (~F.coalesce("is_ltr", F.lit(True))).alias("rtl"),
+        (~F.coalesce("is_ltr", F.lit(True))).alias("rtl"), "glyph_no",
     )
-    order = Window.partitionBy(*PAGE).orderBy("_at")
-    glyphs = glyphs.withColumn("glyph_no", (F.row_number().over(order) - 1).cast("int")).drop("_at")
     bare = pages.join(kept.select(*PAGE).distinct(), list(PAGE), "left_anti")
     raw_lines = F.filter(F.transform(F.split("raw_text", "\r?\n"), trim_all), lambda t: t != "")
     fallback = bare.select(*PAGE, "_h", F.posexplode(raw_lines).alias("glyph_no", "str")).select(

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafline.catalog import fixtures as fx
-from leafline.sources.items import read_text_items
+from leafline.sources.items import read_ocr_words, read_text_items
 
 
 def plan(df) -> str:
@@ -34,3 +34,16 @@ def test_an_item_is_read_from_its_json_once(spark):
     glyphs = read_text_items(spark.createDataFrame([(1, 0, 0, item), (1, 0, 1, "{}"), (1, 0, 2, None)], "doc_id bigint, page_no int, glyph_no int, item string"))
     assert [(r.glyph_no, r.str, r.x, r.y) for r in glyphs.collect()] == [(0, "a", 5.0, 6.0)]
     assert plan(glyphs).count("from_json") == 1
+
+
+def test_words_of_a_page_are_sorted_once(spark):
+    words = [(1, 0, n // 5, n // 3, n, f" w{n} ", 90.0, 0.0, 0.0, 9.0, 9.0, True, "") for n in range(7)]
+    words = spark.createDataFrame(
+        words, "doc_id bigint, page_no int, para_no int, line_no int, word_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, is_ltr boolean, font_name string"
+    )
+    pages = spark.createDataFrame([(1, 0, 100.0, 1.0, "x"), (1, 1, 100.0, 1.0, "a\r\nb")], "doc_id bigint, page_no int, height double, scale double, raw_text string")
+    glyphs = read_ocr_words(words, pages)
+    assert plan(glyphs).count("Window [") == 1
+    got = sorted((r.page_no, r.glyph_no, r.str, r.eol) for r in glyphs.collect())
+    ends = {2, 4, 5, 6}
+    assert got == [(0, n, f"w{n}", n in ends) for n in range(7)] + [(1, 0, "a", True), (1, 1, "b", True)]
