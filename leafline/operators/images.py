@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions.text import js_round
+from leafline.runtime import cut_lineage
 
 # Target resolution of each compression level, in dots per inch.
 LEVEL_DPI = {"keep": 200, "balanced": 150}
 
 SAMPLES = 40_000
 MIN_COLOURS = 96
+BROADCAST = 1 << 16  # counted groups up to which their steps are broadcast
 
 
 def exclude_masks(images: DataFrame) -> DataFrame:
@@ -90,17 +93,24 @@ def otsu_threshold(df: DataFrame, group: Sequence[str], value: str) -> DataFrame
 def few_distinct(df: DataFrame, group: Sequence[str], value: str, ord_: str) -> DataFrame:
     """A10: does a systematic sample of the group hold under 96 distinct values?
 
-    ``ord_`` is a dense 0-based index in the group. Counts and sampled values
-    both combine before their shuffle.
+    ``ord_`` is a dense 0-based index in the group. Rows are counted by group
+    and value before their shuffle; that decides every group that is sampled
+    whole. Only the rows of longer groups are read again for their sample.
     """
     group = list(group)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / SAMPLES)).cast("int")
-    sampled = df.select(*group, value, ord_).join(sizes.withColumn("_step", step), group).where(
-        F.col(ord_) % F.col("_step") == 0
-    )
-    distinct = sampled.select(*group, value).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("colours"))
-    return distinct.select(*group, (F.col("colours") < MIN_COLOURS).alias("few_colours"))
+    values = cut_lineage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_rows")))
+    found = values.groupBy(*group).agg(F.sum("_rows").alias("_n"), F.count(F.lit(1)).alias("colours"))
+    step = F.floor(F.col("_n") / SAMPLES).cast("int")
+    whole = found.where(step <= 1).select(*group, "colours")
+    keys = [f"_{c}" for c in group]
+    longer = found.where(step > 1).select(*[F.col(c).alias(k) for c, k in zip(group, keys)], step.alias("_step"))
+    few = longer.count()
+    if few:
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(group, keys)])
+        sampled = df.select(*group, value, ord_).join(F.broadcast(longer) if few <= BROADCAST else longer, same)
+        sampled = sampled.where(F.col(ord_) % F.col("_step") == 0).select(*group, value).distinct()
+        whole = whole.unionByName(sampled.groupBy(*group).agg(F.count(F.lit(1)).alias("colours")))
+    return whole.select(*group, (F.col("colours") < MIN_COLOURS).alias("few_colours"))
 
 
 def keep_smaller_images(candidates: DataFrame, gain: float = 0.9) -> DataFrame:

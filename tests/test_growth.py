@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafline.catalog import fixtures as fx
+from leafline.operators.images import few_distinct
 from leafline.sources.items import read_ocr_words, read_text_items
 
 
@@ -13,6 +14,20 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_groups_sampled_whole_are_counted_without_a_join(spark):
+    short = spark.createDataFrame([(g, i, str(i % n)) for g, n in ((1, 95), (2, 96)) for i in range(200)], "g int, i int, v string")
+    few = few_distinct(short, ["g"], "v", "i")
+    assert "Join" not in plan(few)
+    assert dict(few.collect()) == {1: True, 2: False}
+
+
+def test_longer_groups_are_sampled(spark):
+    # 90,000 rows are sampled at every second one, which holds 50 of the 100 values
+    rows = spark.range(90_000).selectExpr("1 AS g", "cast(id AS int) AS i", "cast(id % 100 AS string) AS v")
+    more = rows.unionByName(spark.range(300).selectExpr("2 AS g", "cast(id AS int) AS i", "cast(id AS string) AS v"))
+    assert dict(few_distinct(more, ["g"], "v", "i").collect()) == {1: True, 2: False}
+
+
 def test_placed_words_cut_each_line_once(spark, tmp_path):
     text = "aé b\n\n ccc dd  e f g h i jj k " * 60
     spark.createDataFrame([(3, text), (4, None), (5, "  "), (6, "x")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
