@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from leafline.llm import arrays as A
 from leafline.llm.components import components
-from leafline.llm.spread import keep, small_batches
+from leafline.llm.spread import freed_shuffles, keep, small_batches
 
 COORDINATES = 64
 MATCH = 32
@@ -233,11 +233,12 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
     wanted = held.select("node").join(nodes, "node").select("node", "doc_id")
     texts = docs.join(wanted.select("doc_id"), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = keep(texts.mapInArrow(_sets(k), "node long, shingles binary, size long, histogram binary").filter("octet_length(shingles) > 0").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    near = sets  # the sets of nodes that lists of many open nodes still hold
     found: list[DataFrame] = []
     pending: list[DataFrame] = []  # pairs that are compared together, once their links are asked for
     enough, tried, deals = SHORT * nodes.count(), False, 0
     while True:
-        members = _members(held)
+        members = keep(_members(held))
         load = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("o")).filter("n > 1 AND o > 0")
         n_pairs = F.least(F.col("n") * F.col("n"), F.col("o") * F.col("n"))
         load = keep(load.select("key", (F.col("o") <= SHORT).alias("short"), n_pairs.alias("n_pairs")))
@@ -255,21 +256,24 @@ def links(described: DataFrame, docs: DataFrame, k: int, percent: int, match: in
             some = x if parts == 1 else x.filter(F.pmod(F.xxhash64("x"), F.lit(parts)) == part)
             pending.append(some.join(y, "key").filter("x < y OR (x > y AND NOT y_open)").select("x", "y"))
             if parts > 1:
-                _settle(pending, found, sets, percent)
+                _settle(pending, found, near if deals > 1 else sets, percent)
         if last:
-            _settle(pending, found, sets, percent)
+            _settle(pending, found, near if deals > 1 else sets, percent)
             break
         many_open = load.filter("NOT short").select("key")
         if not tried:
             # members of long lists that share too little with all others go, and the lists are looked at again
             tried = True
-            held = keep(held.join(_may_link(keep(members.join(many_open, "key").select("node").distinct()), sets, percent), "node"))
+            able = _may_link(keep(members.join(many_open, "key").select("node").distinct()), sets, percent)
+            held = keep(held.join(able, "node"))
+            # leaders are of the nodes that are held, and all that is dealt anew is of these lists
+            near = keep(sets.join(able, "node", "left_semi"))
             continue
         # the others: each member with the list's leader, of all nodes that have the key
         all_posts = held.select("node", "weight", F.explode("p.key").alias("key")).join(many_open, "key")
         leaders = all_posts.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("y"))
         pairs = members.join(many_open, "key").join(leaders, "key").filter("node != y").select(F.col("node").alias("x"), "y").distinct()
-        judged = keep(compare(pairs, sets).withColumn("linked", _linked(percent)))
+        judged = keep(compare(pairs, near).withColumn("linked", _linked(percent)))
         found.append(judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
         if deals:
             _settle(pending, found, sets, percent)
@@ -334,7 +338,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     described = keep(docs.mapInArrow(_describe(shingle, coordinates), "doc_id long, n_shingles long, node long, keys array<long>"))
-    roots = components(links(described, docs, shingle, percent, match))
+    with freed_shuffles(docs.sparkSession):
+        roots = components(links(described, docs, shingle, percent, match))
     least = described.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     classes = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = classes.groupBy("root").agg(F.min("first").alias("component_id"))

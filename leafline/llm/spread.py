@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,23 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Spark removes the shuffle files of every query that has ended.
+
+    For operators of many rounds: each of them writes its result with ``keep``,
+    so the files that led to it would only fill the disks until the driver
+    happens to collect its garbage.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def profile(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[list[int], int]:
     """Boundaries of the blocks (increasing doc_ids) and the bytes of all texts, by one aggregation."""
     spark = docs.sparkSession

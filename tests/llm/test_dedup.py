@@ -104,3 +104,34 @@ def test_near_duplicates_around_a_hub(spark, monkeypatch, short):
     rows = hub_rows(11, 150)
     got = minhash.near_duplicates(spark.createDataFrame(rows, brute.SCHEMA), 4).select("doc_id", "n_shingles", "component_id").collect()
     assert bag(got) == bag(brute.near(rows, 4))
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    # the files of every round stayed until the driver collected its garbage
+    import glob
+    import time
+
+    from leafline.llm.spread import freed_shuffles, keep
+
+    def files():
+        return set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*"))
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting, None)
+    with freed_shuffles(spark):
+        counts = keep(spark.range(10_000).selectExpr("id % 100 AS k").groupBy("k").count())
+        assert counts.count() == 100
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(setting, None) == was
+
+
+def test_rounds_run_with_freed_shuffles(spark, docs, monkeypatch):
+    seen = []
+    links = minhash.links
+    monkeypatch.setattr(minhash, "links", lambda described, *rest: seen.append(described.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) or links(described, *rest))
+    minhash.near_duplicates(docs, shingle=4)
+    assert seen == ["true"]
