@@ -136,6 +136,15 @@ def test_flow_lines_match_brute_force(spark):
     assert got == {i: wrap(t, 60.0, 10.0, metrics) for i, t in enumerate(texts)}
 
 
+def test_flow_lines_of_unknown_width_keep_their_last_line(spark):
+    rows = [(1, 0, "x\na b ", 10.0, None), (1, 1, None, 10.0, 60.0), (1, 2, "x\na b ", None, 60.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, para_no int, text string, size double, room double")
+    got = sorted(map(tuple, flow_lines(df, F.col("room")).collect()), key=lambda r: (r[1], r[2] or 0))
+    assert got == [
+        (1, 0, 0, "x", 5.0), (1, 0, 1, "a b ", 20.0), (1, 1, None, None, None), (1, 2, 0, "x", None), (1, 2, 1, "a b ", None),
+    ]
+
+
 def pages_of(blocks, top, bottom):
     """Paging written over a whole document in memory."""
     out, page, y, ink = [], -1, 0.0, -1
