@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafline.catalog import fixtures as fx
+from leafline.operators.columns import split_columns
 from leafline.operators.images import few_distinct
 from leafline.sources.items import read_ocr_words, read_text_items
 
@@ -62,3 +63,20 @@ def test_words_of_a_page_are_sorted_once(spark):
     got = sorted((r.page_no, r.glyph_no, r.str, r.eol) for r in glyphs.collect())
     ends = {2, 4, 5, 6}
     assert got == [(0, n, f"w{n}", n in ends) for n in range(7)] + [(1, 0, "a", True), (1, 1, "b", True)]
+
+
+def test_a_page_is_split_in_one_pass(spark):
+    # eight lines a side; the left and right lines of page 0 share no baseline, those of page 1 do and are short
+    rows = [(1, p, n, "word" * 8 if p == 0 else "word", 72.0 + 260 * (n % 2), 700.0 - 14 * (n // 2) - (7 * (n % 2) if p == 0 else 0), 160.0, 10.0) for p in (0, 1, 2) for n in range(16)]
+    rows += [(1, 0, 90, "Title", 72.0, 760.0, 400.0, 14.0), (1, 0, 91, "both", 238.0, 500.0, 4.0, 10.0), (1, 0, 92, " ", 72.0, 10.0, 4.0, 10.0), (1, 0, 93, "lost", None, 600.0, 4.0, 10.0)]
+    glyphs = spark.createDataFrame(rows, "doc_id bigint, page_no int, glyph_no int, str string, x double, y double, width double, size double")
+    pages = spark.createDataFrame([(1, 0, 612.0), (1, 1, 612.0), (1, 2, 150.0), (1, 3, 612.0)], "doc_id bigint, page_no int, width double")
+    split = split_columns(glyphs.where("glyph_no <> 93"), pages)
+    shown = plan(split)
+    assert shown.count("Exchange") == 1 and "aggregate(" not in shown and "Join" not in shown
+    got = {(r.page_no, r.glyph_no, r.region, r.split_x is None) for r in split.collect()}
+    expected = {(0, n, 2 + n % 2, False) for n in range(16)} | {(0, 90, 1, False)} | {(p, n, 0, True) for p in (1, 2) for n in range(16)}
+    assert {g for g in got if g[1] != 91} == expected
+    assert {g[2] for g in got if g[1] == 91} <= {1, 2, 3}
+    # a glyph without a place touches every bin, but one alone crowds none; it goes with no side
+    assert {(r.page_no, r.glyph_no) for r in split_columns(glyphs, pages).where("page_no = 0").collect()} >= {(0, 90)}
