@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafline.catalog import fixtures as fx
 from leafline.operators.columns import split_columns
 from leafline.operators.images import few_distinct
+from leafline.operators.paragraphs import list_ids, list_items, paragraph_lines, paragraphs
 from leafline.sources.items import read_ocr_words, read_text_items
 
 
@@ -80,3 +81,22 @@ def test_a_page_is_split_in_one_pass(spark):
     assert {g[2] for g in got if g[1] == 91} <= {1, 2, 3}
     # a glyph without a place touches every bin, but one alone crowds none; it goes with no side
     assert {(r.page_no, r.glyph_no) for r in split_columns(glyphs, pages).where("page_no = 0").collect()} >= {(0, 90)}
+
+
+def test_a_region_is_walked_in_one_pass(spark):
+    texts = ["1. one", "more", "2. two", "plain", "plain", "• dot", "3. three", "1. again"]
+    ys = [700.0, 688.0, 676.0, 640.0, 628.0, 616.0, 604.0, 592.0]
+    xs = [72.0, 80.0, 72.0, 72.0, 72.0, 72.0, 72.0, None]
+    rows = [(1, p, n, t, x, 300.0, y, 11.0, 10.0, False, False, False, 612.0) for p in (0, 1) for n, (t, x, y) in enumerate(zip(texts, xs, ys))]
+    lines = spark.createDataFrame(
+        rows, "doc_id bigint, page_no int, line_no int, text string, x double, x_end double, y double, height double, font_size double, "
+        "bold boolean, italic boolean, rtl boolean, page_width double"
+    )
+    walked = paragraph_lines(lines)
+    assert plan(walked).count("Exchange") == 1 and "aggregate(" not in plan(walked) and "Window" not in plan(walked)
+    got = sorted((r.page_no, r.line_no, r.para_no, r.list_seq, r.opens) for r in walked.collect())
+    one = [(0, 0, 1, True), (1, 0, 1, False), (2, 1, 1, True), (3, 2, None, True), (4, 2, None, False), (5, 3, 2, True), (6, 4, 3, True), (7, 5, 4, True)]
+    assert got == [(p, *line) for p in (0, 1) for line in one]
+    ids = sorted((r.page_no, r.list_seq, r.list_kind, r.list_id, r.start) for r in list_ids(list_items(lines)).collect())
+    assert ids == [(p, s, k, 4 * p + s, b) for p in (0, 1) for s, k, b in ((1, "number", 1), (2, "bullet", 1), (3, "number", 3), (4, "number", 1))]
+    assert ids == sorted((r.page_no, r.list_seq, r.list_kind, r.list_id, r.start) for r in list_ids(paragraphs(lines)).collect())
