@@ -9,6 +9,7 @@ from leafline.catalog import fixtures as fx
 from leafline.operators.columns import split_columns
 from leafline.operators.images import few_distinct
 from leafline.operators.paragraphs import list_ids, list_items, paragraph_lines, paragraphs
+from leafline.operators.tables import grid_cells, ruled_cells, ruled_grids
 from leafline.sources.items import read_ocr_words, read_text_items
 
 
@@ -100,3 +101,23 @@ def test_a_region_is_walked_in_one_pass(spark):
     ids = sorted((r.page_no, r.list_seq, r.list_kind, r.list_id, r.start) for r in list_ids(list_items(lines)).collect())
     assert ids == [(p, s, k, 4 * p + s, b) for p in (0, 1) for s, k, b in ((1, "number", 1), (2, "bullet", 1), (3, "number", 3), (4, "number", 1))]
     assert ids == sorted((r.page_no, r.list_seq, r.list_kind, r.list_id, r.start) for r in list_ids(paragraphs(lines)).collect())
+
+
+def test_a_ruled_page_is_read_in_one_pass(spark):
+    def page(p, columns, lowest):
+        xs, ys = [50.0 + 60 * i for i in range(columns + 1)], [700.0, 680.0, 660.0]
+        return [(1, p, x, lowest, x + 0.5, 700.0) for x in xs] + [(1, p, xs[0], y, xs[-1] + 0.5, y) for y in ys] + [(1, p, xs[0], 679.0, xs[-1] + 0.5, 679.0)]
+
+    # page 0 is a grid, the lines of page 1 end above its bottom, page 2 has a glyph over a line, page 3 has too few glyphs
+    rulings = page(0, 2, 660.0) + page(1, 2, 670.0) + page(2, 2, 660.0) + page(3, 2, 660.0) + [(1, 0, 10.0, 10.0, 14.0, 200.0), (1, 0, None, 1.0, 90.0, 1.0)]
+    glyphs = [(1, p, n, t, x, y, 10.0, 5.0) for p in (0, 1, 2) for n, (t, x, y) in enumerate([("b", 70.0, 690.0), ("a", 55.0, 690.0), ("c", 55.0, 683.0), ("d", 120.0, 690.0), (",", 131.0, 690.0), ("e", 120.0, 670.0), ("out", 10.0, 10.0), (" ", 55.0, 670.0)])]
+    glyphs += [(1, 2, 20, "wide", 100.0, 690.0, 20.0, 5.0), (1, 3, 0, "x", 55.0, 690.0, 10.0, 5.0)]
+    glyphs = spark.createDataFrame(glyphs, "doc_id bigint, page_no int, glyph_no int, str string, x double, y double, width double, size double")
+    rulings = spark.createDataFrame(rulings, "doc_id bigint, page_no int, x1 double, y1 double, x2 double, y2 double")
+    cells, gridded = ruled_cells(glyphs, rulings), ruled_grids(glyphs, rulings)
+    for df in (cells, gridded):
+        assert plan(df).count("Exchange") == 1 and "Join" not in plan(df) and "Window" not in plan(df) and "aggregate(" not in plan(df)
+    expected = [(0, 0, 0, "a b\nc"), (0, 0, 1, "d,"), (0, 1, 1, "e")]
+    assert sorted((r.page_no, r.row, r.col, r.text) for r in cells.collect()) == expected
+    assert sorted((r.page_no, r.row, r.col, r.text) for r in grid_cells(gridded).collect()) == expected
+    assert {(tuple(r.xs), tuple(r.ys)) for r in gridded.collect()} == {((50.25, 110.25, 170.25), (700.0, 679.5, 660.0))}
