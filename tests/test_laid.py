@@ -10,9 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafline.catalog import fixtures as fx
+from leafline.operators.columns import split_columns
 from leafline.operators.lines import page_lines
-from leafline.operators.ordering import arranged, gather, laid, laid_by, page_pass, still
+from leafline.operators.ordering import arranged, cut_packed, gather, laid, laid_by, page_pass, still
+from leafline.operators.paragraphs import paragraphs
 from leafline.operators.tables import segment_region, table_cells
+from leafline.plans.reconstruct import reconstruct
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +89,63 @@ def test_wrapped_cells_keep_the_order_of_their_lines(spark):
     got = {(r.row_no, r.col): r.text for r in table_cells(seg).collect()}
     assert got == {(r.row_no, r.col): r.text for r in table_cells(free(seg)).collect()}
     assert got[1, 0] == "long\nname\nmore"
+
+
+def test_pages_ride_with_their_glyphs(spark):
+    glyphs = fx.column_glyphs(spark, SF)
+    pages = fx.pages_like(fx.column_titles(spark, SF)).where("doc_id % 7 <> 0 OR page_no > 0")
+    pages = pages.withColumn("width", F.when(F.col("doc_id") % 5 == 0, 150.0).otherwise(F.col("width")))
+    split = split_columns(glyphs, pages, paged=True)
+    # pages to their document, documents before they are taken apart
+    assert laid_by(split) == ("doc_id",) and plan(split).count("Exchange") == plan(pages).count("Exchange") + 2
+    other = split_columns(free(glyphs), pages, paged=True)
+    assert laid_by(other) == ("doc_id", "page_no")
+    names = split.columns
+    assert {r.paged for r in split.select("paged").distinct().collect()} == {True, False}
+    assert bag(split, *names) == bag(other, *names)
+
+
+def test_rows_dealt_otherwise_are_shuffled(spark):
+    rows = gather(spark.range(50).selectExpr("id % 5 AS k", "id AS n"), ["k"])
+    moved = laid(rows.coalesce(1), ["k"])
+    few = spark.range(5).selectExpr("id AS k", "-1L AS n")
+
+    def count(table, bounds):
+        yield pa.RecordBatch.from_pydict({"n": pa.array(np.diff(np.append(bounds[bounds < table.num_rows], table.num_rows)), pa.int64())})
+
+    for df in (rows, moved):
+        assert [r.n for r in page_pass(df, ["k"], [("n", False)], count, "n bigint", few).collect()] == [11] * 5
+
+
+def test_packed_rows_lie_as_they_did(spark):
+    glyphs = fx.order_glyphs(spark, SF)
+    packed = cut_packed(glyphs)
+    assert laid_by(packed) == ("doc_id",) and bag(packed, *glyphs.columns) == bag(glyphs, *glyphs.columns)
+    cells, want = (table_cells(segment_region(page_lines(g))) for g in (packed, glyphs))
+    assert "Exchange" not in plan(cells) and bag(cells, *cells.columns) == bag(want, *want.columns)
+
+
+def test_a_page_of_columns_is_moved_by_its_words_and_blocks_only(spark):
+    built = reconstruct(fx.column_glyphs(spark, SF), fx.pages_like(fx.column_titles(spark, SF)))
+    # texts: blocks to their page, and those at its top level once more
+    assert plan(built.blocks).count("collect_list") == 0
+    assert spark.sparkContext.getCheckpointDir() is not None
+    assert laid_by(fx.column_glyphs(spark, SF)) == ("doc_id",)
+
+
+def test_paragraphs_are_joined_where_their_lines_are(spark):
+    rows = [
+        (1, 0, 0, "first line", 72.0, 172.0, 700.0, 11.0), (1, 0, 1, "second", 72.0, 150.0, 688.0, 11.0), (1, 0, 2, "1. item", 72.0, 150.0, 660.0, 11.0),
+        (1, 0, 3, "goes on", 84.0, 190.0, 648.0, 11.0), (1, 1, 0, "no place", None, math.nan, 700.0, 11.0), (None, 0, 0, None, 72.0, 80.0, 700.0, 11.0),
+    ]
+    lines = spark.createDataFrame(
+        [(*r, 10.0, False, False, False, 612.0) for r in rows],
+        "doc_id bigint, page_no int, line_no int, text string, x double, x_end double, y double, height double, font_size double, "
+        "bold boolean, italic boolean, rtl boolean, page_width double",
+    )
+    paras = paragraphs(lines)
+    assert plan(paras).count("Exchange") == 1
+    got = {(r.doc_id, r.page_no, r.para_no): (r.text, r.line_count, r.x, repr(r.x_end), r.bottom, r.list_kind, r.list_start, r.line_spacing) for r in paras.collect()}
+    assert got[1, 0, 0][:5] == ("first line\nsecond", 2, 72.0, "172.0", 688 - 2.75) and got[1, 0, 0][7] == 12.0
+    assert got[1, 0, 1][:7] == ("item\ngoes on", 2, 72.0, "190.0", 648 - 2.75, "number", 1)
+    assert got[1, 1, 0][:4] == ("no place", 1, None, "nan") and got[None, 0, 0][:2] == ("", 1)
