@@ -10,11 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafline.catalog import fixtures as fx
+from leafline.catalog.blocks import _grid_rulings
 from leafline.operators.columns import split_columns
 from leafline.operators.lines import page_lines
 from leafline.operators.ordering import arranged, cut_packed, gather, laid, laid_by, page_pass, still
 from leafline.operators.paragraphs import paragraphs
-from leafline.operators.tables import segment_region, table_cells
+from leafline.operators.tables import ruled_grids, segment_region, table_cells
 from leafline.plans.reconstruct import reconstruct
 
 SF = "/root/testdata/sf0.001"
@@ -149,3 +150,22 @@ def test_paragraphs_are_joined_where_their_lines_are(spark):
     assert got[1, 0, 0][:5] == ("first line\nsecond", 2, 72.0, "172.0", 688 - 2.75) and got[1, 0, 0][7] == 12.0
     assert got[1, 0, 1][:7] == ("item\ngoes on", 2, 72.0, "190.0", 648 - 2.75, "number", 1)
     assert got[1, 1, 0][:4] == ("no place", 1, None, "nan") and got[None, 0, 0][:2] == ("", 1)
+
+
+def test_rulings_and_pages_ride_with_the_glyphs_of_orders(spark):
+    glyphs, rulings = fx.order_glyphs(spark, SF), _grid_rulings(spark, SF).where("doc_id % 10 <> 3")
+    pages = fx.pages_like(fx.order_ids(spark, SF).withColumn("page_no", F.lit(0)))
+    assert bag(pages, "doc_id", "page_no", "width") == bag(fx.pages_like(glyphs), "doc_id", "page_no", "width")
+    some = pages.where("doc_id % 6 <> 0")
+    grids, other = (ruled_grids(g, rulings, doc_pages=some) for g in (glyphs, free(glyphs)))
+    assert laid_by(grids) == ("doc_id",) and laid_by(other) == ("doc_id", "page_no")
+    # lines of an order, its number for its rulings and for its page; no glyph
+    assert plan(grids).count("Exchange") == 3 and plan(other).count("Exchange") == 4
+    names = grids.columns
+    found = bag(grids, *names)
+    assert found == bag(other, *names) and len(found) == glyphs.count()
+    assert {tuple(r) for r in grids.selectExpr("xs IS NULL AS n", "paged").distinct().collect()} == {(a, b) for a in (True, False) for b in (True, False)}
+    alone = ruled_grids(glyphs, rulings)
+    assert bag(alone, *alone.columns) == bag(grids.where("xs IS NOT NULL"), *alone.columns)
+    split, want = split_columns(grids.drop("xs", "ys", "_shown", "row", "col"), None, paged=True), split_columns(glyphs, some, paged=True)
+    assert bag(split, *want.columns) == bag(want, *want.columns)
