@@ -13,7 +13,7 @@ from leafline.catalog import fixtures as fx
 from leafline.catalog.blocks import _grid_rulings
 from leafline.operators.columns import split_columns
 from leafline.operators.lines import page_lines
-from leafline.operators.ordering import arranged, cut_packed, gather, laid, laid_by, page_pass, still
+from leafline.operators.ordering import arranged, bundled, cut_packed, gather, laid, laid_by, page_pass, still, unbundled
 from leafline.operators.paragraphs import paragraphs
 from leafline.operators.tables import ruled_grids, segment_region, table_cells
 from leafline.plans.reconstruct import reconstruct
@@ -169,3 +169,15 @@ def test_rulings_and_pages_ride_with_the_glyphs_of_orders(spark):
     assert bag(alone, *alone.columns) == bag(grids.where("xs IS NOT NULL"), *alone.columns)
     split, want = split_columns(grids.drop("xs", "ys", "_shown", "row", "col"), None, paged=True), split_columns(glyphs, some, paged=True)
     assert bag(split, *want.columns) == bag(want, *want.columns)
+
+
+def test_cells_of_a_table_travel_as_one_row(spark):
+    cells = [(d, 0, 1, r, c, None if (r, c) == (1, 1) else f"{d} {r} {c}") for d in (1, None) for r in range(3) for c in range(2)]
+    df = spark.createDataFrame(cells, "doc_id bigint, page_no int, segment_no int, row_no int, col int, text string")
+    keys, fields = ["doc_id", "page_no", "segment_no"], ["row_no", "col", "text"]
+    packed = bundled(df, keys, fields)
+    assert packed.count() == 2 and bag(unbundled(packed, keys, fields), *df.columns) == bag(df, *df.columns)
+    glyphs = fx.order_glyphs(spark, SF)
+    pages = fx.pages_like(fx.order_ids(spark, SF).withColumn("page_no", F.lit(0)))
+    built = reconstruct(glyphs, pages, _grid_rulings(spark, SF)).cells
+    assert "arrays_zip" in plan(built) and built.count() == glyphs.count()
