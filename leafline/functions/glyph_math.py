@@ -189,6 +189,91 @@ def read_lines(table: pa.Table, bounds: np.ndarray, keys: list[str]) -> pa.Table
     })
 
 
+def _extreme_before(values: np.ndarray, null: np.ndarray, groups: np.ndarray, largest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Largest or least earlier value of the group and whether there is none; nulls are passed over, NaN is above all numbers."""
+    known, rank = np.unique(values, return_inverse=True)  # one NaN, at the end
+    rank = np.where(null, 0, rank + 1 if largest else len(known) - rank)
+    running = np.maximum.accumulate(groups * (len(known) + 1) + rank) - groups * (len(known) + 1)
+    before = np.append(0, running[:-1])
+    before[_firsts(groups)] = 0
+    return known[np.where(before == 0, 0, before - 1 if largest else len(known) - before)], before == 0
+
+
+def _known_spaces(table: pa.Table, group: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """The reading order if a group reads from right to left, and the glyphs with a space before them, as SQL has it for unknown places and sizes.
+
+    Rows come sorted by group, x, y descending, glyph_no.
+    """
+    first = _firsts(group)
+    lengths = np.diff(np.append(first, len(group)))
+    back = np.repeat(np.add.reduceat(np.nan_to_num(_floats(table, "rtl")), first) * 2 > lengths, lengths)
+    values = {c: _floats(table, c) for c in ("x", "y", "gw", "size")}
+    null = {c: table.column(c).is_null().to_numpy() for c in values}
+    order = None
+    if back.any():
+
+        def odd(c):
+            return np.where(null[c], -1, np.isnan(values[c]))
+
+        x, y = np.nan_to_num(values["x"]), np.nan_to_num(values["y"])
+        order = np.lexsort((table.column("glyph_no").to_numpy(), -y, -odd("y"), np.where(back, -x, x), odd("x"), group))
+        back = back[order]
+        values, null = {c: v[order] for c, v in values.items()}, {c: v[order] for c, v in null.items()}
+        table = table.combine_chunks().take(pa.array(order))
+    x, end, no_end = values["x"], values["x"] + values["gw"], null["x"] | null["gw"]
+    far, no_far = _extreme_before(end, no_end, group, True)
+    near, no_near = _extreme_before(x, null["x"], group, False)
+    gap = np.where(back, near - end, x - far)
+    none = np.where(back, no_near | no_end, null["x"] | no_far)
+    wide, tight = values["size"] * 0.32, values["gw"] / np.maximum(1, table.column("chars").to_numpy()) * 0.55
+    least = np.fmin(wide, tight)
+    unset = null["size"] & null["gw"]
+    least = np.where(unset, 0.8, np.maximum(0.8, least))
+    spaced = ~none & ((gap > least) | (np.isnan(gap) & ~np.isnan(least))) & ~table.column("closing").to_numpy().astype(bool)
+    spaced[first] = False
+    return order, spaced
+
+
+def style_runs(table: pa.Table, bounds: np.ndarray, keys: list[str]) -> pa.Table:
+    """Runs of alike style of each group of visible glyphs; rows come sorted by group, x, y descending, glyph_no."""
+    n = table.num_rows
+    first = bounds[bounds < n]
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    order, spaced = _known_spaces(table, group)
+    if order is not None:
+        table = table.combine_chunks().take(pa.array(order))
+    size, unset = _floats(table, "size"), table.column("size").is_null().to_numpy()
+    bold, italic = _known(table, "bold"), _known(table, "italic")
+    font = pc.fill_null(table.column("font_family").combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+    def same(values, at):
+        return values[at] == values[at - 1]
+
+    # neighbours of equal style, and of these islands the ones that may differ in size only
+    at = np.arange(1, n)
+    equal = same(size, at) | (np.isnan(size[at]) & np.isnan(size[at - 1]) & same(unset, at))
+    opens = np.append(True, ~(same(group, at) & equal & same(font, at) & same(bold, at) & same(italic, at)))
+    head = np.flatnonzero(opens)
+    at = head[1:]
+    near = same(group, at) & same(font, at) & same(bold, at) & same(italic, at) & (bold[at] >= 0) & (italic[at] >= 0)
+    near &= np.abs(size[at] - size[at - 1]) < 0.3
+    opened, sizes = list(range(len(head))), size[head]
+    for i in (np.flatnonzero(near) + 1).tolist():
+        if abs(sizes[opened[i - 1]] - sizes[i]) < 0.15:
+            opened[i] = opened[i - 1]
+    run = head[np.array(opened, np.int64) == np.arange(len(head))]
+    per_group = np.searchsorted(run, first)
+    number = np.arange(len(run)) - per_group[group[run]]
+    pieces = pc.binary_join_element_wise(pc.if_else(pa.array(spaced), " ", ""), table.column("value").combine_chunks(), "")
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(run, n), pa.int32()), pieces), "")
+    rows = pa.array(run)
+    out = {c: table.column(c).combine_chunks().take(rows) for c in [*keys, "size", "font_family", "bold", "italic"]}
+    return pa.table({
+        **{k: out[k] for k in keys}, "run_no": pa.array(number, pa.int32()), "text": texts, "font_size": out["size"],
+        "font_family": out["font_family"], "bold": out["bold"], "italic": out["italic"],
+    })
+
+
 def _anchors(x: np.ndarray, line: np.ndarray, page: np.ndarray, pages: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
     """Mean x of every group of tokens that two lines share, page by page, and where each page's begin."""
     order = np.lexsort((line, x, page))

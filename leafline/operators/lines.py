@@ -116,49 +116,22 @@ def row_text(glyphs: DataFrame, group: Sequence[str] = (*PAGE, "line_no")) -> Da
 def text_runs(glyphs: DataFrame, group: Sequence[str] = (*PAGE, "line_no")) -> DataFrame:
     """Styled runs of each group in reading order.
 
-    Neighbours of exactly equal style are merged by a window; what is left is
-    folded, because a run keeps the size of its first glyph for comparison.
+    Neighbours of exactly equal style are merged at once; what is left is
+    walked, because a run keeps the size of its first glyph for comparison.
     """
     group = list(group)
-    g = _pieces(visible(with_glyph_defaults(glyphs)), group, "")
-    style = ["size", "font_family", "bold", "italic"]
-    w = Window.partitionBy(*group).orderBy("_pos")
-    changed = F.lit(False)
-    for c in style:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    g = g.withColumn("_changed", changed).withColumn("_island", F.sum(F.col("_changed").cast("int")).over(w))
-    islands = g.groupBy(*group, "_island", *style).agg(_join_pieces("_pos", "_piece").alias("text"))
-    sequence = F.sort_array(F.collect_list(F.struct("_island", "text", *style)))
-
-    def step(runs, s):
-        last = F.element_at(runs, -1)
-        alike = (
-            (F.size(runs) > 0)
-            & (F.abs(last["size"] - s["size"]) < 0.15)
-            & last["font_family"].eqNullSafe(s["font_family"])
-            & (last["bold"] == s["bold"])
-            & (last["italic"] == s["italic"])
-        )
-        fresh = F.struct(s["text"].alias("text"), *[s[c].alias(c) for c in style])
-        grown = F.struct(F.concat(last["text"], s["text"]).alias("text"), *[last[c].alias(c) for c in style])
-        return F.when(
-            alike, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))
-        ).otherwise(F.concat(runs, F.array(fresh)))
-
-    field_types = {f.name: f.dataType.simpleString() for f in islands.schema.fields}
-    run_type = "array<struct<text:string," + ",".join(f"{c}:{field_types[c]}" for c in style) + ">>"
-    per_group = islands.groupBy(*group).agg(sequence.alias("_seq"))
-    merged = F.when(
-        F.size("_seq") == 1,
-        F.transform("_seq", lambda s: F.struct(s["text"].alias("text"), *[s[c].alias(c) for c in style])),
-    ).otherwise(
-        F.aggregate(F.col("_seq"), F.from_json(F.lit("[]"), run_type), lambda a, s: step(a, s))
-    )
-    return per_group.select(*group, F.posexplode(merged).alias("run_no", "_r")).select(
-        *group, "run_no", F.col("_r.text").alias("text"), F.col("_r.size").alias("font_size"),
-        F.col("_r.font_family").alias("font_family"), F.col("_r.bold").alias("bold"),
-        F.col("_r.italic").alias("italic"),
+    shown = visible(with_glyph_defaults(glyphs))
+    g = shown.select(
+        *group, "glyph_no", *[F.col(c).cast("double").alias(c) for c in ("x", "y")], F.col("_gw").cast("double").alias("gw"), "size",
+        F.col("_value").alias("value"), F.length("_value").alias("chars"), F.col("_value").rlike("^[,.;:!?%)\\]}]").alias("closing"),
+        F.col("rtl").cast("int").alias("rtl"), "font_family", "bold", "italic",
     )
+    schema = g.select(*group, F.lit(0).alias("run_no"), F.lit("").alias("text"), F.col("size").alias("font_size"), "font_family", "bold", "italic").schema
+
+    def read(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from glyph_math.style_runs(table, bounds, group).to_batches()
+
+    return page_pass(still(g, glyphs), group, [("x", False), ("y", True), ("glyph_no", False)], read, schema)
 
 
 def page_lines(glyphs: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafline.catalog import fixtures as fx
 from leafline.catalog.blocks import _grid_rulings
 from leafline.operators.columns import split_columns
-from leafline.operators.lines import page_lines
+from leafline.operators.lines import cluster_lines, page_lines, text_runs
 from leafline.operators.ordering import arranged, bundled, cut_packed, gather, laid, laid_by, page_pass, still, unbundled
 from leafline.operators.paragraphs import paragraphs
 from leafline.operators.tables import ruled_grids, segment_region, table_cells
@@ -181,3 +181,28 @@ def test_cells_of_a_table_travel_as_one_row(spark):
     pages = fx.pages_like(fx.order_ids(spark, SF).withColumn("page_no", F.lit(0)))
     built = reconstruct(glyphs, pages, _grid_rulings(spark, SF)).cells
     assert "arrays_zip" in plan(built) and built.count() == glyphs.count()
+
+
+def test_runs_of_a_page_are_read_where_its_words_are(spark):
+    glyphs = fx.prose_glyphs(spark, SF)
+    lines = cluster_lines(glyphs)
+    runs = text_runs(lines)
+    # the words are spread once and then gathered, and no glyph is moved
+    assert plan(runs).count("Exchange") == plan(glyphs).count("Exchange") == 1 and "Window" not in plan(runs)
+    other = text_runs(free(cluster_lines(free(glyphs))))
+    assert bag(runs, *runs.columns) == bag(other, *runs.columns)
+
+
+def test_runs_of_odd_styles(spark):
+    styles = [(10.0, "A", True), (10.1, "A", True), (10.2, "A", True), (10.2, None, True), (10.2, None, None), (10.2, None, None), (None, "A", True),
+              (None, "A", True), (math.nan, "A", True), (math.nan, "A", True), (9.0, "A", True)]
+    rows = [(1, 0, 0, n, chr(97 + n), 20.0 * n, 9.0, 5.0, size, bold, False, rtl, font) for rtl, page in ((False, 0), (True, 1))
+            for n, (size, font, bold) in enumerate(styles)]
+    rows = [(r[0], int(r[11]), *r[2:]) for r in rows]
+    df = spark.createDataFrame(rows, "doc_id int, page_no int, line_no int, glyph_no int, str string, x double, y double, width double, size double, bold boolean, italic boolean, rtl boolean, font_family string")
+    got = {}
+    for r in text_runs(df).orderBy("page_no", "run_no").collect():
+        got.setdefault(r.page_no, []).append((r.run_no, r.text.strip(), repr(r.font_size), r.font_family, r.bold))
+    assert [t for _, t, *_ in got[0]] == ["a b", "c", "d", "e f", "g h", "i j", "k"]
+    assert [n for n, *_ in got[0]] == list(range(7)) and got[0][3][2:] == ("10.2", None, None) and got[0][4][2] == "None" and got[0][5][2] == "nan"
+    assert [t for _, t, *_ in got[1]] == ["k", "j i", "h g", "f e", "d", "c b", "a"] and got[1][5][2] == "10.2"
