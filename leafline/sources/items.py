@@ -86,36 +86,41 @@ def read_ocr_words(ocr_words: DataFrame, ocr_pages: DataFrame) -> DataFrame:
     confidence, x0, y0, x1, y1, is_ltr, font_name); ``ocr_pages`` is (doc_id,
     page_no, height, scale, raw_text).
     """
-    pages = ocr_pages.select(*PAGE, F.col("height").alias("_h"), F.greatest(F.lit(0.1), "scale").alias("_s"), "raw_text")
+    pages = ocr_pages.select(*PAGE, F.col("height").alias("_h"), F.greatest(F.lit(0.1), "scale").alias("_s"), "raw_text", F.lit(True).alias("_page"))
     word = trim_all(F.col("text"))
     kept = ocr_words.where((word != "") & (F.col("confidence") >= 25)).withColumn("str", word)
-    # lines and pages in one sort of a page
-    at = F.struct("para_no", "line_no", "word_no")
+    # lines and pages in one sort of a page, its own row before its words
+    kept = kept.withColumns({"_at": F.struct("para_no", "line_no", "word_no"), "_page": F.lit(False)}).drop("text", "confidence")
+    both = kept.unionByName(pages, allowMissingColumns=True)
     page = Window.partitionBy(*PAGE).orderBy("_at")
+    all_ = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     line = F.struct("para_no", "line_no")
-    kept = kept.withColumn("_at", at)
-    kept = kept.withColumns({
+    s = F.max("_s").over(all_)
+    pages_, words_ = F.count_if("_page").over(all_), F.count_if(~F.col("_page")).over(all_)
+    found = both.withColumns({
         "eol": ~F.coalesce(F.lead(line).over(page).eqNullSafe(line), F.lit(False)) | F.lead("word_no").over(page).isNull(),
-        "glyph_no": (F.row_number().over(page) - 1).cast("int"),
+        "_row": F.row_number().over(page), "_pages": pages_, "_words": words_, "_scale": s, "_high": F.max("_h").over(all_),
     })
-    s = F.col("_s")
+    named = F.col("doc_id").isNotNull() & F.col("page_no").isNotNull()  # other words are on no page
+    found = found.where((~F.col("_page") & (F.col("_pages") > 0) & named) | (F.col("_page") & ((F.col("_words") == 0) | ~named)))
+    s = F.col("_scale")
     tall = F.greatest(F.lit(1.0), (F.col("y1") - F.col("y0")) / s)
-    glyphs = kept.join(pages.drop("raw_text"), list(PAGE)).select(
-        *PAGE, "str", (F.col("x0") / s).alias("x"),
-        (F.col("_h") - F.col("y1") / s).alias("y"), F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) / s).alias("width"),
-        F.greatest(F.lit(7.0), F.least(F.lit(42.0), tall * 0.82)).alias("size"), "eol",
+    glyph = F.struct(
+        F.col("str").alias("str"), (F.col("x0") / s).alias("x"),
+        (F.col("_high") - F.col("y1") / s).alias("y"), F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) / s).alias("width"),
+        F.greatest(F.lit(7.0), F.least(F.lit(42.0), tall * 0.82)).alias("size"), F.col("eol").alias("eol"),
         F.when(F.coalesce("font_name", F.lit("")) == "", "Arial").otherwise(F.col("font_name")).alias("font_family"),
-        (~F.coalesce("is_ltr", F.lit(True))).alias("rtl"), "glyph_no",
+        (~F.coalesce("is_ltr", F.lit(True))).alias("rtl"), (F.col("_row") - F.col("_pages") - 1).cast("int").alias("glyph_no"),
     )
-    bare = pages.join(kept.select(*PAGE).distinct(), list(PAGE), "left_anti")
     raw_lines = F.filter(F.transform(F.split("raw_text", "\r?\n"), trim_all), lambda t: t != "")
-    fallback = bare.select(*PAGE, "_h", F.posexplode(raw_lines).alias("glyph_no", "str")).select(
-        *PAGE, "str", F.lit(36.0).alias("x"),
-        F.greatest(F.lit(24.0), F.col("_h") - 48 - F.col("glyph_no") * 16).alias("y"),
-        F.least(F.lit(540.0), F.length("str") * 5.6).alias("width"), F.lit(11.0).alias("size"),
-        F.lit(True).alias("eol"), F.lit("Arial").alias("font_family"), F.lit(False).alias("rtl"), "glyph_no",
-    )
-    return glyphs.unionByName(fallback)
+    fallback = F.transform(raw_lines, lambda t, i: F.struct(
+        t.alias("str"), F.lit(36.0).alias("x"),
+        F.greatest(F.lit(24.0), F.col("_h") - 48 - i * 16).alias("y"),
+        F.least(F.lit(540.0), F.length(t) * 5.6).alias("width"), F.lit(11.0).alias("size"),
+        F.lit(True).alias("eol"), F.lit("Arial").alias("font_family"), F.lit(False).alias("rtl"), i.alias("glyph_no"),
+    ))
+    glyphs = found.select(*PAGE, F.inline_outer(F.when(F.col("_page"), fallback).otherwise(F.array(glyph))))
+    return glyphs.where(F.col("str").isNotNull())
 
 
 def flatten_outline(outline: DataFrame, key: str = "doc_id") -> DataFrame:

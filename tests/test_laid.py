@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from leafline.catalog import fixtures as fx
 from leafline.catalog.blocks import _grid_rulings
+from leafline.catalog.registry import QUERIES
 from leafline.operators.columns import split_columns
 from leafline.operators.lines import cluster_lines, page_lines, text_runs
 from leafline.operators.ordering import arranged, bundled, cut_packed, gather, laid, laid_by, page_pass, still, unbundled
 from leafline.operators.paragraphs import paragraphs
 from leafline.operators.tables import ruled_grids, segment_region, table_cells
 from leafline.plans.reconstruct import reconstruct
+from leafline.sources.items import read_ocr_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -206,3 +208,22 @@ def test_runs_of_odd_styles(spark):
     assert [t for _, t, *_ in got[0]] == ["a b", "c", "d", "e f", "g h", "i j", "k"]
     assert [n for n, *_ in got[0]] == list(range(7)) and got[0][3][2:] == ("10.2", None, None) and got[0][4][2] == "None" and got[0][5][2] == "nan"
     assert [t for _, t, *_ in got[1]] == ["k", "j i", "h g", "f e", "d", "c b", "a"] and got[1][5][2] == "10.2"
+
+
+def test_page_rows_go_with_their_words(spark):
+    words = [(d, p, 0, n // 2, n, f" w{n} ", 90.0 if (d, p) != (1, 1) else 9.0, 2.0 * n, 0.0, 2.0 * n + 1, 9.0, True, "") for d, p in ((1, 0), (1, 1), (2, 0), (None, 0)) for n in range(3)]
+    words = spark.createDataFrame(
+        words, "doc_id bigint, page_no int, para_no int, line_no int, word_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, is_ltr boolean, font_name string"
+    )
+    pages = [(1, 0, 100.0, 2.0, "not read"), (1, 1, 100.0, 1.0, "one\r\n\n two "), (3, 0, 100.0, 1.0, None), (None, 0, 100.0, 1.0, "unnamed")]
+    glyphs = read_ocr_words(words, spark.createDataFrame(pages, "doc_id bigint, page_no int, height double, scale double, raw_text string"))
+    assert "Join" not in plan(glyphs) and plan(glyphs).count("Exchange") == 1
+    got = sorted((r.doc_id or 0, r.page_no, r.glyph_no, r.str, r.x, r.eol) for r in glyphs.collect())
+    # no page for document 2, and keys that are not known match nothing
+    assert got == [(0, 0, 0, "unnamed", 36.0, True), (1, 0, 0, "w0", 0.0, False), (1, 0, 1, "w1", 1.0, True), (1, 0, 2, "w2", 2.0, True),
+                   (1, 1, 0, "one", 36.0, True), (1, 1, 1, "two", 36.0, True)]
+
+
+def test_ocr_words_are_not_moved_where_documents_lie_together(spark):
+    glyphs = QUERIES["s3_read_ocr_words"](spark, SF)
+    assert "Join" not in plan(glyphs) and plan(glyphs).count("Exchange") == 2  # texts, for words and for pages
