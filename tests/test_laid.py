@@ -227,3 +227,21 @@ def test_page_rows_go_with_their_words(spark):
 def test_ocr_words_are_not_moved_where_documents_lie_together(spark):
     glyphs = QUERIES["s3_read_ocr_words"](spark, SF)
     assert "Join" not in plan(glyphs) and plan(glyphs).count("Exchange") == 2  # texts, for words and for pages
+
+
+def test_riders_find_their_rows_when_tasks_take_several_partitions(spark):
+    glyphs, pages = fx.column_glyphs(spark, SF), fx.pages_like(fx.column_titles(spark, SF))
+    split = split_columns(glyphs, pages, paged=True)
+    assert laid_by(split) == ("doc_id",)
+    assert split.where("paged").coalesce(2).count() == split.count() > 0
+
+
+def test_rows_of_other_partitions_are_refused():
+    def batch(homes, rides):
+        return pa.RecordBatch.from_pydict({"k": pa.array([1] * len(homes)), "_home": pa.array(homes, pa.int32()), "_rides": pa.array(rides)})
+
+    for batches in ([batch([3, 3], [True, False]), batch([4], [False])], [batch([3, 3, 3], [True, False, False]), batch([3, 3], [False, True])]):
+        with pytest.raises(RuntimeError):
+            list(arranged(iter(batches), ["k"], ["k"], [], riders=True))
+    ((table, bounds),) = list(arranged(iter([batch([3, 3], [True, True]), batch([3, 3], [True, False])]), ["k"], ["k"], [], riders=True))
+    assert table.num_rows == 4 and bounds.tolist() == [0]
